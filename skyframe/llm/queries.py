@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, packing, url_filter, vector_dedup
+from . import decontaminate, html_text, near_dedup, packing, url_filter, vector_dedup
 from .common import table
 
 
+def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,4 +34,4 @@ def op10_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_tiling, op5_html_blocks, op7_url_vocabulary, op9_bin_completion, op10_vector_cells)}
+QUERIES = {f.__name__: f for f in (op2_probminhash, op3_benchmark_tiling, op5_html_blocks, op7_url_vocabulary, op9_bin_completion, op10_vector_cells)}
