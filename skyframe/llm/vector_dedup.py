@@ -34,32 +34,34 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _settle(hit: np.ndarray) -> np.ndarray:
-    """Least index that each index reaches in a symmetric boolean matrix."""
-    label = np.arange(len(hit))
+def _settle(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and the columns of a boolean matrix, the least row that hits lead to (rows with no hit: themselves)."""
+    none = np.int32(len(hit))
+    rows, columns = np.arange(len(hit), dtype=np.int32), np.full(hit.shape[1], none, np.int32)
     while True:
-        low = np.where(hit, label[None, :], len(hit)).min(1, initial=len(hit))
-        new = np.minimum(label, low)
+        columns = np.minimum(columns, np.where(hit, rows[:, None], none).min(0, initial=none))
+        new = np.minimum(rows, np.where(hit, columns[None, :], none).min(1, initial=none))
         new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+        if (new == rows).all():
+            return rows, columns
+        rows = new
 
 
 def link_vectors(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float = 0.16,
-    rows_per_cell: int = 1500, max_cells: int = 1024, sample_rows: int = 20_000, block_rows: int = 1024,
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, deviations: float = 1.6,
+    rows_per_cell: int = 1500, max_cells: int = 1024, sample_rows: int = 20_000, block_rows: int = 2048,
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Equal vectors form one class first (by 128 bits of hash), so copies are never paired.
     Spherical k-means is fitted on at most ``sample_rows`` classes, picked by hash; every
-    class is then put into its nearest cell, and into each other cell whose dividing plane
-    is nearer than ``margin``.  Two vectors at cosine 0.9 differ by a vector of length
-    0.447, of which about 0.447 / sqrt(dim) lies along a given plane's normal, so 0.16 is
-    close to three deviations at 64 dimensions; tests measure the recall.  Cells are cut into
-    blocks of about ``block_rows``, and each pair of blocks is one group: cosines are a
-    double-precision matrix product whose hits leave the task only as sums and as the edges
+    class is at home in its nearest cell, and a guest of each other cell whose dividing plane
+    is near.  Two vectors at cosine c differ by a vector of length sqrt(2 - 2c), of which about
+    1 / sqrt(dim) lies along a given plane's normal; a plane within ``deviations`` of that is near.
+    At 64 dimensions that finds 0.998 of the pairs at cosine 0.9 itself, and all but none of
+    the closer ones (tests measure it).  Those at home in a cell are compared with all in
+    the cell, in blocks of about ``block_rows`` by ``block_rows``; a block is one group, its
+    cosines are a double-precision matrix product, and its hits leave the task only as sums and as the edges
     of a spanning forest, at most one per vector.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing (n_links 0,
@@ -87,6 +89,7 @@ def link_vectors(
         if picked.num_rows:
             centres = spherical_kmeans(_unit(picked["vec"].combine_chunks(), dim), k)
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    margin = deviations * float(np.sqrt(max(0.0, 2 - 2 * threshold) / max(dim, 1)))
 
     def assign(batches):
         c = shared.value
@@ -105,40 +108,46 @@ def link_vectors(
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["n"], vecs, pa.array(cells, pa.list_(pa.int32()))], ["rep", "n", "vec", "cells"])
 
     placed = checkpoint(reps.select("rep", "n", "vec").mapInArrow(assign, f"rep {id_type}, n long, vec {vec_type}, cells array<int>"))
-    spread = placed.select("*", F.explode("cells").alias("cell"))
-    blocks = spread.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    dealt = spread.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "n", "vec", "cells")
+    spread = placed.select("*", F.posexplode("cells").alias("at", "cell")).withColumn("home", F.col("at") == 0)
+    blocks = spread.groupBy("cell").agg(
+        F.ceil(F.count(F.when(F.col("home"), 1)) / block_rows).cast("int").alias("homes"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("alls")
+    )
+    spread = spread.join(blocks.where("homes > 0"), "cell").withColumn("h", F.xxhash64("rep"))
+    row = ["cell", "rep", "n", "vec", "cells"]
+    asks = spread.where("home").select(*row, F.pmod("h", "homes").cast("int").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("ab"), F.lit(True).alias("asks"))
+    told_of = spread.select(*row, F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hb"), F.pmod("h", "alls").cast("int").alias("ab"), F.lit(False).alias("asks"))
+    dealt = asks.unionByName(told_of)
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        cell, b1, b2 = (group[x][0].as_py() for x in ("cell", "b1", "b2"))
-        rep, n, own = group["rep"].to_numpy(), group["n"].to_numpy(), group["own"].to_numpy()
+        cell, kind = group["cell"][0].as_py(), group.schema.field("rep").type
+        rep, n, ask = group["rep"].to_numpy(), group["n"].to_numpy(), np.asarray(group["asks"])
         vecs, cells = group["vec"].combine_chunks(), group["cells"].combine_chunks()
         x = _unit(vecs, len(vecs[0]))
-        offsets = np.asarray(cells.offsets)[:-1] - np.asarray(cells.offsets)[0]
-        flat = np.asarray(cells.flatten())
-        home = flat[offsets]
-        hit = (x @ x.T) >= threshold
-        np.fill_diagonal(hit, False)
-        if b1 != b2:
-            hit &= own[:, None] != own[None, :]
-        # A pair is told once: in its common home, else in the lesser of the homes that hold both.
-        hit &= (home == cell)[:, None] | (home == cell)[None, :]
-        owner = np.repeat(np.arange(len(rep)), np.diff(np.append(offsets, len(flat))))
-        for h in np.unique(home[home < cell]):
-            guest, has = home == h, np.zeros(len(rep), bool)
-            has[owner[flat == h]] = True
-            hit &= ~(guest[:, None] & has[None, :]) & ~(guest[None, :] & has[:, None]) | (guest[:, None] & guest[None, :])
-        links = hit @ n
-        touched = np.flatnonzero(links)
-        hit = hit[np.ix_(touched, touched)]
-        label = _settle(hit)
-        # ids of a component are compared as ids, so its root is the least id of the forest later
-        return pa.table({"rep": pa.array(rep[touched]).cast(group.schema.field("rep").type), "root": pa.array(rep[touched][label]).cast(group.schema.field("rep").type), "links": pa.array(links[touched].astype(np.int64))})
-
-    told = checkpoint(dealt.groupBy("cell", "b1", "b2").applyInArrow(compare, f"rep {id_type}, root {id_type}, links long"))
+        mine, theirs = np.flatnonzero(ask), np.flatnonzero(~ask)
+        hit = (x[mine] @ x[theirs].T) >= threshold
+        hit &= rep[mine][:, None] != rep[theirs][None, :]
+        used, met = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        hit, mine, theirs = hit[np.ix_(used, met)], mine[used], theirs[met]
+        links = np.zeros(len(rep), np.int64)
+        links[mine] = hit @ n[theirs]
+        # A guest counts a link here unless the one it links with is a guest of its own home.
+        offsets = np.asarray(cells.offsets) - cells.offsets[0].as_py()
+        flat, owner = np.asarray(cells.flatten()), np.repeat(np.arange(len(rep)), np.diff(offsets))
+        home = flat[offsets[:-1]]
+        for h in np.unique(home[theirs]):
+            if h != cell:
+                guests = home[theirs] == h
+                knows = np.zeros(len(rep), bool)
+                knows[owner[flat == h]] = True
+                links[theirs[guests]] += n[mine] @ (hit[:, guests] & ~knows[mine][:, None])
+        rows, columns = _settle(hit)
+        ids = np.concatenate([rep[mine], rep[theirs]])
+        roots = np.concatenate([rep[mine][rows], rep[mine][columns]])
+        counts = np.concatenate([links[mine], links[theirs]])
+        return pa.table({"rep": pa.array(ids).cast(kind), "root": pa.array(roots).cast(kind), "links": pa.array(counts)})
+
+    told = checkpoint(dealt.groupBy("cell", "hb", "ab").applyInArrow(compare, f"rep {id_type}, root {id_type}, links long"))
     links = told.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(told.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     found = (
