@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, near_dedup, packing, url_filter, vector_dedup
+from . import decontaminate, html_text, near_dedup, packing, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_levenshtein_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
@@ -34,4 +38,4 @@ def op10_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_probminhash, op3_benchmark_tiling, op5_html_blocks, op7_url_vocabulary, op9_bin_completion, op10_vector_cells)}
+QUERIES = {f.__name__: f for f in (op2_probminhash, op3_benchmark_tiling, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op9_bin_completion, op10_vector_cells)}
