@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, near_dedup, packing, toxicity, url_filter, vector_dedup
+from . import decontaminate, html_text, near_dedup, packing, quality, toxicity, url_filter, vector_dedup
 from .common import table
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,4 +42,4 @@ def op10_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_probminhash, op3_benchmark_tiling, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op9_bin_completion, op10_vector_cells)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_probminhash, op3_benchmark_tiling, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op9_bin_completion, op10_vector_cells)}
