@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, near_dedup, packing, quality, toxicity, url_filter, vector_dedup
+from . import decontaminate, html_text, lattice_lm, near_dedup, packing, pii, quality, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -34,6 +38,10 @@ def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,4 +50,4 @@ def op10_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_probminhash, op3_benchmark_tiling, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op9_bin_completion, op10_vector_cells)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_probminhash, op3_benchmark_tiling, op4_subword_lattice, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op8_weak_supervision, op9_bin_completion, op10_vector_cells)}
