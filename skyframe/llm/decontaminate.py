@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_strings, split_words
+from .common import hash_strings, small, split_words
 
 SEED_WORDS = 5
 MODULUS = (1 << 61) - 1
@@ -196,7 +196,7 @@ def find_leaks(
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _Index(*shared.value)
-            for batch in batches:
+            for batch in small(batches, 1):
                 rows = index.scan(batch.column(1), coverage)
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -218,7 +218,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.5,
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _Index(*shared.value)
-            for batch in batches:
+            for batch in small(batches, text_col):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[row[0] for row in index.scan(batch.column(text_col), coverage)]] = False
                 yield batch.filter(pa.array(clean))

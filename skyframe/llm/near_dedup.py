@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, hash_strings, mix, shingle_hashes, split_words
+from .common import checkpoint, connected_components, hash_strings, mix, shingle_hashes, small, split_words
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 28, 6  # a pair at similarity 0.8 shares a band with probability 0.9998
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "text"):
             sizes, fp1, fp2, sketch = _sketches(batch["text"], k)
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(sizes.astype(np.int64)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), _binary(sketch)], ["id", "n", "fp1", "fp2", "sketch"]
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
     busy = members.select("rep").distinct()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "text"):
             owner, h, _ = shingle_sets(batch["text"], k)
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], ["rep", "shingles"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_strings, mix, split_words
+from .common import crc_mod, hash_strings, mix, small, split_words
 from .sample import labelled_sample
 
 
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: Column, sample_rows:
     sample = labelled_sample(docs, labels, label_col, rows=sample_rows, train=train_rows, id_col=id_col, text_col=text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "text"):
             text, bucket, value = hashed(batch["text"], bits)
             order = np.argsort(text, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
@@ -164,7 +164,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, grade: int | None = None, tai
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             p = shared.value.probabilities(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p @ grades), pa.array(p[:, at:].sum(1))], ["doc_id", "expected_grade", "tail_probability"])
 

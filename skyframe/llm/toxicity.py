@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, split_words
+from .common import crc_mod, small, split_words
 from .sample import labelled_sample
 
 # Words that report speech, words that address someone, and marks that open and close a quotation.
@@ -170,7 +170,7 @@ def mine(sample: DataFrame, *, most: int = 2000) -> tuple[list[str], list[float]
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "text"):
             offsets, codes, vocabulary = split_words(batch["text"])
             names = pa.array([core(w) for w in vocabulary.to_pylist()], pa.string())
             edge = np.full(1, -1)
@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: Column, sample_rows:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms, weights, plain, window)
-        for batch in batches:
+        for batch in small(batches, "text"):
             x = scorer.features(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["label"], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["label", "x"])
 
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for batch in batches:
+        for batch in small(batches, text_col):
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(scorer(batch[text_col]))], [*kept, name])
 
     return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(name, "double"))
@@ -297,7 +297,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for batch in batches:
+        for batch in small(batches, text_col):
             yield batch.filter(pa.array(scorer(batch[text_col]) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
