@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_SCALE
+from ..session import checkpoint
 
 
 def mad_sigma(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -21,18 +22,31 @@ def clipped_median(df: DataFrame, keys: Sequence[str], value: str, *, k: float =
     """Median and MAD sigma after iterative clipping at k sigma (strictly less).
 
     ``narrowing``: each round tests the survivors only; else all values against the survivors' figures, so that one may come back.  A group is
-    frozen once its sigma is 0 or under ``least`` values survive.  Each round is one pair of group medians; rows carry only a mark.
+    frozen once its sigma is 0 or under ``least`` values survive.  What survives lies in one interval, so a round's state
+    is two numbers a group; the rows are read again, never rewritten.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull()).withColumn("live", F.lit(True))
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull())
+    bounds = None
+
+    def figures() -> DataFrame:
+        live = rows if bounds is None else rows.join(bounds, list(keys)).where("v > lo AND v < hi").select(*keys, "v")
+        mid = live.groupBy(*keys).agg(F.median("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        return live.join(mid, list(keys)).groupBy(*keys).agg(F.first("m").alias("m"), F.first("c").alias("c"), (MAD_SCALE * F.median(F.abs(F.col("v") - F.col("m")))).alias("s"))
+
     for _ in range(rounds):
-        mid = rows.where("live").groupBy(*keys).agg(F.median("v").alias("m"), F.count(F.lit(1)).alias("c"))
-        off = rows.where("live").join(mid, list(keys)).groupBy(*keys).agg(F.first("m").alias("m"), F.first("c").alias("c"), (MAD_SCALE * F.median(F.abs(F.col("v") - F.col("m")))).alias("s"))
-        tested = rows.join(off, list(keys))
-        inside = F.abs(F.col("v") - F.col("m")) < k * (F.col("s") + floor)
+        new = figures()
+        reach = k * (F.col("s") + floor)
+        lo, hi = F.col("m") - reach, F.col("m") + reach
+        if bounds is None:
+            old_lo, old_hi = F.lit(float("-inf")), F.lit(float("inf"))
+        else:
+            new = new.join(bounds.withColumnsRenamed({"lo": "lo0", "hi": "hi0"}), list(keys))
+            old_lo, old_hi = F.col("lo0"), F.col("hi0")
+        if narrowing:
+            lo, hi = F.greatest(lo, old_lo), F.least(hi, old_hi)
         frozen = (F.col("s") == 0) | (F.col("c") < least)
-        rows = tested.withColumn("live", F.when(frozen, F.col("live")).otherwise((F.col("live") & inside) if narrowing else inside)).select(*keys, "v", "live")
-    mid = rows.where("live").groupBy(*keys).agg(F.median("v").alias("med"), F.count(F.lit(1)).alias("n_used"))
-    return rows.where("live").join(mid, list(keys)).groupBy(*keys).agg(F.first("n_used").alias("n_used"), F.first("med").alias("med"), (MAD_SCALE * F.median(F.abs(F.col("v") - F.col("med")))).alias("sigma"))
+        bounds = checkpoint(new.select(*keys, F.when(frozen, old_lo).otherwise(lo).alias("lo"), F.when(frozen, old_hi).otherwise(hi).alias("hi")))
+    return figures().select(*keys, F.col("c").alias("n_used"), F.col("m").alias("med"), F.col("s").alias("sigma"))
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
