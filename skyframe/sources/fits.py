@@ -29,7 +29,8 @@ def files(spark: SparkSession, path: str, pattern: str = "*_flc.fits", excluded:
 def cards(content: Column, most: int = HEADER_BYTES) -> Column:
     """Cards of the first ``most`` bytes, as strings of 80 characters.  The image that follows reads as Latin-1 noise, which END cuts off."""
     head = F.decode(F.substring(content, 1, most), "ISO-8859-1")
-    return F.transform(F.sequence(F.lit(0), F.floor((F.length(head) - CARD) / CARD).cast("int")), lambda i: F.substring(head, i * CARD + 1, F.lit(CARD)))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(head) / CARD).cast("int") - 1, F.lit(0))), lambda i: F.substring(head, i * CARD + 1, F.lit(CARD)))
+    return F.when(F.length(head) >= CARD, cut).otherwise(F.array().cast("array<string>"))
 
 
 def header_rows(df: DataFrame, keys: Sequence[str] = ("path",), content: str = "content", hdus: int = 2) -> DataFrame:
