@@ -172,6 +172,8 @@ def mine(sample: DataFrame, *, most: int = 2000) -> tuple[list[str], list[float]
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
             offsets, codes, vocabulary = split_words(batch["text"])
+            if not len(codes):
+                continue
             names = pa.array([core(w) for w in vocabulary.to_pylist()], pa.string())
             edge = np.full(1, -1)
             before, after = np.concatenate([edge, codes[:-1]]), np.concatenate([codes[1:], edge])
