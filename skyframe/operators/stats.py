@@ -4,32 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_SCALE
 from ..session import checkpoint
 
 
-def mad_sigma(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """n, median and 1.4826 times the median absolute deviation of each group."""
+def selected_percentile(df: DataFrame, keys: Sequence[str], value: Column, share: float, *, precision: int = 10_000) -> DataFrame:
+    """Exact percentile (linear interpolation) of a few very large groups, as (keys, n, p).
+
+    Spark's own exact percentile holds all of a group's distinct values in one task.  Here a mergeable sketch first brackets the rank; the second
+    pass counts what lies below the bracket and keeps, of each group, only the values inside it with
+    their counts: about 6 / ``precision`` of the rows, in partial aggregates throughout.
+    """
+    rows = df.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL")
+    near = 2.0 / precision
+    sketch = F.percentile_approx("v", [max(0.0, share - near), min(1.0, share + near)], precision)
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_e")).select(*keys, "n", F.col("_e")[0].alias("lo"), F.col("_e")[1].alias("hi"))
+    # everything under the bracket is one value, that above it is not needed
+    where = F.when(F.col("v") < F.col("lo"), F.lit(None).cast("double")).otherwise(F.col("v"))
+    met = rows.join(ends, list(keys))
+    counted = met.where("v <= hi").groupBy(*keys, "n", where.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
+    ranked = counted.withColumn("last", F.sum("c").over(w) - 1)  # rank of the last row with this value
+    at = F.lit(float(share)) * (F.col("n") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    picked = ranked.groupBy(*keys, "n").agg(F.min(F.when(F.col("last") >= low, F.col("v"))).alias("a"), F.min(F.when(F.col("last") >= high, F.col("v"))).alias("b"))
+    return picked.select(*keys, "n", (F.col("a") + (F.col("b") - F.col("a")) * (at - low)).alias("p"))
+
+
+def mad_sigma(df: DataFrame, keys: Sequence[str], value: str, *, few_groups: bool = False) -> DataFrame:
+    """n, median and 1.4826 times the median absolute deviation of each group; ``few_groups``: by selected_percentile."""
+    if few_groups:
+        mid = selected_percentile(df, keys, F.col(value), 0.5).select(*keys, "n", F.col("p").alias("med"))
+        off = selected_percentile(df.join(mid, list(keys)), keys, F.abs(F.col(value) - F.col("med")), 0.5)
+        return mid.join(off.select(*keys, (MAD_SCALE * F.col("p")).alias("sigma")), list(keys))
     mid = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("med"))
     off = df.join(mid, list(keys)).groupBy(*keys).agg(F.first("n").alias("n"), F.first("med").alias("med"), (MAD_SCALE * F.median(F.abs(F.col(value) - F.col("med")))).alias("sigma"))
     return off
 
 
-def clipped_median(df: DataFrame, keys: Sequence[str], value: str, *, k: float = 3.0, rounds: int = 5, narrowing: bool = True, floor: float = 0.0, least: int = 0) -> DataFrame:
+def clipped_median(df: DataFrame, keys: Sequence[str], value: str, *, k: float = 3.0, rounds: int = 5, narrowing: bool = True, floor: float = 0.0, least: int = 0, few_groups: bool = False) -> DataFrame:
     """Median and MAD sigma after iterative clipping at k sigma (strictly less).
 
     ``narrowing``: each round tests the survivors only; else all values against the survivors' figures, so that one may come back.  A group is
     frozen once its sigma is 0 or under ``least`` values survive.  What survives lies in one interval, so a round's state
-    is two numbers a group; the rows are read again, never rewritten.
+    is two numbers a group; the rows are read again, never rewritten.  ``few_groups``: medians by selected_percentile, for a few very large groups.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull())
     bounds = None
 
     def figures() -> DataFrame:
         live = rows if bounds is None else rows.join(bounds, list(keys)).where("v > lo AND v < hi").select(*keys, "v")
+        if few_groups:
+            return mad_sigma(live, keys, "v", few_groups=True).select(*keys, F.col("med").alias("m"), F.col("n").alias("c"), F.col("sigma").alias("s"))
         mid = live.groupBy(*keys).agg(F.median("v").alias("m"), F.count(F.lit(1)).alias("c"))
         return live.join(mid, list(keys)).groupBy(*keys).agg(F.first("m").alias("m"), F.first("c").alias("c"), (MAD_SCALE * F.median(F.abs(F.col("v") - F.col("m")))).alias("s"))
 

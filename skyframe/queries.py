@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import exprs as E
@@ -10,6 +10,7 @@ from .functions import names as N
 from .operators import catalog as C
 from .operators import images as I
 from .operators import stats as S
+from .plans import curation, production, qc, samples
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -314,7 +315,7 @@ def scalar_expressions(spark, sf_dir):
     WITH m AS (SELECT event_type, median(value) AS med, count(value) AS n FROM events GROUP BY 1)
     SELECT event_type, any_value(n) AS n, round(any_value(med), 6) AS med, round(1.4826 * median(abs(value - med)), 6) AS sigma FROM events JOIN m USING (event_type) GROUP BY 1""")
 def mad_sigma(spark, sf_dir):
-    return S.mad_sigma(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", "n", r("med").alias("med"), r("sigma").alias("sigma"))
+    return S.mad_sigma(table(spark, sf_dir, "events"), ["event_type"], "value", few_groups=True).select("event_type", "n", r("med").alias("med"), r("sigma").alias("sigma"))
 
 
 def _clip_sql(rounds: int) -> str:
@@ -329,7 +330,7 @@ def _clip_sql(rounds: int) -> str:
 
 @query(_clip_sql(5))
 def sigma_clip(spark, sf_dir):
-    return S.clipped_median(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", k=1.5, rounds=5).select("l_returnflag", "n_used", r("med").alias("med"), r("sigma").alias("sigma"))
+    return S.clipped_median(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", k=1.5, rounds=5, few_groups=True).select("l_returnflag", "n_used", r("med").alias("med"), r("sigma").alias("sigma"))
 
 
 @query("""
@@ -599,3 +600,132 @@ def destripe(spark, sf_dir):
 @query()
 def source_mask(spark, sf_dir):
     return I.source_mask(chips(spark, sf_dir), ["vec_id"], k=2.0, rounds=3).select("vec_id", "y", "x", "masked")
+
+
+# ------------------------------------------------------------------ plans
+
+
+@query("""
+    WITH o AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS ox, CAST(embedding[2] AS DOUBLE) AS oy FROM embeddings),
+         p AS (SELECT a.label, sqrt((a.ox - b.ox) * (a.ox - b.ox) + (a.oy - b.oy) * (a.oy - b.oy)) AS gap FROM o a JOIN o b ON a.label = b.label AND a.vec_id < b.vec_id)
+    SELECT coalesce(CAST(label AS VARCHAR), 'TOTAL') AS "group", count(*) AS n_pairs, count(*) FILTER (gap <= 0.1) AS bin0, count(*) FILTER (gap > 0.1 AND gap <= 0.3) AS bin1, count(*) FILTER (gap > 0.3 AND gap <= 0.5) AS bin2,
+           count(*) FILTER (gap > 0.5 AND gap <= 1) AS bin3, count(*) FILTER (gap > 1) AS bin4, round(median(gap), 6) AS med_gap, round(max(gap), 6) AS max_gap FROM p GROUP BY ROLLUP (label)""")
+def qc_misalignment(spark, sf_dir):
+    v = F.col("embedding")
+    off = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("pos"), v[0].cast("double").alias("off_x"), v[1].cast("double").alias("off_y"))
+    got = qc.pair_misalignment(off)
+    return got.withColumns({"med_gap": r("med_gap"), "max_gap": r("max_gap")})
+
+
+@query("""
+    WITH s AS (SELECT l_returnflag AS "group", CASE WHEN q >= 300 THEN 3 WHEN q >= 100 THEN 2 WHEN q >= 30 THEN 1 WHEN q >= 10 THEN 0 END AS tier, p AS raw, p * (1 - d * 6) AS clean FROM (SELECT l_returnflag, l_quantity * 7 AS q, l_extendedprice AS p, l_discount AS d FROM lineitem))
+    SELECT "group", tier, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(median(clean / greatest(raw, 1e-6)), 6) END AS surv, CASE WHEN count(*) >= 5 THEN round(avg(CASE WHEN clean / greatest(raw, 1e-6) < 0.5 THEN 1.0 ELSE 0.0 END), 6) END AS lost,
+           CASE WHEN count(*) >= 5 THEN round(avg(CASE WHEN abs(raw - clean) > 5 * 1000.0 THEN 1.0 ELSE 0.0 END), 6) END AS damaged FROM s WHERE tier IS NOT NULL GROUP BY 1, 2""")
+def qc_survival(spark, sf_dir):
+    p = F.col("l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("group"), (F.col("l_quantity") * 7).alias("peak_sig"), p.alias("raw"), (p * (1 - F.col("l_discount") * 6)).alias("clean"), F.lit(1000.0).alias("sigma"))
+    return qc.survival(rows).withColumns({c: r(c) for c in ("surv", "lost", "damaged")})
+
+
+@query("""
+    WITH s AS (SELECT l_returnflag AS "group", CASE WHEN l_quantity >= 40 THEN 2 WHEN l_quantity >= 25 THEN 1 WHEN l_quantity >= 10 THEN 0 END AS tier, l_discount * 5 AS ratio FROM lineitem)
+    SELECT "group", tier, count(*) AS n, count(*) FILTER (ratio > 0.3) AS stars, round(count(*) FILTER (ratio > 0.3) / count(*), 6) AS share FROM s WHERE tier IS NOT NULL GROUP BY 1, 2""")
+def qc_census(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("group"), F.col("l_quantity").alias("peak_sig"), (F.col("l_discount") * 5).alias("partner_ratio"))
+    return qc.census(rows, edges=(10, 25, 40)).withColumn("share", r("share"))
+
+
+@query("""
+    WITH e AS (SELECT o_custkey AS "group", row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey AS f, o_totalprice / 1e6 AS roll, o_totalprice AS sky FROM orders)
+    SELECT a."group", a.f AS file_a, b.f AS file_b, abs(a.roll - b.roll) <= 0.1 AS valid,
+           array_to_string(list_filter([CASE WHEN abs(a.roll - b.roll) > 0.1 THEN 'attention roll' END, CASE WHEN greatest(a.sky, b.sky) / greatest(least(a.sky, b.sky), 1e-6) > 4 THEN 'attention sky ratio' END], lambda x: x IS NOT NULL), ',') AS rules
+    FROM e a JOIN e b ON a."group" = b."group" AND a.pos < b.pos""")
+def qc_pair_rules(spark, sf_dir):
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    ex = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), pos.alias("pos"), F.col("o_orderkey").alias("file"), (F.col("o_totalprice") / 1e6).alias("cd_angle"), F.lit(400.0).alias("exptime"), F.col("o_totalprice").alias("sky"), F.col("o_orderkey").alias("root"))
+    return qc.pair_rules(ex).select("group", "file_a", "file_b", "valid", F.array_join("rules", ",").alias("rules"))
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT c_nationkey AS g, v, row_number() OVER (PARTITION BY c_nationkey ORDER BY v) AS pos FROM (SELECT DISTINCT c_nationkey, c_acctbal AS v FROM customer)),
+         f AS (SELECT g, v, pos, v AS anchor FROM e WHERE pos = 1 UNION ALL SELECT e.g, e.v, e.pos, CASE WHEN e.v - f.anchor > 150.0 THEN e.v ELSE f.anchor END FROM f JOIN e ON e.g = f.g AND e.pos = f.pos + 1),
+         s AS (SELECT g, anchor, count(*) AS size FROM f JOIN customer c ON c.c_nationkey = f.g AND c.c_acctbal = f.v GROUP BY 1, 2)
+    SELECT size, count(*) AS clusters, size >= 3 AS used FROM s GROUP BY 1""")
+def qc_units(spark, sf_dir):
+    ex = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group"), F.col("c_custkey").alias("file"), F.col("c_acctbal").alias("cd_angle"))
+    return qc.units(ex, roll=150.0)[1]
+
+
+@query("""
+    WITH m AS (SELECT l_returnflag, avg(l_quantity) AS mx, avg(l_discount) AS my, avg(l_extendedprice) AS mv FROM lineitem GROUP BY 1),
+         s AS (SELECT l_returnflag, sum((l_quantity - mx) * (l_quantity - mx)) AS xx, sum((l_quantity - mx) * (l_discount - my)) AS xy, sum((l_discount - my) * (l_discount - my)) AS yy, sum((l_quantity - mx) * (l_extendedprice - mv)) AS xv, sum((l_discount - my) * (l_extendedprice - mv)) AS yv, count(*) AS n
+               FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1)
+    SELECT l_returnflag, n, round((xv * yy - yv * xy) / (xx * yy - xy * xy), 4) AS slope_x, round((yv * xx - xv * xy) / (xx * yy - xy * xy), 2) AS slope_y FROM s""")
+def qc_plane(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_extendedprice").alias("dx"))
+    return qc.plane(rows, ["l_returnflag"], "dx").select("l_returnflag", "n", r("slope_x", 4).alias("slope_x"), r("slope_y", 2).alias("slope_y"))
+
+
+@query(f"""
+    WITH {PX}, {PEAKS}, h AS (SELECT vec_id, x, y, y - row_number() OVER (PARTITION BY vec_id, x ORDER BY y) AS island FROM px WHERE v > 0.6 * 0.1),
+         runs AS (SELECT vec_id, x, min(y) AS a, max(y) AS b, count(*) AS n FROM h GROUP BY vec_id, x, island)
+    SELECT p.vec_id, p.y, p.x, max(r.n) AS bleed FROM pk p JOIN runs r ON r.vec_id = p.vec_id AND r.x = p.x AND p.y BETWEEN r.a AND r.b GROUP BY 1, 2, 3""")
+def qc_saturation(spark, sf_dir):
+    px = chips(spark, sf_dir)
+    return qc.saturation(px, peaks(px), ["vec_id"], F.lit(0.1))
+
+
+@query(f"""
+    WITH {PX}, {PEAKS}, best AS (SELECT p.vec_id, p.y, p.x, n.y - p.y AS dy, n.x - p.x AS dx, n.v, row_number() OVER (PARTITION BY p.vec_id, p.y, p.x ORDER BY n.v DESC, n.y, n.x) AS k FROM pk p JOIN px n ON n.vec_id = p.vec_id + 1 AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1),
+         r AS (SELECT * FROM best WHERE k = 1 AND v > 0.05), m AS (SELECT median(dx) AS mx, median(dy) AS my FROM r)
+    SELECT 'all' AS "group", count(*) AS n_match, round(any_value(mx), 6) AS med_dx, round(any_value(my), 6) AS med_dy, round(1.4826 * median(abs(dx - mx)), 6) AS mad_dx, round(median(sqrt(dx * dx + dy * dy)), 6) AS med_r FROM r, m""")
+def qc_alignment(spark, sf_dir):
+    got = cross_match(spark, sf_dir).select(F.lit("all").alias("group"), (F.col("mx") - F.col("x")).alias("dx"), (F.col("my") - F.col("y")).alias("dy"))
+    base = got.groupBy("group").agg(F.count(F.lit(1)).alias("n_match"), F.median("dx").alias("med_dx"), F.median("dy").alias("med_dy"), F.median(F.hypot("dx", "dy")).alias("med_r"))
+    off = got.join(base, "group").groupBy("group").agg((E.MAD_SCALE * F.median(F.abs(F.col("dx") - F.col("med_dx")))).alias("mad_dx"))
+    return base.join(off, "group").select("group", "n_match", *[r(c).alias(c) for c in ("med_dx", "med_dy", "mad_dx", "med_r")])
+
+
+@query("""
+    SELECT a.c_custkey AS file_a, b.c_custkey AS file_b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) < 36
+    WHERE sqrt(pow((b.c_custkey % 50 - a.c_custkey % 50) * cos(radians(a.c_acctbal / 3600)), 2) + pow(b.c_acctbal - a.c_acctbal, 2)) < 36""")
+def near_pairs(spark, sf_dir):
+    rec = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("filter"), F.col("c_custkey").alias("file"), ((F.col("c_custkey") % 50) / 3600.0).alias("ra_targ"), (F.col("c_acctbal") / 3600.0).alias("dec_targ"), F.lit(0.0).alias("cd_angle"))
+    return curation.near_pairs(rec, tolerance=36.0).select("file_a", "file_b")
+
+
+@query("""
+    SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND regexp_matches(o_orderpriority, '^(?:[0-9]-u)', 'i') AND length(CAST(o_orderkey AS VARCHAR)) >= 3""")
+def observation_filter(spark, sf_dir):
+    obs = table(spark, sf_dir, "orders").withColumns({"instrument_name": F.lit("ACS/WFC"), "dataproduct_type": F.lit("image"), "intentType": F.when(F.col("o_orderstatus") == "O", "science"), "filters": F.col("o_orderpriority"), "target_name": F.col("o_orderpriority"), "obs_id": F.when(F.length(F.col("o_orderkey").cast("string")) >= 3, "123456789")})
+    return curation.select_fields(obs, instrument="ACS/WFC", filters=["1-URGENT", "2-HIGH"], target="[0-9]-u").select("o_orderkey", "o_custkey")
+
+
+@query("""
+    SELECT s_suppkey FROM supplier WHERE degrees(2 * asin(sqrt(least(pow(sin(radians((s_acctbal / 100 - 20) / 2)), 2) + cos(radians(20)) * cos(radians(s_acctbal / 100)) * pow(sin(radians((s_suppkey - 30) / 2.0)), 2), 1)))) <= 25""")
+def cone_search(spark, sf_dir):
+    obs = table(spark, sf_dir, "supplier").withColumns({"s_ra": F.col("s_suppkey").cast("double"), "s_dec": F.col("s_acctbal") / 100})
+    return curation.cone(obs, 30.0, 20.0, 25 * 60.0).select("s_suppkey")
+
+
+@query()
+def denoised(spark, sf_dir):
+    px = chips(spark, sf_dir)
+    out = production.denoise(px.where("vec_id % 3 = 0"), px.where("vec_id % 3 <> 0").drop("vec_id"), ["label"])
+    return out.select("label", "y", "x", r("v").alias("v"), "covered")
+
+
+@query()
+def mosaics(spark, sf_dir):
+    px = chips(spark, sf_dir).withColumns({"dq": F.when(F.col("v") > 0.3, 4).otherwise(16), "exptime": F.lit(400.0), "dy": (F.col("vec_id") % 4) * 0.25, "dx": (F.col("vec_id") % 3) * 0.5})
+    return production.mosaic(px, ["label"], ["vec_id"]).select("label", "oy", "ox", r("v").alias("v"), r("weight").alias("weight"))
+
+
+@query()
+def training_samples(spark, sf_dir):
+    ex = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("unit"), F.col("vec_id").alias("file"), "embedding")
+    drawn = samples.draw(ex.select("unit", F.col("file").cast("string").alias("file")), samples=2, attempts=2)
+    boxes = ex.select(F.col("file").cast("string").alias("file"), F.lit(0).alias("y0"), F.lit(0).alias("x0"), F.lit(8).alias("y1"), F.lit(8).alias("x1"))
+    px = I.to_pixels(ex.withColumn("file", F.col("file").cast("string")), ["file"], "embedding", 8)
+    cut = samples.patches(drawn, samples.positions(drawn, boxes, 4), px, 4)
+    return samples.targets(samples.augmented(cut, 4)).withColumn("v", r("v"))
