@@ -1 +1,55 @@
-SQL: dict[str, str] = {}
+"""SQL for the numbered operators whose results SQL can express; the others are tested against brute force."""
+
+from __future__ import annotations
+
+from .url_filter import RULES, SOFT, STRICT
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components(links: str, nodes: str) -> str:
+    """CTEs ``part`` (id, component) over a table of directed links (src, dst) and one of nodes (id)."""
+    return f"""reach AS (SELECT id AS src, id AS dst FROM {nodes} UNION SELECT reach.src, l.dst FROM reach JOIN {links} l ON l.src = reach.dst),
+         part AS (SELECT src AS id, min(dst) AS component FROM reach GROUP BY 1)"""
+
+
+def near_duplicates() -> str:
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+         s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+         pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+         hit AS MATERIALIZED (SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+         link AS MATERIALIZED (SELECT a AS src, b AS dst FROM hit UNION ALL SELECT b, a FROM hit),
+         node AS (SELECT DISTINCT src AS id FROM link), {_components("link", "node")}
+    SELECT d.doc_id, coalesce(component, d.doc_id) AS class_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN part ON part.id = d.doc_id"""
+
+
+def urls() -> str:
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in rules)
+    stands = "regexp_matches({}, '(^|[^0-9a-z])' || term || '($|[^0-9a-z])')"
+    return f"""
+    WITH term AS (SELECT unnest({list(STRICT)}) AS term, true AS strict UNION ALL SELECT unnest({list(SOFT)}), false),
+         u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} ELSE '' END AS host,
+                      CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) ELSE '' END AS path, {LOWER.format("coalesce(url, '')")} AS low FROM pages),
+         h AS (SELECT page_id, host, path, count(term) FILTER (strict AND {stands.format("regexp_extract(low, '^[^?#]*')")}) AS strict_hits, count(term) FILTER (NOT (strict AND {stands.format("regexp_extract(low, '^[^?#]*')")})) AS soft_hits
+               FROM u LEFT JOIN term ON {stands.format("low")} GROUP BY page_id, host, path)
+    SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict, CAST(strict_hits AS INTEGER) AS strict_hits, CAST(soft_hits AS INTEGER) AS soft_hits FROM h"""
+
+
+def vectors() -> str:
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+         fine AS MATERIALIZED (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+         link AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+         node AS (SELECT DISTINCT src AS id FROM link), {_components("link", "node")}, n AS (SELECT src, count(*) AS n FROM link GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN n ON n.src = vec_id LEFT JOIN part ON part.id = vec_id"""
+
+
+SQL = {"op2_probminhash": near_duplicates(), "op7_url_vocabulary": urls(), "op10_vector_cells": vectors()}
