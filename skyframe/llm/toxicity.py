@@ -26,9 +26,9 @@ _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 class Automaton:
     """A trie of terms, searched with the Levenshtein automaton of a word.
 
-    A state of the automaton is the row of edit distances between the word's prefixes and
-    the path taken in the trie, capped above ``limit``; it is stepped along each trie edge, and a subtree whose state
-    can't come back under the limit is not entered.  A term that ends in ``*`` is a stem; it matches every word that begins with it, without edits.
+    The automaton's states are kept as bits: for each number of errors, the prefixes of the word that
+    the path taken in the trie spells with at most so many.  It is stepped along each trie edge, and a subtree in which no state is
+    left is not entered.  A term that ends in ``*`` is a stem; it matches every word that begins with it, without edits.
     """
 
     def __init__(self, terms: list[str]):
@@ -39,6 +39,7 @@ class Automaton:
                 node = node.setdefault(c, {})
             node["*" if term[-1] == "*" else ""] = k
         self.terms = terms
+        self.allow = [allowed(len(t)) for t in terms]
         terms = [t for t in terms if t[-1] != "*"]
         # A word within d edits of a term holds one of the term's d + 1 parts, at most d places off.
         self.parts: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
@@ -49,7 +50,12 @@ class Automaton:
                 for e in range(-d, d + 1):
                     if a + e >= 0:
                         self.parts[d].setdefault(a + e << 8 | b - a, set()).add(term[a:b])
-        self.sizes = {n for t in terms for n in range(len(t) - allowed(len(t)), len(t) + allowed(len(t)) + 1)}
+        # for each length of a word: the most errors of terms about as long, and the parts to look for, by place
+        self.limits: dict[int, int] = {}
+        for t in terms:
+            d = allowed(len(t))
+            for n in range(len(t) - d, len(t) + d + 1):
+                self.limits[n] = max(self.limits.get(n, 0), d)
         self.checks = [(key >> 8, (key >> 8) + (key & 255), parts) for by in self.parts.values() for key, parts in by.items()]
 
     def near(self, word: str) -> tuple[int, int] | None:
@@ -64,24 +70,37 @@ class Automaton:
             return node[""], 0
         if stem is not None:
             return stem, 0
-        if len(word) not in self.sizes or not any(word[a:b] in parts for a, b, parts in self.checks):
+        limit = self.limits.get(len(word), 0)
+        if not limit:
             return None
-        limit = 2
+        for a, b, parts in self.checks:
+            if word[a:b] in parts:
+                break
+        else:
+            return None
+        masks: dict[str, int] = {}
+        for i, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << i
+        end, full = 1 << len(word), (2 << len(word)) - 1
         best: tuple[int, int] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)), "", "")]
+        stack = [(self.root, 1, 3 & full, (7 if limit > 1 else 0) & full)]
         while stack:
-            node, row, last, before = stack.pop()
-            if "" in node and row[-1] <= allowed(len(self.terms[node[""]])) and (best is None or (row[-1], node[""]) < (best[1], best[0])):
-                best = (node[""], row[-1])
+            node, r0, r1, r2 = stack.pop()
+            k = node.get("")
+            if k is not None:
+                off = 0 if r0 & end else 1 if r1 & end else 2 if r2 & end else 3
+                if off <= self.allow[k] and (best is None or (off, k) < best):
+                    best = (off, k)
             for c, child in node.items():
-                if c in ("", "*"):
+                if c == "" or c == "*":
                     continue
-                new = [row[0] + 1]
-                for j, w in enumerate(word):
-                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
-                if min(new) <= limit:
-                    stack.append((child, tuple(new), c, last))
-        return best
+                m = masks.get(c, 0)
+                n0 = (r0 & m) << 1
+                n1 = ((r1 & m) << 1 | r0 | r0 << 1 | n0 << 1) & full
+                n2 = ((r2 & m) << 1 | r1 | r1 << 1 | n1 << 1) & full if limit > 1 else 0
+                if n2 or n1:
+                    stack.append((child, n0, n1, n2))
+        return best and (best[1], best[0])
 
 
 def allowed(length: int) -> int:
@@ -112,7 +131,7 @@ class Scorer:
             got = near(word) if word else None
             if got is None and not word.isalnum() and len(word) > 4:
                 got = near("".join(c for c in word if c.isalnum()))
-            if got is not None and not (got[1] and word in plain):
+            if got is not None and not (word in plain and (got[1] or self.find.terms[got[0]][-1] == "*")):
                 term[k], distance[k] = got
         return term, distance
 
@@ -159,14 +178,14 @@ class Scorer:
         return x
 
 
-def mine(sample: DataFrame, *, most: int = 2000) -> tuple[list[str], list[float], list[str]]:
+def mine(sample: DataFrame, *, most: int = 2000, least_odds: float = 8.0) -> tuple[list[str], list[float], list[str]]:
     """(terms, weights, plain words) from labelled texts.
 
     A word's support is the number of distinct pairs of neighbours it has in toxic and in
-    other texts, so copies of one text count once.  It is a term if its toxic share is so far over
-    the average that, by Chernoff's bound, chance would hardly bring it about in any word.  Plain words are those near a term that other
-    texts use.  At most ``most`` terms are kept, the surest first.  Stems of four to six letters that
-    begin several such words are mined alike, and stand for these words.
+    other texts, so copies of one text count once.  It is a term if its odds are ``least_odds`` times the
+    average and so far over it that, by Chernoff's bound, chance would hardly bring that about in any word.  Plain words are those near a term, or with
+    a stem, that other texts use.  At most ``most`` terms are kept, the surest first.  Stems of four to six letters that
+    begin four terms or more, and whose words are as toxic taken together, stand for all words that begin so.
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,26 +214,30 @@ def mine(sample: DataFrame, *, most: int = 2000) -> tuple[list[str], list[float]
     q = min(0.999, max(total["a"] / total["n"], 1e-9))
     p = F.col("a") / F.col("n")
     sure = F.col("n") * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0))
-    terms = words.where((F.col("a") >= 5) & (p > 0.3) & (p > 2 * q)).withColumn("sure", sure).where(F.col("sure") >= float(np.log(max(total["v"], 2)) + 1))
+    odds = (F.col("a") + 0.5) / (F.col("n") - F.col("a") + 0.5) / (q / (1 - q))
+    needed = float(np.log(max(total["v"], 2)) + 1)
+    own = (F.col("a") >= 5) & (odds >= least_odds) & (sure >= needed)
+    terms = words.where(own).withColumn("sure", sure)
     found = terms.orderBy(F.desc("sure"), "word").limit(most).collect()
-    begins = words.select("a", "n", F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.substring("word", F.lit(1), k))).alias("word")).where("length(word) >= 4")
-    begins = begins.groupBy("word").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
-    begins = begins.where((F.col("a") >= 8) & (F.col("words") >= 6) & (p > 0.6)).withColumn("sure", sure).where(F.col("sure") >= float(np.log(max(total["v"], 2)) + 1))
+    ends = F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.substring("word", F.lit(1), k)))
+    begins = words.where("length(word) >= 4").select("a", "n", own.cast("int").alias("own"), ends.alias("word"))
+    begins = begins.groupBy("word").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.sum("own").alias("own"))
+    begins = begins.where((F.col("own") >= 4) & (odds >= least_odds)).withColumn("sure", sure)
     stems: list = []
-    for r in begins.orderBy(F.desc("sure"), F.length("word"), "word").limit(most).collect():
+    for r in begins.orderBy(F.desc("own"), F.desc(F.length("word")), "word").limit(most).collect():
         if not any(r["word"].startswith(x["word"]) or x["word"].startswith(r["word"]) for x in stems):
             stems.append(r)
     heads = tuple(r["word"] for r in stems)
     found = [r for r in found if not r["word"].startswith(heads)] if heads else found
-    names = [r["word"] for r in found] + [f"{h}*" for h in heads]
+    names = [r["word"] for r in found] + [f"{r['word']}*" for r in stems]
     find = Automaton(names)
 
     def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [w for w in batch["word"].to_pylist() if (near := find.near(w)) and near[1]]
+            got = [w for w in batch["word"].to_pylist() if (near := find.near(w)) and (near[1] or names[near[0]][-1] == "*")]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], ["word"])
 
-    plain = [r["word"] for r in words.where((F.col("n") - F.col("a") >= 1) & (p <= 0.5)).select("word").mapInArrow(lookalikes, "word string").limit(100_000).collect()]
+    plain = [r["word"] for r in words.where((F.col("n") - F.col("a") >= 1) & (odds < least_odds)).select("word").mapInArrow(lookalikes, "word string").limit(100_000).collect()]
     words.unpersist()
     weights = [float(np.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)) - np.log(q / (1 - q))) for r in [*found, *stems]]
     return names, weights, plain
