@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 # Elements that begin and end a block, and elements whose content is never text.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
@@ -109,6 +109,11 @@ def blocks(page: str) -> list[Block]:
         name = name[1].lower()
         if name in BLOCK_TAGS:
             flush()
+        elif name == "br" and not silent:  # one is white space, several end a block
+            if parts and parts[-1] == "\n":
+                flush()
+            elif parts:
+                parts.append("\n")
         if token[1] == "/":
             if any(n == name for n, _ in stack):
                 while stack:

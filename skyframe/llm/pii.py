@@ -26,7 +26,7 @@ STRICT = {
 }
 # Looser shapes: addresses spelled out, addresses of eight groups, numbers without a country code.
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|(?<= )at(?= )) ?[a-z0-9-]{1,63}+ ?(?:\[dot\]|\(dot\)|(?<= )dot(?= )) ?[a-z]{2,10}(?![a-z0-9])",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?: ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,63}+(?:\.[a-z0-9-]{1,63}+| ?(?:\[dot\]|\(dot\)) ?[a-z0-9-]{1,63}+){1,8}| at [a-z0-9-]{1,63}+ dot [a-z]{2,10}(?![a-z0-9]))",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+(.-])(?<![0-9+] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])(?![ .-][0-9])",
 }
@@ -134,7 +134,7 @@ def candidates(text: Column) -> Column:
     """Array of (kind, start, end, base, votes): all proposed spans of a text."""
     dots, at = text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), text.contains("@")
     chain = text.rlike(r"[0-9](?:[ -]?[0-9]){12}")
-    spelled = (text.contains("at]") | text.contains("at)") | text.contains(" at ") | text.contains("AT]") | text.contains("AT)")) & (text.contains("dot") | text.contains("DOT"))
+    spelled = text.contains("at]") | text.contains("at)") | text.contains("AT]") | text.contains("AT)") | (text.contains(" at ") & text.contains(" dot "))
     groups = text.contains(":") & text.rlike(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]")
     local = text.rlike(r"[0-9]{3}[) .-] ?[0-9]{3}[ .-][0-9]{4}")
     guards = {("email", 1): at, ("ip", 1): dots, ("card", 1): chain, ("phone", 1): text.contains("+"), ("email", 0): spelled, ("ip", 0): groups, ("phone", 0): local}
@@ -229,7 +229,9 @@ def accepted(spans: Column, labels: Labels) -> Column:
             score = F.when(x.kind == kind, z).otherwise(score)
         # two labelers that read different things must agree
         agree = F.size(F.filter(x.votes, lambda v: v == 1)) >= 2
-        return (score >= 0) & agree & (F.get(x.votes, F.lit(3)) == 1) & (F.get(x.votes, F.lit(4)) == 0)
+        # and a number needs a word beside it that says what it is; a spelled-out address says so itself
+        told = (x.kind == KINDS.index("email")) | (F.get(x.votes, F.lit(3)) == 1)
+        return (score >= 0) & agree & told & (F.get(x.votes, F.lit(4)) == 0)
 
     meets = lambda x, y: (x.start < y.end) & (y.start < x.end)
 

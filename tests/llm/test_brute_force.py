@@ -341,10 +341,10 @@ def test_personal_data_of_documents(spark, data, texts):
 
 
 def test_labelers_add_spans_and_leave_plain_numbers_alone(spark):
-    texts = ["please call me, phone (555) 555-0271 today", "mail: john [at] example [dot] com", "order 555 555 0271 of parts", "the sum 123 456 7890 was", "card number 4111111111111112 visa", "nothing"]
+    texts = ["please call me, phone (555) 555-0271 today", "mail: john [at] example [dot] com", "order 555 555 0271 of parts", "the sum 123 456 7890 was", "card number 4111111111111112 visa", "nothing", "jane.d(at)mail.example.org. Next day", "we met at noon dot that"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
-    assert got[0] == "phone:22:36" and got[1].startswith("email:6:") and not got[2] and not got[3] and not got[5]
+    assert got[0] == "phone:22:36" and got[1].startswith("email:6:") and not got[2] and not got[3] and not got[5] and got[6] == "email:0:26" and not got[7]
 
 
 def test_redaction_is_what_the_spans_say(spark, data, texts):

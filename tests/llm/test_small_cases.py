@@ -97,10 +97,10 @@ def test_urls(spark):
 
 def test_pages(spark):
     pages = [None, "", "<", "<p>", "plain words only, no markup at all", "<article><p>A&amp;B &lt;x&gt; &am <b>bold<br><p>two</article>", "<div>" * 3000 + "deep " * 40 + "</div>" * 10, "<script>var a='<p>no</p>'</script><article><p>yes</p></article>",
-             "<!-- <p>no</p> --><main><h2>T</h2><p>x  y\n z</p><div class='comments'><p>no no</p></div></main><aside>no</aside>"]
+             "<article><p>one<br>two<br><br>three<br>\n<br>four</p></article>", "<!-- <p>no</p> --><main><h2>T</h2><p>x  y\n z</p><div class='comments'><p>no no</p></div></main><aside>no</aside>"]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumns({"text": F.lit("z"), "n_chars": F.lit("z")})
     got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
-    assert got[0] == got[1] == "" and got[5] == "A&B <x> &am bold\n\ntwo" and got[7] == "yes" and got[8] == "T\n\nx y z"
+    assert got[0] == got[1] == "" and got[5] == "A&B <x> &am bold\n\ntwo" and got[7] == "yes" and got[8] == "one two\n\nthree\n\nfour" and got[9] == "T\n\nx y z"
     assert all(r.n_chars == len(r.text) for r in html_text.extract_text(df).collect())
 
 
