@@ -218,19 +218,23 @@ def cut(docs: DataFrame, vocabulary: str, *, cap: int = 2048, end_id: int = 0, i
     return docs.select(id_col, text_col).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_pieces(pieces: DataFrame, *, cap: int = 2048, salts: int = 256) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, cap: int = 2048, rows_per_salt: int = 500) -> DataFrame:
     """Give every row of ``pieces`` (doc_id, piece, length, ...) a sequence_id and an offset in it.
 
     The histogram of lengths has at most ``cap`` rows, so it is planned on the driver.  Pieces are then numbered
-    within their length, first inside (length, salt) and then by the sums of the salts before,
-    so a length that half of all pieces have is still numbered by many tasks; the number
+    within their length, first inside (length, salt) and then by the sums of the salts before; a length has as
+    many salts as its count calls for, so one that half of all pieces have is still numbered by many
+    tasks, and there are at most 200,000 salts besides one for each length.  The number
     picks the piece's place in the plan.  Null ids and repeated rows are pieces like others.
     """
-    pieces = checkpoint(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
-    sums = checkpoint(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
+    pieces = checkpoint(pieces)
     counts = np.zeros(cap + 1, dtype=np.int64)
-    for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["length"]] = r["n"]
+    each = max(rows_per_salt, int(counts.sum()) // 200_000)
+    salts = pieces.sparkSession.createDataFrame([(length, int(-(-n // each))) for length, n in enumerate(counts.tolist()) if n] or [(0, 1)], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
+    sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     places: list[tuple[int, int, int, int]] = []  # length, first number, first sequence, offset
     given, sequence = np.zeros(cap + 1, dtype=np.int64), 0
     for pattern, n in plan(counts, cap):
@@ -244,7 +248,7 @@ def pack_pieces(pieces: DataFrame, *, cap: int = 2048, salts: int = 256) -> Data
     shared = pieces.sparkSession.sparkContext.broadcast((table, (table[:, 0] << 44) | table[:, 1]))
 
     before = sums.selectExpr("length", "salt", "sum(n) OVER (PARTITION BY length ORDER BY salt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before")
-    numbered = pieces.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece) - 1 AS nth")
+    numbered = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece) - 1 AS nth")
     numbered = numbered.join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("nth"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
