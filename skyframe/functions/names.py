@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words in a rejection reason, the first of which that occurs names the quarantine folder.
-REJECT_SLUGS = (("signal", "signal_faible"), ("gradient", "gradient"), ("rotation", "rotation"), ("alignement", "alignement"), ("satur", "saturation"))
+REJECT_SLUGS = (("gradient", "gradient_wcs"), ("roulis", "roulis_relatif"), ("mesure", "mesure_wcs_impossible"))
 REJECT_DEFAULT = "groupe_trop_petit"
 
 
@@ -72,7 +72,7 @@ def reject_slug(reason: Column, slugs=REJECT_SLUGS, default: str = REJECT_DEFAUL
     """Folder of a rejection: that of the first word found in the reason."""
     out = F.lit(default)
     for word, slug in reversed(slugs):
-        out = F.when(F.lower(reason).contains(word), F.lit(slug)).otherwise(out)
+        out = F.when(reason.contains(word), F.lit(slug)).otherwise(out)
     return out
 
 

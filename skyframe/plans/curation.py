@@ -11,6 +11,9 @@ from ..functions import exprs as E
 from ..functions import names as N
 from ..operators import catalog as C
 
+# The filters whose images are searched for.
+FILTERS = ("F435W", "F475W", "F555W", "F606W", "F625W", "F775W", "F814W")
+
 
 def dec_runs(df: DataFrame, keys: Sequence[str], dec: str, tolerance_deg: float) -> DataFrame:
     """Number the stretches of declination that no gap of ``tolerance_deg`` cuts; no group reaches across one.
@@ -90,7 +93,7 @@ def per_chip(catalog: DataFrame, chips: Sequence[int] = (1, 2)) -> DataFrame:
     return split.withColumn("files", renamed)
 
 
-def select_fields(observations: DataFrame, *, instrument: str, filters: Sequence[str], target: str | None = None, name_length: int = 9) -> DataFrame:
+def select_fields(observations: DataFrame, *, instrument: str, filters: Sequence[str] = FILTERS, target: str | None = None, name_length: int = 9) -> DataFrame:
     """Calibrated images of an instrument, in a list of filters, of targets whose name begins so (a regular expression, any case)."""
     fine = (F.col("instrument_name") == instrument) & (F.col("dataproduct_type") == "image") & (F.col("intentType") == "science") & F.col("filters").isin(list(filters))
     fine = fine & (F.length("obs_id") == name_length)

@@ -276,10 +276,10 @@ def visit_regex(spark, sf_dir):
 @query("""
     SELECT p_partkey, lower(left(CASE WHEN p_name LIKE 'hst_%' THEN list_last(string_split(p_name, '_')) ELSE p_name END, 8)) AS root,
            p_brand || '/' || p_type || '/chip' || CAST(p_size AS VARCHAR) AS label,
-           CASE WHEN lower(p_type) LIKE '%signal%' THEN 'signal_faible' ELSE 'groupe_trop_petit' END AS slug FROM part""")
+           CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE '%BRASS%' THEN 'brass' ELSE 'groupe_trop_petit' END AS slug FROM part""")
 def name_parts(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.select("p_partkey", N.root8(F.col("p_name")).alias("root"), N.group_label(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("label"), N.reject_slug(F.col("p_type"), (("signal", "signal_faible"),)).alias("slug"))
+    return part.select("p_partkey", N.root8(F.col("p_name")).alias("root"), N.group_label(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("label"), N.reject_slug(F.col("p_type"), (("STEEL", "steel"), ("BRASS", "brass"))).alias("slug"))
 
 
 @query("""

@@ -55,7 +55,7 @@ def headers(df: DataFrame, keys: Sequence[str] = ("path",), content: str = "cont
 
 def clean_wcs(header: Column) -> Column:
     """The header without lookup-table distortions."""
-    return F.map_filter(header, lambda k, v: ~k.rlike("D2IM|CPDIS|DP[0-9]"))
+    return F.map_filter(header, lambda k, v: ~k.rlike("D2IM|CPDIS|DP"))
 
 
 def typed(df: DataFrame, file: str = "path", header: str = "header", size: str = "length") -> DataFrame:
