@@ -123,16 +123,20 @@ def anchor_clusters(df: DataFrame, keys: Sequence[str], value: str, tolerance: f
 def anchor_groups(df: DataFrame, keys: Sequence[str], row_id: str, value: str, tolerance: float) -> DataFrame:
     """Greedy groups in order of ``row_id``: a row joins the first group whose first row is less than ``tolerance`` away, else starts one.
 
-    Which rows start groups depends on the order, so it is a fold over a key's rows that keeps only the anchors;
-    anchors are at least a tolerance apart, so they are few where values are bounded, and rows are then matched to the anchors by a band join.
+    Which rows start groups depends on the order, so that is a fold; it sees only the first row of each distinct value, and only the run of
+    values that no gap of ``tolerance`` cuts.  Rows are then matched to the anchors by a band join.
     """
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(row_id).alias(row_id))
+    w = Window.partitionBy(*keys).orderBy(value)
+    gap = F.coalesce(F.col(value) - F.lag(value).over(w) >= tolerance, F.lit(False)).cast("int")
+    runs = first.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w))
     rows = F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("i"), F.col(value).alias("v"))))
     kind, id_kind = dict(df.dtypes)[value], dict(df.dtypes)[row_id]
 
     def step(state: Column, x: Column) -> Column:
         return F.when(F.exists(state, lambda a: F.abs(a.v - x.v) < tolerance), state).otherwise(F.concat(state, F.array(x)))
 
-    anchors = df.groupBy(*keys).agg(F.aggregate(rows, F.array().cast(f"array<struct<i: {id_kind}, v: {kind}>>"), step).alias("_a"))
+    anchors = runs.groupBy(*keys, "_run").agg(F.aggregate(rows, F.array().cast(f"array<struct<i: {id_kind}, v: {kind}>>"), step).alias("_a"))
     each = anchors.select(*keys, F.explode("_a").alias("_a")).select(*keys, F.col("_a.i").alias("anchor_id"), F.col("_a.v").alias("anchor_value"))
     near = band_join(df, each, keys, value, "anchor_value", tolerance).where(F.col("anchor_id") <= F.col(row_id))
     return near.groupBy(*keys, row_id).agg(F.min("anchor_id").alias("anchor_id"))

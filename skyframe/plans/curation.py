@@ -27,39 +27,41 @@ def dec_runs(df: DataFrame, keys: Sequence[str], dec: str, tolerance_deg: float)
     return df.join(runs, [*keys, dec])
 
 
-def _fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], joins) -> DataFrame:
-    """Rows in order, each put into the first group that ``joins(group, row)`` lets it join, else into a new one."""
+def _fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], place: Sequence[str], joins) -> DataFrame:
+    """Add ``group_no``: rows in order, each put into the first group that ``joins(group, row)`` lets it join, else into a new one.
+
+    Rows at one place join one group, so only the first of each distinct place is folded, in the part of a key that no gap cuts.
+    """
     kinds = dict(df.dtypes)
-    row = "struct<" + ", ".join(f"{c}: {kinds[c]}" for c in columns) + ">"
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("r")))), lambda s: s.r)
+    row = "struct<" + ", ".join(f"{c}: {kinds[c]}" for c in place) + ">"
+    first = df.groupBy(*keys, *place).agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])).alias("_first"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_first", F.struct(*place).alias("r")))), lambda s: s.r)
 
     def step(groups: Column, x: Column) -> Column:
         at = F.array_position(F.transform(groups, lambda g: joins(g, x)), F.lit(True))
         grown = F.transform(groups, lambda g, i: F.when(i == at - 1, F.concat(g, F.array(x))).otherwise(g))
         return F.when(at > 0, grown).otherwise(F.concat(groups, F.array(F.array(x))))
 
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, F.array().cast(f"array<array<{row}>>"), step).alias("_g"))
-    each = folded.select(*keys, F.posexplode("_g").alias("group_no", "_rows"))
-    return each.select(*keys, "group_no", F.posexplode("_rows").alias("pos", "_r")).select(*keys, "group_no", "pos", "_r.*")
+    folded = first.groupBy(*keys).agg(F.aggregate(rows, F.array().cast(f"array<array<{row}>>"), step).alias("_g"))
+    each = folded.select(*keys, F.posexplode("_g").alias("group_no", "_rows")).select(*keys, "group_no", F.explode("_rows").alias("_r"))
+    return df.join(each.select(*keys, "group_no", *[F.col(f"_r.{c}").alias(c) for c in place]), [*keys, *place])
 
 
 def group_by_pointing(records: DataFrame, *, tolerance: float = 10.0, keys: Sequence[str] = ("filter",), order: Sequence[str] = ("file",)) -> DataFrame:
     """Greedy groups around their first exposure: a record joins the first group whose first member is less than ``tolerance`` arcseconds away."""
     runs = dec_runs(records, keys, "dec_targ", tolerance / 3600)
-    columns = [c for c in runs.columns if c not in (*keys, "run")]
     near = lambda g, x: E.separation_arcsec(g[0].ra_targ, g[0].dec_targ, x.ra_targ, x.dec_targ) < tolerance
-    return _fold(runs, [*keys, "run"], list(order), columns, near)
+    return _fold(runs, [*keys, "run"], list(order), ["ra_targ", "dec_targ"], near)
 
 
 def group_complete(records: DataFrame, *, tolerance: float = 10.0, roll: float = 0.1, keys: Sequence[str] = ("filter",), order: Sequence[str] = ("date_obs", "root")) -> DataFrame:
     """Groups in which each member is near all others in position and roll."""
     runs = dec_runs(records, keys, "dec_targ", tolerance / 3600)
-    columns = [c for c in runs.columns if c not in (*keys, "run")]
 
     def near(g: Column, x: Column) -> Column:
         return F.forall(g, lambda m: (E.separation_arcsec(m.ra_targ, m.dec_targ, x.ra_targ, x.dec_targ) < tolerance) & (F.abs(m.cd_angle - x.cd_angle) <= roll))
 
-    return _fold(runs, [*keys, "run"], list(order), columns, near)
+    return _fold(runs, [*keys, "run"], list(order), ["ra_targ", "dec_targ", "cd_angle"], near)
 
 
 def near_pairs(records: DataFrame, *, tolerance: float = 10.0, roll: float | None = None, keys: Sequence[str] = ("filter",)) -> DataFrame:
