@@ -46,7 +46,7 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def small(batches: Iterable[pa.RecordBatch], column: str | int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterable[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text; a longer text is a batch of its own.
 
     An Arrow batch is cut by rows, so its size depends on the texts; this bounds what a task holds at once.

@@ -140,7 +140,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
     width = 2 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.alias("band"), F.substring("sketch", j * width + 1, F.lit(width)).alias("key")))
     rows = reps.select("rep", F.explode(band).alias("b")).select("b.band", "b.key", "rep")
-    buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "key", "least")
+    # Aggregates over buckets are written before they are joined, so both sides of each join are plain shuffles,
+    # and the part of one bucket that very many documents share can be split between tasks.
+    buckets = checkpoint(rows.groupBy("band", "key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "key", "least"))
     members = checkpoint(rows.join(buckets, ["band", "key"]))  # band, key, rep, least
 
     pairs = checkpoint(members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
@@ -170,20 +172,20 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
         """The members of buckets that hold several components."""
         own = parts.select(F.col("id").alias("rep"), F.col("component").alias("c"))
         known = members.join(own, "rep", "left").select("band", "key", "rep", F.coalesce("c", "rep").alias("c"))
-        mixed = known.groupBy("band", "key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("band", "key")
+        mixed = checkpoint(known.groupBy("band", "key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("band", "key"))
         return known.join(mixed, ["band", "key"])
 
     open_ = checkpoint(placed())
     degree = edges.select(F.col("src").alias("rep")).unionByName(edges.select(F.col("dst").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     ranked = open_.join(degree, "rep", "left").withColumn("rank", F.coalesce("links", F.lit(0)) * 1_000_000 + F.pmod(F.xxhash64("rep"), F.lit(1_000_000)))
-    hubs = ranked.groupBy("band", "key").agg(F.max_by("rep", "rank").alias("a"), F.max_by("c", "rank").alias("ca"))
+    hubs = checkpoint(ranked.groupBy("band", "key").agg(F.max_by("rep", "rank").alias("a"), F.max_by("c", "rank").alias("ca")))
     pairs = open_.join(hubs, ["band", "key"]).where("c <> ca AND rep <> a").select("a", F.col("rep").alias("b")).distinct()
     edges = checkpoint(edges.unionByName(verified(pairs)))
     parts = checkpoint(connected_components(edges))
 
     open_ = checkpoint(placed().join(reps.select("rep", "n", "sketch"), "rep"))
     cut = threshold - 3 * float(np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS)))
-    blocks = open_.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    blocks = checkpoint(open_.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
     dealt = open_.join(blocks, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "c", "n", "sketch")
