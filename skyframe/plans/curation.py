@@ -122,9 +122,9 @@ def select_products(products: DataFrame, obs_id: str) -> DataFrame:
     return products.where(F.col("productFilename").startswith("hst_") & mine)
 
 
-def ready_targets(listing: DataFrame) -> DataFrame:
-    """Target folders with just two single exposures and a combined image."""
-    single = F.col("name").endswith("_flc.fits") & ~F.col("name").contains("_asure")
+def ready_targets(listing: DataFrame, derived: str = "_(clean|destriped|denoised)") -> DataFrame:
+    """Target folders with just two single exposures (without those that ``derived`` marks as made from others) and a combined image."""
+    single = F.col("name").endswith("_flc.fits") & ~F.col("name").rlike(derived)
     combined = F.col("name").endswith("_drc.fits") & ~F.col("name").contains("skycell")
     got = listing.groupBy("target").agg(F.count(F.when(single, 1)).alias("n_single"), F.count(F.when(combined, 1)).alias("n_combined"))
     return got.withColumn("status", F.when((F.col("n_single") == 2) & (F.col("n_combined") >= 1), "ready").otherwise("SKIP"))
