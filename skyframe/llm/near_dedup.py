@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
             right += rep[j].tolist()
         return pa.table({"a": pa.array(left, group.schema.field("rep").type), "b": pa.array(right, group.schema.field("rep").type)})
 
+    dealt = dealt.repartition("band", "key", "b1", "b2")  # else the join's partitions, which hold a bucket whole, would do
     pairs = dealt.groupBy("band", "key", "b1", "b2").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
     edges = edges.unionByName(verified(pairs))
     parts = connected_components(edges).select(F.col("id").alias("rep"), "component")

@@ -116,7 +116,7 @@ def link_vectors(
     row = ["cell", "rep", "n", "vec", "cells"]
     asks = spread.where("home").select(*row, F.pmod("h", "homes").cast("int").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("ab"), F.lit(True).alias("asks"))
     told_of = spread.select(*row, F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hb"), F.pmod("h", "alls").cast("int").alias("ab"), F.lit(False).alias("asks"))
-    dealt = asks.unionByName(told_of)
+    dealt = asks.unionByName(told_of).repartition("cell", "hb", "ab")  # else a join's partitions by cell could do
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
