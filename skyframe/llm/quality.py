@@ -161,11 +161,12 @@ def quality(docs: DataFrame, labels: DataFrame, *, grade: int | None = None, tai
     model = train(docs, labels, held_out=default_held_out(id_col), label_col=label_col, id_col=id_col, text_col=text_col, sample_rows=sample_rows)
     grades = np.array(model.grades, float)
     at = int(np.searchsorted(grades, grade)) if grade is not None else min(1, len(grades) - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.grades, model.thresholds, model.weights, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(*shared.value)
         for batch in small(batches, 1):
-            p = shared.value.probabilities(batch.column(1))
+            p = fitted.probabilities(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p @ grades), pa.array(p[:, at:].sum(1))], ["doc_id", "expected_grade", "tail_probability"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -109,7 +109,8 @@ def allowed(length: int) -> int:
 
 
 def core(word: str) -> str:
-    """A lower-case word without the marks around it."""
+    """A word in lower case, letters beyond ASCII too, without the marks around it."""
+    word = word.lower()
     return word if word.isalnum() else _CORE.sub("", word)
 
 
@@ -117,7 +118,9 @@ FEATURES = ("unquoted", "fuzzy", "quoted", "any", "distinct", "density", "addres
 
 
 class Scorer:
-    """The features of a batch of texts, for a lexicon of weighted terms and a set of plain words that only look like one."""
+    """The features of a batch of texts; hits inside quotations count in a feature of their own only.
+
+    Made for a lexicon of weighted terms and a set of plain words that only look like one."""
 
     def __init__(self, terms: list[str], weights: list[float], plain: list[str], window: int):
         self.find = Automaton(terms)
@@ -163,18 +166,17 @@ class Scorer:
             heavy = unquoted = fuzzy = quoted = addressed = 0.0
             for p in places[owner == text] - a:
                 code = codes[a + p]
+                if self.quoted(words, int(p)):
+                    quoted += 1
+                    continue
                 near = words[max(0, p - self.window) : p + self.window + 1]
                 seen.add(int(term[code]))
                 heavy += self.weights[term[code]]
-                if self.quoted(words, int(p)):
-                    quoted += 1
-                elif distance[code]:
-                    fuzzy += 1
-                else:
-                    unquoted += 1
+                fuzzy += distance[code] > 0
+                unquoted += distance[code] == 0
                 addressed += any(core(w) in ADDRESS for w in near)
-            n = unquoted + fuzzy + quoted
-            x[text] = (np.log1p(unquoted), np.log1p(fuzzy), np.log1p(quoted), 1.0, np.log1p(len(seen)), np.log1p(100 * n / (b - a)), addressed / n, heavy / n)
+            n = max(unquoted + fuzzy, 1)
+            x[text] = (np.log1p(unquoted), np.log1p(fuzzy), np.log1p(quoted), len(seen) > 0, np.log1p(len(seen)), np.log1p(100 * (unquoted + fuzzy) / (b - a)), addressed / n, heavy / n)
         return x
 
 

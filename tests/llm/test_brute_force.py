@@ -271,6 +271,7 @@ def test_quotation_is_told_from_abuse():
     names = {n: i for i, n in enumerate(toxicity.FEATURES)}
     assert (x[:, names["unquoted"]] > 0).tolist() == [True, False, False, False, False]
     assert (x[:, names["quoted"]] > 0).tolist() == [False, True, True, False, False] and x[3, names["fuzzy"]] > 0 and x[4].sum() == 0
+    assert (x[:, names["any"]] > 0).tolist() == [True, False, False, True, False]
 
 
 def test_quality_on_held_out_documents(spark):
