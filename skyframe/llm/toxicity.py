@@ -180,13 +180,14 @@ class Scorer:
         return x
 
 
-def mine(sample: DataFrame, *, most: int = 2000, least_odds: float = 8.0) -> tuple[list[str], list[float], list[str]]:
+def mine(sample: DataFrame, *, most: int = 2000, most_plain: int = 100_000, least_odds: float = 8.0) -> tuple[list[str], list[float], list[str]]:
     """(terms, weights, plain words) from labelled texts.
 
     A word's support is the number of distinct pairs of neighbours it has in toxic and in
     other texts, so copies of one text count once.  It is a term if its odds are ``least_odds`` times the
     average and so far over it that, by Chernoff's bound, chance would hardly bring that about in any word.  Plain words are those near a term, or with
-    a stem, that other texts use.  At most ``most`` terms are kept, the surest first.  Stems of four to six letters that
+    a stem, that other texts use.  At most ``most`` terms are kept, the surest first, and ``most_plain`` plain words, the most
+    used first; the sample's own bound keeps its words far below that.  Stems of four to six letters that
     begin four terms or more, and whose words are as toxic taken together, stand for all words that begin so.
     """
 
@@ -236,10 +237,11 @@ def mine(sample: DataFrame, *, most: int = 2000, least_odds: float = 8.0) -> tup
 
     def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [w for w in batch["word"].to_pylist() if (near := find.near(w)) and (near[1] or names[near[0]][-1] == "*")]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], ["word"])
+            alike = [bool((near := find.near(w)) and (near[1] or names[near[0]][-1] == "*")) for w in batch["word"].to_pylist()]
+            yield batch.filter(pa.array(alike, pa.bool_()))
 
-    plain = [r["word"] for r in words.where((F.col("n") - F.col("a") >= 1) & (odds < least_odds)).select("word").mapInArrow(lookalikes, "word string").limit(100_000).collect()]
+    alike = words.where((F.col("n") - F.col("a") >= 1) & (odds < least_odds)).select("word", "n").mapInArrow(lookalikes, "word string, n long")
+    plain = [r["word"] for r in alike.orderBy(F.desc("n"), "word").limit(most_plain).collect()]
     words.unpersist()
     weights = [float(np.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)) - np.log(q / (1 - q))) for r in [*found, *stems]]
     return names, weights, plain
