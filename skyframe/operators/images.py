@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_SCALE, ring_ratio_ok
 from ..session import checkpoint
+from .graph import connected_components
 from .stats import clipped_median
 
 
@@ -350,25 +351,17 @@ def source_mask(pixels: DataFrame, keys: Sequence[str], *, k: float = 3.0, round
     return pixels.join(spread.withColumn("masked", F.lit(True)), [*keys, "y", "x"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
 
 
-def label_components(mask: DataFrame, keys: Sequence[str], rounds: int = 64) -> DataFrame:
+def label_components(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """4-connected components of marked pixels: the least (y, x) that steps between marked pixels reach, as ``label``.
 
-    Runs along rows get their label at once; runs that touch in the next row then take the lesser label until none changes,
-    so rounds are the rows a label must cross, not its pixels.
+    Runs along rows are nodes, and runs that touch in the next row are linked; star contraction settles in about
+    the logarithm of the runs a component has, however tall it is, and raises if it doesn't settle.
     """
     w = Window.partitionBy(*keys, "y").orderBy("x")
     run = mask.select(*keys, "y", "x").distinct().withColumn("_i", F.col("x") - F.row_number().over(w))
-    runs = run.groupBy(*keys, "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("label", F.struct("y", F.col("x0").alias("x")))
-    touching = runs.alias("a").join(runs.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.abs(F.col("a.y") - F.col("b.y")) == 1, F.col("a.x0") <= F.col("b.x1"), F.col("b.x0") <= F.col("a.x1")])
-    touching = touching.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.y").alias("y"), F.col("a._i").alias("_i"), F.col("b.y").alias("_by"), F.col("b._i").alias("_bi"))
-    touching, runs = checkpoint(touching), checkpoint(runs)
-    for _ in range(rounds):
-        other = runs.select(*keys, F.col("y").alias("_by"), F.col("_i").alias("_bi"), F.col("label").alias("_l"))
-        low = touching.join(other, [*keys, "_by", "_bi"]).groupBy(*keys, "y", "_i").agg(F.min("_l").alias("_l"))
-        new = runs.join(low, [*keys, "y", "_i"], "left").withColumn("_new", F.least("label", F.coalesce("_l", "label")))
-        new = checkpoint(new)
-        changed = not new.where("_new <> label").isEmpty()
-        runs = new.select(*keys, "y", "_i", "x0", "x1", F.col("_new").alias("label"))
-        if not changed:
-            break
-    return runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("label.y").alias("label_y"), F.col("label.x").alias("label_x"))
+    runs = run.groupBy(*keys, "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    runs = checkpoint(runs.select(*keys, "y", "x0", "x1", F.struct(*keys, "y", F.col("x0").alias("x")).alias("_node")))
+    touching = runs.alias("a").join(runs.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.y") + 1 == F.col("b.y"), F.col("a.x0") <= F.col("b.x1"), F.col("b.x0") <= F.col("a.x1")])
+    parts = connected_components(touching.select(F.col("b._node").alias("src"), F.col("a._node").alias("dst")))
+    told = runs.join(parts, F.col("_node") == F.col("id"), "left").withColumn("label", F.coalesce("component", "_node"))
+    return told.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("label.y").alias("label_y"), F.col("label.x").alias("label_x"))

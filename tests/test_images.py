@@ -103,6 +103,16 @@ def test_components_match_flood_fill(spark):
     assert got == want
 
 
+def test_tall_components_get_one_label(spark):
+    column = [(1, y, 3) for y in range(300)]
+    stairs = [(2, y, y + d) for y in range(300) for d in (0, 1)]
+    fork = [(2, y, x) for x in (700, 702) for y in range(200)] + [(2, 199, 701)]
+    pts = spark.createDataFrame(column + stairs + fork, "chip int, y int, x int")
+    got = {(r.chip, r.y, r.x): (r.label_y, r.label_x) for r in I.label_components(pts, ["chip"]).collect()}
+    want = {p: (0, 3) for p in column} | {p: (0, 0) for p in stairs} | {p: (0, 700) for p in fork}
+    assert got == want
+
+
 def test_shift_and_drizzle_keep_flux(spark, image):
     df = frame(spark, image)
     got = grid(I.shift_bilinear(df, ["chip"], 0.25, 0.5), "v", image.shape)
