@@ -175,15 +175,14 @@ def _logsum(ways: np.ndarray) -> np.ndarray:
     return safe + np.log(np.exp(ways - safe).sum(0))
 
 
-def train(counts: DataFrame, texts: int, model_file: str, *, frequent: int = 2, rounds: int = 4) -> tuple[list[str], np.ndarray]:
+def train(counts: DataFrame, texts: int, model_file: str, *, rounds: int = 4) -> tuple[list[str], np.ndarray]:
     """Pieces and their probabilities, by expectation-maximisation over all distinct words of ``counts`` (token, c).
 
-    Each task sums what its words expect of each piece, so what reaches the driver is at most the vocabulary.  Rounds before
-    the last take the words that occur at least ``frequent`` times.
+    Each task sums what its words expect of each piece, so what reaches the driver is at most the vocabulary.  Every round takes every word.
     """
     pieces, p = vocabulary(model_file)
     sc = counts.sparkSession.sparkContext
-    for k in range(rounds):
+    for _ in range(rounds):
         shared = sc.broadcast((pieces, p))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -194,8 +193,7 @@ def train(counts: DataFrame, texts: int, model_file: str, *, frequent: int = 2,
             at = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(uses[at])], ["piece", "uses"])
 
-        rows = counts if k == rounds - 1 else counts.where(F.col("c") >= frequent)
-        got = rows.select("token", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        got = counts.select("token", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
         uses = np.zeros(len(pieces))
         uses[np.asarray(got["piece"])] = np.asarray(got["uses"])
         uses[-1] = texts
@@ -248,7 +246,7 @@ def score_documents(docs: DataFrame, model_file: str, *, held_out: Column | None
     n, v, texts = size["n"], size["v"], size["texts"]
     words = counts.where(F.col("token") != "\n")
     hot = words.where(F.col("c") >= max(1, n * hot_share)).toArrow()
-    model = train(words, texts, model_file, frequent=max(2, int(n * hot_share)))
+    model = train(words, texts, model_file)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model, hot["token"].combine_chunks(), np.asarray(hot["c"], dtype=np.float64)))
     unseen = float(np.log10(n + (v + 1)))

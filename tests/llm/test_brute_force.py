@@ -177,6 +177,24 @@ def test_rare_words_by_shuffle_give_the_same_as_by_broadcast(spark, data):
     assert all(a[k].n_known == b[k].n_known and a[k].base_score == pytest.approx(b[k].base_score) for k in a)
 
 
+def test_rare_words_count_in_every_round(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    a = {r.doc_id: r.score for r in lattice_lm.score_documents(docs, path, hot_share=1e-9).collect()}
+    b = {r.doc_id: r.score for r in lattice_lm.score_documents(docs, path, hot_share=1e-3).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
+    # the rounds by themselves, over all distinct words at once
+    train = docs.where(~F.coalesce(lattice_lm.default_held_out(), F.lit(False))).select("text").collect()
+    words = Counter(w for r in train for w in re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOWER)))
+    pieces, p = lattice_lm.vocabulary(path)
+    for _ in range(4):
+        uses = lattice_lm.Lattice(pieces, p).run(list(words), np.array(list(words.values()), float))[1]
+        uses[-1] = len(train)
+        p = (uses + 0.1) / (uses + 0.1).sum()
+    counts = spark.createDataFrame(list(words.items()), "token string, c long")
+    assert np.allclose(lattice_lm.train(counts, len(train), path)[1], p, rtol=1e-9)
+
+
 def test_lattice_sums_all_segmentations():
     pieces, p = ["▁a", "a", "b", "ab", "▁ab", "ba", "▁"], np.full(7 + 257, 0.001)
     p[:7] = [0.2, 0.1, 0.15, 0.05, 0.07, 0.03, 0.02]
