@@ -1,4 +1,4 @@
-"""Near-duplicate documents: ProbMinHash signatures of weighted word shingles, bands, exact verification."""
+"""Near-duplicate documents: ProbMinHash signatures of word shingles, bands, exact verification."""
 
 from __future__ import annotations
 
@@ -49,27 +49,26 @@ def probminhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, text
     return winner.reshape(texts, registers)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, hash, times) of the distinct shingles of each text, sorted by text and hash."""
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of the distinct shingles of each text, sorted by text and hash."""
     offsets, codes, vocabulary = split_words(texts)
     owner, h = shingle_hashes(offsets, hash_strings(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64), k)
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    at = np.flatnonzero(new)
-    return owner[at], h[at], np.diff(np.append(at, len(h)))
+    return owner[new], h[new]
 
 
 def _sketches(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: distinct shingles, two fingerprints of the set, and the signature cut to 16 bits a register."""
     n = len(texts)
-    owner, h, times = shingle_sets(texts, k)
+    owner, h = shingle_sets(texts, k)
     sizes = np.bincount(owner, minlength=n)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (11, 23)]
     fp1, fp2 = (s[ends[1:]] - s[ends[:-1]] for s in sums)
-    weight = 1 + np.log(times)
+    weight = np.ones(len(h))  # at equal weights probability Jaccard is the set Jaccard that links are defined by
     sketch = np.zeros((n, BANDS * ROWS), np.uint16)
     _, one = np.unique(fp1, return_index=True)  # copies have one signature; it is computed once
     one = one[np.argsort(sizes[one], kind="stable")]
@@ -107,9 +106,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
     (lower case, split at white space) is at least ``threshold``; class_id is the least
     doc_id that links reach, and the document with that id is kept.
 
-    1. One pass makes each document's ProbMinHash signature (shingles weigh 1 + ln(times)), cut
-       to 16 bits a register, and a 128-bit fingerprint of its set.  Documents with one set are
-       copies: one of them stands for all from here on.
+    1. One pass makes each document's ProbMinHash signature (each shingle of the set weighs 1, however
+       often it is repeated, so agreement estimates the similarity that links are defined by), cut to
+       16 bits a register, and a 128-bit fingerprint of its set.  Documents with one set are copies: one of them stands for all from here on.
     2. A bucket holds the documents that agree in one band.  Every member is verified against the
        bucket's least member; then, where a bucket still has several components, against its
        member with most links.  So no bucket is ever expanded into all its pairs.
@@ -150,7 +149,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
-            owner, h, _ = shingle_sets(batch["text"], k)
+            owner, h = shingle_sets(batch["text"], k)
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], ["rep", "shingles"])
 

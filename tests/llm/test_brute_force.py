@@ -75,6 +75,16 @@ def test_near_duplicates_in_one_large_group(spark):
     assert got == classes({i: shingles(t) for i, t in docs})
 
 
+def test_near_duplicates_with_unequal_repetition(spark):
+    docs = []
+    for i in range(100):  # a passage stands 200 times in one copy and twice in the other
+        base, passage = [f"b{i}_{j}" for j in range(85)], [f"p{i}_{j}" for j in range(10)]
+        docs += [(2 * i, " ".join([f"x{i}", f"y{i}", *base, *passage * 200])), (2 * i + 1, " ".join([f"u{i}", f"v{i}", *base, *passage * 2]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == classes({i: shingles(t) for i, t in docs}) == {i: i - i % 2 for i in range(200)}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = {int(x): float(w) for x, w in zip(range(40), rng.uniform(0.5, 4, 40))}, {int(x): float(w) for x, w in zip(range(10, 50), rng.uniform(0.5, 4, 40))}
