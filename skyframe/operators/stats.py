@@ -21,10 +21,13 @@ def selected_percentile(df: DataFrame, keys: Sequence[str], value: Column, share
     rows = df.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL")
     near = 2.0 / precision
     sketch = F.percentile_approx("v", [max(0.0, share - near), min(1.0, share + near)], precision)
-    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_e")).select(*keys, "n", F.col("_e")[0].alias("lo"), F.col("_e")[1].alias("hi"))
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_e"))
+    # the bracket is wider than a rank only in groups of over ``precision`` rows; smaller ones are taken whole (nothing is over NaN)
+    few = F.col("n") <= 2 * precision
+    ends = ends.select(*keys, "n", F.when(few, float("-inf")).otherwise(F.col("_e")[0]).alias("lo"), F.when(few, float("nan")).otherwise(F.col("_e")[1]).alias("hi"))
     # everything under the bracket is one value, that above it is not needed
     where = F.when(F.col("v") < F.col("lo"), F.lit(None).cast("double")).otherwise(F.col("v"))
-    met = rows.join(ends, list(keys))
+    met = _with(rows, keys, ends)
     counted = met.where("v <= hi").groupBy(*keys, "n", where.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
     ranked = counted.withColumn("last", F.sum("c").over(w) - 1)  # rank of the last row with this value
@@ -34,6 +37,15 @@ def selected_percentile(df: DataFrame, keys: Sequence[str], value: Column, share
     return picked.select(*keys, "n", (F.col("a") + (F.col("b") - F.col("a")) * (at - low)).alias("p"))
 
 
+def _with(df: DataFrame, keys: Sequence[str], figures: DataFrame) -> DataFrame:
+    """``df`` with the figures of its groups, null where there are none; a null key is a group of its own."""
+    own = figures.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(own[f"_k_{k}"])
+    return df.join(own, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def mad_sigma(df: DataFrame, keys: Sequence[str], value: str, *, few_groups: bool = False) -> DataFrame:
     """n, median and 1.4826 times the median absolute deviation of each group; ``few_groups``: by selected_percentile."""
     if few_groups:
@@ -80,14 +92,17 @@ def clipped_median(df: DataFrame, keys: Sequence[str], value: str, *, k: float =
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one column for each share."""
-    got = df.groupBy(*keys).agg(F.percentile(value, [float(s) for s in shares]).alias("_p"))
-    return got.select(*keys, *[F.col("_p")[i].alias(f"p{str(round(100 * s, 3)).rstrip('0').rstrip('.').replace('.', '_')}") for i, s in enumerate(shares)])
+    out = df.select(*keys).distinct()
+    for s in shares:
+        name = f"p{str(round(100 * s, 3)).rstrip('0').rstrip('.').replace('.', '_')}"
+        out = _with(out, keys, selected_percentile(df, keys, F.col(value), s).select(*keys, F.col("p").alias(name)))
+    return out
 
 
 def joint_scale(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Common scale of several arrays of a group: p99 - p1, and a hair, so it is never 0."""
-    got = df.groupBy(*keys).agg(F.percentile(value, [low, high]).alias("_p"))
-    return got.select(*keys, (F.col("_p")[1] - F.col("_p")[0] + 1e-8).alias("scale"))
+    ends = [selected_percentile(df, keys, F.col(value), share).select(*keys, F.col("p").alias(name)) for share, name in ((low, "_a"), (high, "_b"))]
+    return _with(_with(df.select(*keys).distinct(), keys, ends[0]), keys, ends[1]).select(*keys, (F.col("_b") - F.col("_a") + 1e-8).alias("scale"))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], bin_: Column, bins: int) -> DataFrame:
@@ -96,7 +111,9 @@ def histogram(df: DataFrame, keys: Sequence[str], bin_: Column, bins: int) -> Da
 
 def tier_census(df: DataFrame, keys: Sequence[str], tier: Column, measure: str, least: int = 5) -> DataFrame:
     """Per group and tier: rows, and the measure's median where there are enough of them."""
-    got = df.withColumn("tier", tier).where("tier IS NOT NULL").groupBy(*keys, "tier").agg(F.count(F.lit(1)).alias("n"), F.median(measure).alias("_m"))
+    rows = df.withColumn("tier", tier).where("tier IS NOT NULL")
+    mid = selected_percentile(rows, [*keys, "tier"], F.col(measure), 0.5).select(*keys, "tier", F.col("p").alias("_m"))
+    got = _with(rows.groupBy(*keys, "tier").agg(F.count(F.lit(1)).alias("n")), [*keys, "tier"], mid)
     return got.withColumn("med", F.when(F.col("n") >= least, F.col("_m"))).drop("_m")
 
 

@@ -67,10 +67,13 @@ def survival(sources: DataFrame, *, edges: Sequence[float] = (10, 30, 100, 300),
     """
     rows = sources.withColumns({"tier": E.tier(F.col("peak_sig"), list(edges)), "surv": E.guarded_ratio(F.col("clean"), F.col("raw"))}).where("tier IS NOT NULL")
     enough = F.count(F.lit(1)) >= least
-    return rows.groupBy("group", "tier").agg(
-        F.count(F.lit(1)).alias("n"), F.when(enough, F.median("surv")).alias("surv"), F.when(enough, F.avg((F.col("surv") < 0.5).cast("double"))).alias("lost"),
+    mid = S.selected_percentile(rows, ["group", "tier"], F.col("surv"), 0.5).select(F.col("group").alias("_g"), F.col("tier").alias("_t"), "p")
+    got = rows.groupBy("group", "tier").agg(
+        F.count(F.lit(1)).alias("n"), F.when(enough, F.avg((F.col("surv") < 0.5).cast("double"))).alias("lost"),
         F.when(enough, F.avg((F.abs(F.col("raw") - F.col("clean")) > 5 * F.col("sigma")).cast("double"))).alias("damaged"),
     )
+    got = got.join(mid, F.col("group").eqNullSafe(F.col("_g")) & (F.col("tier") == F.col("_t")), "left")
+    return got.select("group", "tier", "n", F.when(F.col("n") >= least, F.col("p")).alias("surv"), "lost", "damaged")
 
 
 def census(sources: DataFrame, *, edges: Sequence[float] = (10, 30, 100, 300), star: float = 0.3) -> DataFrame:

@@ -78,8 +78,11 @@ def exposure_catalog(spark, sf_dir):
     SELECT o_custkey, count(*) AS n_obs, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderdate, o_orderkey)[1:6], ',') AS first_ids
     FROM orders GROUP BY 1 HAVING count(*) >= 3""")
 def group_min_size(spark, sf_dir):
-    ids = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), 1, 6), lambda s: s.o_orderkey.cast("string"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_obs"), F.array_join(ids, ",").alias("first_ids")).where("n_obs >= 3")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    first = C.top_per_group(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], 6)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda s: s.o_orderkey.cast("string"))
+    enough = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_obs")).where("n_obs >= 3")
+    return enough.join(first.groupBy("o_custkey").agg(F.array_join(ids, ",").alias("first_ids")), "o_custkey")
 
 
 @query("""
@@ -101,8 +104,11 @@ def box_filter_split(spark, sf_dir):
            round(median(o_totalprice), 4) AS med_price, min(o_totalprice) AS min_price, max(o_totalprice) AS max_price
     FROM orders GROUP BY ROLLUP (o_orderpriority)""")
 def catalog_rollup(spark, sf_dir):
-    aggs = {"n": F.count(F.lit(1)), "n_done": F.sum((F.col("o_orderstatus") == "F").cast("int")), "med_price": F.round(F.median("o_totalprice"), 4), "min_price": F.min("o_totalprice"), "max_price": F.max("o_totalprice")}
-    return C.total_line(table(spark, sf_dir, "orders"), "o_orderpriority", aggs)
+    aggs = {"n": F.count(F.lit(1)), "n_done": F.sum((F.col("o_orderstatus") == "F").cast("int")), "min_price": F.min("o_totalprice"), "max_price": F.max("o_totalprice")}
+    orders = table(spark, sf_dir, "orders")
+    each = S.selected_percentile(orders, ["o_orderpriority"], F.col("o_totalprice"), 0.5).select(F.col("o_orderpriority").cast("string").alias("o_orderpriority"), "p")
+    mid = each.unionByName(S.selected_percentile(orders.withColumn("_g", F.lit("TOTAL")), ["_g"], F.col("o_totalprice"), 0.5).select(F.col("_g").alias("o_orderpriority"), "p"))
+    return C.total_line(orders, "o_orderpriority", aggs).join(mid, "o_orderpriority", "left").withColumn("med_price", F.round("p", 4)).drop("p")
 
 
 @query("""

@@ -1,8 +1,12 @@
 """Every registered query that has SQL gives the rows that DuckDB gives."""
 
+import re
+
 import duckdb
+import numpy as np
 import pytest
 
+from skyframe.operators import stats as S
 from skyframe.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +41,26 @@ def test_runs_without_sql(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+@pytest.mark.parametrize("name", ["catalog_rollup", "percentile_table", "percentile_scale_asinh", "tier_census", "qc_survival"])
+def test_no_group_is_ranked_in_one_map(spark, data, name, capsys):
+    QUERIES[name](spark, data).explain()
+    assert not re.search(r"\b(percentile|median|percentile_cont)\(", capsys.readouterr().out)
+
+
+def test_group_min_size_keeps_six_before_it_collects(spark, data, capsys):
+    QUERIES["group_min_size"](spark, data).explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_percentiles_of_small_and_large_groups(spark):
+    rng = np.random.default_rng(0)
+    values = {k: rng.normal(size=n) for k, n in ((None, 9), (1, 1), (2, 7), (3, 150), (4, 30_000))}
+    df = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x], "k int, v double")
+    shares = [0.01, 0.1, 0.5, 0.9, 0.995]
+    for r in S.percentiles(df, ["k"], "v", shares).collect():
+        assert np.allclose(r[1:], np.quantile(values[r.k], shares))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
