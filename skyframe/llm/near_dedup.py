@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, hash_strings, mix, shingle_hashes, small, split_words
+from .common import Scratch, checkpoint, connected_components, fresh, hash_strings, mix, shingle_hashes, small, split_words
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 28, 6  # a pair at similarity 0.8 shares a band with probability 0.9998
@@ -130,100 +130,109 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
                 [batch["id"], pa.array(sizes.astype(np.int64)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), _binary(sketch)], ["id", "n", "fp1", "fp2", "sketch"]
             )
 
-    signed = checkpoint(source.mapInArrow(sign, f"id {kind}, n long, fp1 long, fp2 long, sketch binary"))
-    classes = signed.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"))
-    lead = classes.select("rep", F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).where("rep IS NOT NULL")
-    reps = signed.join(lead, (F.col("id") == F.col("rep")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")))
-    reps = checkpoint(reps.select("rep", "n", "sketch", "fp1").dropDuplicates(["rep", "fp1"]))
-
-    width = 2 * ROWS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.alias("band"), F.substring("sketch", j * width + 1, F.lit(width)).alias("key")))
-    rows = reps.select("rep", F.explode(band).alias("b")).select("b.band", "b.key", "rep")
-    # Aggregates over buckets are written before they are joined, so both sides of each join are plain shuffles,
-    # and the part of one bucket that very many documents share can be split between tasks.
-    buckets = checkpoint(rows.groupBy("band", "key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "key", "least"))
-    members = checkpoint(rows.join(buckets, ["band", "key"]))  # band, key, rep, least
-
-    pairs = checkpoint(members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
-    busy = members.select("rep").distinct()
-
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
             owner, h = shingle_sets(batch["text"], k)
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], ["rep", "shingles"])
 
-    sets = source.join(busy.hint("shuffle_hash"), F.col("id") == F.col("rep"), "left_semi").mapInArrow(to_sets, f"rep {kind}, shingles array<long>")
-    sets = checkpoint(sets)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-        b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(b, "b").where(F.size("sb") > 0).join(a, "a").where(F.size("sa") > 0)
-        both = both.where((F.size("sa") >= threshold * F.size("sb")) & (F.size("sb") >= threshold * F.size("sa")))
-        shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-        return checkpoint(shared.where(F.col("i") >= threshold * (F.col("t") - F.col("i")) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    edges = verified(pairs)
-    parts = checkpoint(connected_components(edges))
-
-    def placed() -> DataFrame:
-        """The members of buckets that hold several components."""
-        own = parts.select(F.col("id").alias("rep"), F.col("component").alias("c"))
-        known = members.join(own, "rep", "left").select("band", "key", "rep", F.coalesce("c", "rep").alias("c"))
-        mixed = checkpoint(known.groupBy("band", "key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("band", "key"))
-        return known.join(mixed, ["band", "key"])
-
-    open_ = checkpoint(placed())
-    degree = edges.select(F.col("src").alias("rep")).unionByName(edges.select(F.col("dst").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    ranked = open_.join(degree, "rep", "left").withColumn("rank", F.coalesce("links", F.lit(0)) * 1_000_000 + F.pmod(F.xxhash64("rep"), F.lit(1_000_000)))
-    hubs = checkpoint(ranked.groupBy("band", "key").agg(F.max_by("rep", "rank").alias("a"), F.max_by("c", "rank").alias("ca")))
-    pairs = open_.join(hubs, ["band", "key"]).where("c <> ca AND rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    edges = checkpoint(edges.unionByName(verified(pairs)))
-    parts = checkpoint(connected_components(edges))
-
-    open_ = checkpoint(placed().join(reps.select("rep", "n", "sketch"), "rep"))
-    cut = threshold - 3 * float(np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS)))
-    blocks = checkpoint(open_.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
-    dealt = open_.join(blocks, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "c", "n", "sketch")
-
-    def compare(group: pa.Table) -> pa.Table:
-        band, mixed = group["band"][0].as_py(), group["b1"][0].as_py() != group["b2"][0].as_py()
-        rep, c, n, own = (group[x].to_numpy() for x in ("rep", "c", "n", "own"))
-        z = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(rep), BANDS, ROWS)
-        left, right = [], []
-        for i in range(len(rep) - 1):
-            j = np.arange(i + 1, len(rep))
-            j = j[(c[j] != c[i]) & ((own[j] != own[i]) | (not mixed)) & (n[j] >= threshold * n[i]) & (n[i] >= threshold * n[j])]
-            if not len(j):
-                continue
-            same = z[j] == z[i]
-            j, same = j[(near := same.mean((1, 2)) >= cut)], same[near]
-            j = j[~same[:, :band].all(2).any(1)]  # told in an earlier band
-            left += [rep[i]] * len(j)
-            right += rep[j].tolist()
-        return pa.table({"a": pa.array(left, group.schema.field("rep").type), "b": pa.array(right, group.schema.field("rep").type)})
-
-    dealt = dealt.repartition("band", "key", "b1", "b2")  # else the join's partitions, which hold a bucket whole, would do
-    pairs = dealt.groupBy("band", "key", "b1", "b2").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
-    edges = edges.unionByName(verified(pairs))
-    parts = connected_components(edges).select(F.col("id").alias("rep"), "component")
-
-    found = classes.join(parts, "rep", "left").select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), F.coalesce("component", "rep").alias("class_id"))
-    linked = signed.where("n > 0").join(found, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2"))).select("id", "class_id", "n")
-    out = linked.unionByName(signed.where("n = 0").select("id", F.col("id").alias("class_id"), "n"))
-    kept = F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull())
-    return out.select(F.col("id").alias("doc_id"), "class_id", F.col("n").alias("n_shingles"), kept.alias("kept"))
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.keep(source.mapInArrow(sign, f"id {kind}, n long, fp1 long, fp2 long, sketch binary"))
+        copies = scratch.keep(signed.select("id", "n", "fp1", "fp2"))
+        classes = copies.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"))
+        lead = classes.select("rep", F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).where("rep IS NOT NULL")
+        reps = signed.join(lead, (F.col("id") == F.col("rep")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")))
+        reps = scratch.keep(reps.select("rep", "n", "sketch", "fp1").dropDuplicates(["rep", "fp1"]))
+        scratch.drop(signed)
+
+        # A bucket's key is a hash of its band's registers; buckets that share one only have more to verify.
+        width = 2 * ROWS
+        band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.cast("byte").alias("band"), F.xxhash64(j, F.substring("sketch", j * width + 1, F.lit(width))).alias("bucket")))
+        rows = reps.select("rep", F.explode(band).alias("b")).select("b.band", "b.bucket", "rep")
+        # Aggregates over buckets are joined back as plain shuffles, so the part of one bucket that very many
+        # documents share is summed before it moves and can be split between tasks.
+        buckets = rows.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least")
+        members = scratch.keep(rows.join(buckets, "bucket"))  # bucket, band, rep, least
+        pairs = scratch.keep(members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
+        busy = members.select("rep").distinct()
+        sets = source.join(busy.hint("shuffle_hash"), F.col("id") == F.col("rep"), "left_semi").mapInArrow(to_sets, f"rep {kind}, shingles array<long>")
+        sets = scratch.keep(sets)
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+            b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+            both = pairs.join(b, "b").where(F.size("sb") > 0).join(a, "a").where(F.size("sa") > 0)
+            both = both.where((F.size("sa") >= threshold * F.size("sb")) & (F.size("sb") >= threshold * F.size("sa")))
+            shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+            return scratch.keep(shared.where(F.col("i") >= threshold * (F.col("t") - F.col("i")) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+        def joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+            """The components of those known and of more edges."""
+            return connected_components(parts.select(F.col("rep").alias("src"), F.col("component").alias("dst")).unionByName(edges)).select(F.col("id").alias("rep"), "component")
+
+        def mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+            """The members of buckets that still hold several components."""
+            known = members.select("bucket", "band", "rep").join(parts, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("c"))
+            several = known.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("bucket")
+            return scratch.keep(known.join(several, "bucket"))
+
+        edges = verified(pairs)
+        parts = connected_components(edges).select(F.col("id").alias("rep"), "component")
+        apart = mixed(members, parts)
+        scratch.drop(pairs, members)
+
+        degree = edges.select(F.col("src").alias("rep")).unionByName(edges.select(F.col("dst").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        ranked = apart.join(degree, "rep", "left").withColumn("rank", F.coalesce("links", F.lit(0)) * 1_000_000 + F.pmod(F.xxhash64("rep"), F.lit(1_000_000)))
+        hubs = ranked.groupBy("bucket").agg(F.max_by("rep", "rank").alias("a"), F.max_by("c", "rank").alias("ca"))
+        pairs = scratch.keep(apart.join(hubs, "bucket").where("c <> ca AND rep <> a").select("a", F.col("rep").alias("b")).distinct())
+        parts = joined(parts, verified(pairs))
+        last, apart = apart, mixed(apart, parts)
+        scratch.drop(pairs, edges, last)
+
+        cut = threshold - 3 * float(np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS)))
+        blocks = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        dealt = apart.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = dealt.join(reps.select("rep", "n", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bucket", "band", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "c", "n", "sketch")
+
+        def compare(group: pa.Table) -> pa.Table:
+            band, two = group["band"][0].as_py(), group["b1"][0].as_py() != group["b2"][0].as_py()
+            rep, c, n, own = (group[x].to_numpy() for x in ("rep", "c", "n", "own"))
+            z = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(rep), BANDS, ROWS)
+            left, right = [], []
+            for i in range(len(rep) - 1):
+                j = np.arange(i + 1, len(rep))
+                j = j[(c[j] != c[i]) & ((own[j] != own[i]) | (not two)) & (n[j] >= threshold * n[i]) & (n[i] >= threshold * n[j])]
+                if not len(j):
+                    continue
+                same = z[j] == z[i]
+                j, same = j[(near := same.mean((1, 2)) >= cut)], same[near]
+                j = j[~same[:, :band].all(2).any(1)]  # told in an earlier band
+                left += [rep[i]] * len(j)
+                right += rep[j].tolist()
+            return pa.table({"a": pa.array(left, group.schema.field("rep").type), "b": pa.array(right, group.schema.field("rep").type)})
+
+        dealt = dealt.repartition("bucket", "b1", "b2")  # else the join's partitions, which hold a bucket whole, would do
+        pairs = scratch.keep(dealt.groupBy("bucket", "b1", "b2").applyInArrow(compare, f"a {kind}, b {kind}").distinct())
+        parts = joined(parts, verified(pairs))
+
+        found = classes.join(parts, "rep", "left").select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), F.coalesce("component", "rep").alias("class_id"))
+        linked = copies.where("n > 0").join(found, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2"))).select("id", "class_id", "n")
+        out = linked.unionByName(copies.where("n = 0").select("id", F.col("id").alias("class_id"), "n"))
+        kept = F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull())
+        return checkpoint(out.select(F.col("id").alias("doc_id"), "class_id", F.col("n").alias("n_shingles"), kept.alias("kept")))
 
 
 def keep_one(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, all columns as they were; one row of each repeated id."""
-    away = near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(away, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
-    if again.isEmpty():
+    """The rows of ``docs`` that near_duplicates keeps, all columns as they were; one row of each repeated id.
+
+    Rows without an id, and null and empty texts, stay.  An empty table gives an empty one.
+    """
+    gone, again = fresh(docs, "gone"), fresh(docs, "again")
+    away = near_duplicates(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(away, F.col(id_col) == F.col(gone), "left_anti")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(again)).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(again)
+    if repeated.isEmpty():
         return left
-    twice = left.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return left.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(twice)
+    twice = left.join(repeated, F.col(id_col) == F.col(again), "left_semi").dropDuplicates([id_col])
+    return left.join(repeated, F.col(id_col) == F.col(again), "left_anti").unionByName(twice)
