@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import fresh, small
+
 # Elements that begin and end a block, and elements whose content is never text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -31,13 +34,71 @@ OUTER_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article body content entry main maincontent post story text articlebody".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+_TAG = re.compile(r"</?[a-zA-Z]")
+_STOP = re.compile(r"[>\"']")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _SPACE = re.compile(r"\s+")
 
+
+
+class Tokens:
+    """Cuts a page into tags, comments and text in one pass, whatever it holds.
+
+    A tag ends at the first ``>`` outside its quotation marks.  Once a mark turns out never to be closed, tags up to it end at their first
+    ``>``, so no stretch of a page is searched again and again; a ``<`` that nothing ends is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.unclosed = -1  # tags that begin before this place don't heed quotation marks
+        self.none: dict[str, int] = {}  # for each mark, the place from which the page has none
+
+    def find(self, mark: str, at: int) -> int:
+        if at >= self.none.get(mark, self.size + 1):
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.none[mark] = at
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place after the tag that begins at ``at``, or -1."""
+        if self.find(">", at) < 0:
+            return -1
+        begin = at
+        while begin >= self.unclosed:
+            stop = _STOP.search(self.page, at)
+            if stop is None:
+                self.unclosed = self.size
+            elif stop.group() == ">":
+                return stop.end()
+            else:
+                close = self.find(stop.group(), stop.end())
+                if close < 0:
+                    self.unclosed = stop.end()
+                at = close + 1
+        return self.find(">", begin) + 1
+
+    def next(self, at: int) -> int:
+        """The place after the token that begins at ``at``."""
+        page = self.page
+        if page[at] != "<":
+            end = self.find("<", at)
+            return self.size if end < 0 else end
+        if page.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return self.size if end < 0 else end + 3
+        if page.startswith(("<!", "<?"), at):
+            return self.find(">", at) + 1 or at + 1
+        if _TAG.match(page, at):
+            end = self.tag_end(at)
+            return at + 1 if end < 0 else end
+        return at + 1
+
+
 Block = tuple[str, int, int, bool, bool, bool]  # text, words, words in links, heading, in a main element, in an outer element
 
 
@@ -63,6 +124,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order.  Markup that isn't closed is closed by the elements around it."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    open_: Counter = Counter()  # how often each name is on the stack
+    tokens = Tokens(page)
     parts: list[str] = []
     linked = 0
     links: list[str] = []
@@ -81,6 +144,7 @@ def blocks(page: str) -> list[Block]:
 
     def leave(name: str, side: int) -> None:
         nonlocal silent, outer, main, anchors, heading
+        open_[name] -= 1
         silent -= name in SILENT_TAGS
         outer -= side < 0
         main -= side > 0
@@ -93,8 +157,8 @@ def blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{raw}(?=[\s>/]|\Z)", re.I).search(page, at)
             at, raw = (close.start() if close else end), ""
             continue
-        m = _TOKEN.match(page, at)
-        token, at = m.group(), m.end()
+        begin, at = at, tokens.next(at)
+        token = page[begin:at]
         if token[0] != "<" or token == "<":
             if not silent:
                 if not parts:
@@ -115,17 +179,17 @@ def blocks(page: str) -> list[Block]:
             elif parts:
                 parts.append("\n")
         if token[1] == "/":
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, side = stack.pop()
-                    leave(n, side)
-                    if n == name:
-                        break
+            while open_[name]:
+                n, side = stack.pop()
+                leave(n, side)
+                if n == name:
+                    break
         elif name not in VOID_TAGS and not token.endswith("/>"):
             if name in ("p", "li", "option", "a") and stack and stack[-1][0] == name:
                 leave(*stack.pop())
             side = _side(name, token)
             stack.append((name, side))
+            open_[name] += 1
             silent += name in SILENT_TAGS
             outer += side < 0
             main += side > 0
@@ -237,17 +301,18 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", labelled=LABELLED,
 
     The tree is trained from the labelled table (a parameter of a few dozen rows) on the
     driver and travels with the tasks; pages are read whole and don't move.  Null and empty
-    pages, and pages without main text, have an empty text.  An input column that has one of the two
-    names is replaced.
+    pages, and pages without main text, have an empty text.  Repeated rows are read each, an empty table gives an empty one, and an input
+    column that has one of the two names, in whatever case, is replaced.
     """
     tree = train(labelled)
-    kept = [c for c in pages.columns if c not in (name, "n_chars")]
-    source = pages.select(*kept, pages[html_col].alias("_html"))
-    schema = source.drop("_html").schema.add(name, "string").add("n_chars", "long")
+    kept = [c for c in pages.columns if c.lower() not in (name.lower(), "n_chars")]
+    page = fresh(pages, "page")
+    source = pages.select(*kept, pages[html_col].alias(page))
+    schema = source.drop(page).schema.add(name, "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(page, tree) for page in batch.column("_html").to_pylist()]
+        for batch in small(batches, page):
+            texts = [main_text(page_, tree) for page_ in batch.column(page).to_pylist()]
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, name, "n_chars"])
 
