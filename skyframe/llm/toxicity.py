@@ -19,7 +19,8 @@ REPORTS = frozenset(
     "sagte sagt nannte zitat zitierte schrieb wort begriff dit disait appelle citation mot terme cita dijo dice palabra escribió".split()
 )
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dir dein ihr euch tu toi ton te vous votre usted ustedes tú eres".split())
-OPENS, CLOSES = "\"“„«‹‘'", "\"”“»›’'"
+# For each mark that opens a quotation, the marks that close it.
+QUOTATIONS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’", "'": "'’"}
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -125,32 +126,54 @@ class Scorer:
     def __init__(self, terms: list[str], weights: list[float], plain: list[str], window: int):
         self.find = Automaton(terms)
         self.weights, self.plain, self.window = weights, frozenset(plain), window
+        self.known: dict[str, tuple[int, int] | None] = {}  # verdicts of words met before, so that a task judges a frequent word once
 
     def hits(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         term, distance = np.full(len(vocabulary), -1), np.zeros(len(vocabulary), np.int64)
         near, plain = self.find.near, self.plain
+        if len(self.known) > 200_000:
+            self.known.clear()
         for k, word in enumerate(vocabulary):
-            word = core(word)
-            got = near(word) if word else None
-            if got is None and not word.isalnum() and len(word) > 4:
-                got = near("".join(c for c in word if c.isalnum()))
-            if got is not None and not (word in plain and (got[1] or self.find.terms[got[0]][-1] == "*")):
+            got = self.known.get(word, self)
+            if got is self:
+                whole, word = word, core(word)
+                got = near(word) if word else None
+                if got is None and not word.isalnum() and len(word) > 4:
+                    got = near("".join(c for c in word if c.isalnum()))
+                if got is not None and word in plain and (got[1] or self.find.terms[got[0]][-1] == "*"):
+                    got = None
+                self.known[whole] = got
+            if got is not None:
                 term[k], distance[k] = got
         return term, distance
 
-    def quoted(self, words: list[str], at: int, report: frozenset = REPORTS) -> bool:
-        """Whether the word at ``at`` stands inside a quotation, or near a word that reports speech."""
-        depth = False
-        for i in range(max(0, at - 40), at):
-            w = words[i]
-            if w[0] in OPENS and not (len(w) > 1 and w[-1] in CLOSES):
-                depth = True
-            elif w.rstrip(".,;:!?")[-1:] and w.rstrip(".,;:!?")[-1] in CLOSES:
-                depth = False
-        w = words[at]
-        if depth or (w[0] in OPENS and len(w) > 2):
-            return True
-        return any(core(x) in report for x in words[max(0, at - 3) : at])
+    @staticmethod
+    def quoted(words: list[str]) -> np.ndarray:
+        """For each word of a whole text, whether it stands between a mark that opens a quotation and the next one that closes it.
+
+        Marks count at the borders of words only, and none without its partner: an apostrophe that opens nothing or is never closed is no quotation.
+        """
+        steps, waiting = np.zeros(len(words) + 1, np.int64), {}
+        for i, word in enumerate(words):
+            if word.isalnum():
+                continue
+            word = word.strip(".,;:!?()[]")
+            if not word:
+                continue
+            alone = len(word) == 1
+            if word[0] in QUOTATIONS and not (alone and any(word in QUOTATIONS[m] for m in waiting)):
+                waiting[word[0]] = i
+                if alone:
+                    continue
+            for mark in [m for m in waiting if word[-1] in QUOTATIONS[m]]:
+                steps[waiting.pop(mark)] += 1
+                steps[i + 1] -= 1
+        return np.cumsum(steps[:-1]) > 0
+
+    @staticmethod
+    def reported(words: list[str], at: int) -> bool:
+        """Whether a word that reports speech stands just before."""
+        return any(core(x) in REPORTS for x in words[max(0, at - 3) : at])
 
     def features(self, texts: pa.Array) -> np.ndarray:
         offsets, codes, vocabulary = split_words(texts)
@@ -164,9 +187,10 @@ class Scorer:
             words = [names[c] for c in codes[a:b]]
             seen: set[int] = set()
             heavy = unquoted = fuzzy = quoted = addressed = 0.0
-            for p in places[owner == text] - a:
+            inside = self.quoted(words)
+            for p in places[np.searchsorted(owner, text) : np.searchsorted(owner, text, side="right")] - a:
                 code = codes[a + p]
-                if self.quoted(words, int(p)):
+                if inside[p] or self.reported(words, int(p)):
                     quoted += 1
                     continue
                 near = words[max(0, p - self.window) : p + self.window + 1]
@@ -180,14 +204,13 @@ class Scorer:
         return x
 
 
-def mine(sample: DataFrame, *, most: int = 2000, most_plain: int = 100_000, least_odds: float = 8.0) -> tuple[list[str], list[float], list[str]]:
+def mine(sample: DataFrame, *, least_odds: float = 8.0) -> tuple[list[str], list[float], list[str]]:
     """(terms, weights, plain words) from labelled texts.
 
     A word's support is the number of distinct pairs of neighbours it has in toxic and in
     other texts, so copies of one text count once.  It is a term if its odds are ``least_odds`` times the
     average and so far over it that, by Chernoff's bound, chance would hardly bring that about in any word.  Plain words are those near a term, or with
-    a stem, that other texts use.  At most ``most`` terms are kept, the surest first, and ``most_plain`` plain words, the most
-    used first; the sample's own bound keeps its words far below that.  Stems of four to six letters that
+    a stem, that other texts use.  All of both are kept; they are words of the sample, whose rows are bounded.  Stems of four to six letters that
     begin four terms or more, and whose words are as toxic taken together, stand for all words that begin so.
     """
 
@@ -221,13 +244,13 @@ def mine(sample: DataFrame, *, most: int = 2000, most_plain: int = 100_000, leas
     needed = float(np.log(max(total["v"], 2)) + 1)
     own = (F.col("a") >= 5) & (odds >= least_odds) & (sure >= needed)
     terms = words.where(own).withColumn("sure", sure)
-    found = terms.orderBy(F.desc("sure"), "word").limit(most).collect()
+    found = terms.orderBy(F.desc("sure"), "word").collect()
     ends = F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.substring("word", F.lit(1), k)))
     begins = words.where("length(word) >= 4").select("a", "n", own.cast("int").alias("own"), ends.alias("word"))
     begins = begins.groupBy("word").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.sum("own").alias("own"))
     begins = begins.where((F.col("own") >= 4) & (odds >= least_odds)).withColumn("sure", sure)
     stems: list = []
-    for r in begins.orderBy(F.desc("own"), F.desc(F.length("word")), "word").limit(most).collect():
+    for r in begins.orderBy(F.desc("own"), F.desc(F.length("word")), "word").collect():
         if not any(r["word"].startswith(x["word"]) or x["word"].startswith(r["word"]) for x in stems):
             stems.append(r)
     heads = tuple(r["word"] for r in stems)
@@ -241,7 +264,7 @@ def mine(sample: DataFrame, *, most: int = 2000, most_plain: int = 100_000, leas
             yield batch.filter(pa.array(alike, pa.bool_()))
 
     alike = words.where((F.col("n") - F.col("a") >= 1) & (odds < least_odds)).select("word", "n").mapInArrow(lookalikes, "word string, n long")
-    plain = [r["word"] for r in alike.orderBy(F.desc("n"), "word").limit(most_plain).collect()]
+    plain = [r["word"] for r in alike.orderBy(F.desc("n"), "word").collect()]
     words.unpersist()
     weights = [float(np.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)) - np.log(q / (1 - q))) for r in [*found, *stems]]
     return names, weights, plain
@@ -274,7 +297,11 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, held_out: Column, sample_rows: int = 12_000, window: int = 6, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most ``sample_rows`` labelled documents outside ``held_out``; rows are weighted back to the labels' true shares."""
+    """A model from at most ``sample_rows`` labelled documents outside ``held_out``; rows are weighted back to the labels' true shares.
+
+    Null labels and ids teach nothing, and null texts count as texts without words; without any labelled row every score is 0.5,
+    and with labels of one kind only no term is mined.
+    """
     train_rows = ~F.coalesce(held_out, F.lit(False))
     sample = labelled_sample(docs, labels, label_col, rows=sample_rows, train=train_rows, id_col=id_col, text_col=text_col)
     terms, weights, plain = mine(sample)
@@ -297,8 +324,11 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: Column, sample_rows:
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """Add each row's probability of being toxic, read from its whole text; a null or empty text gets that of a text without hits."""
-    kept = [c for c in docs.columns if c != name]
+    """Add each row's probability of being toxic, read from its whole text; a null or empty text gets that of a text without hits.
+
+    Repeated rows are scored each, an empty table gives an empty one, and an input column with the result's name is replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
@@ -321,12 +351,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` under ``threshold``, all columns as they were, without a shuffle."""
+    """The rows of ``docs`` under ``threshold``, all columns as they were, without a shuffle.
+
+    Null and empty texts score as texts without hits, repeated rows are judged each, and an empty table gives an empty one.
+    With no labelled rows nothing is known to be toxic, and all rows stay.
+    """
     model = train(docs, labels, held_out=default_held_out(id_col), id_col=id_col, text_col=text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in small(batches, text_col):
-            yield batch.filter(pa.array(scorer(batch[text_col]) < threshold))
+            yield batch.filter(pa.array(scorer(batch[text_col]) < threshold)) if model.parts[0] else batch
 
     return docs.mapInArrow(keep, docs.schema)
