@@ -245,24 +245,34 @@ def score_documents(docs: DataFrame, model_file: str, *, held_out: Column | None
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("token") == "\n", F.col("c"))), F.lit(0)).alias("texts")).first()
     n, v, texts = size["n"], size["v"], size["texts"]
     words = counts.where(F.col("token") != "\n")
-    hot = words.where(F.col("c") >= max(1, n * hot_share)).toArrow()
     model = train(words, texts, model_file)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((model, hot["token"].combine_chunks(), np.asarray(hot["c"], dtype=np.float64)))
+    fitted = sc.broadcast(model)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*fitted.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["token"], batch["c"], pa.array(lattice.run(batch["token"].to_pylist())[0] / LN10)], ["token", "c", "own"])
+
+    # frequent words are run through the lattice once, here, and not again in every batch that has them
+    hot = words.where(F.col("c") >= max(1, n * hot_share)).select("token", "c").mapInArrow(rate, "token string, c long, own double").toArrow()
+    shared = sc.broadcast((hot["token"].combine_chunks(), np.asarray(hot["c"], dtype=np.float64), np.asarray(hot["own"], dtype=np.float64)))
     unseen = float(np.log10(n + (v + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (pieces, p), tokens, c = shared.value
-        lattice = Lattice(pieces, p)
+        lattice = Lattice(*fitted.value)
+        tokens, c, rated = shared.value
         known = np.log10(c + 1)
         names = ["row", "token", "tf", "own"]
         for batch in small(batches, "text"):
             offsets, codes, words = split_words(batch["text"])
             rows, sizes = batch.num_rows, np.diff(offsets)
             owner = np.repeat(np.arange(rows), sizes)
-            log10 = lattice.run(words.to_pylist())[0] / LN10
             at = np.asarray(pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=tokens.cast(pa.string())), -1), dtype=np.int64) if len(tokens) else np.full(len(words), -1)
-            base = np.where(at >= 0, known[at] if len(tokens) else 0.0, 0.0)
+            base, log10 = np.zeros(len(words)), np.zeros(len(words))
+            met, other = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            base[met], log10[met] = known[at[met]], rated[at[met]]
+            log10[other] = lattice.run(words.take(pa.array(other)).to_pylist())[0] / LN10
             own = pa.StructArray.from_arrays(
                 [batch["id"], batch["held"], pa.array(sizes + 1), pa.array(np.bincount(owner, at[codes] >= 0, rows).astype(np.int64)),
                  pa.array(np.bincount(owner, base[codes], rows).astype(np.float64)), pa.array(np.bincount(owner, log10[codes], rows) + lattice.end / LN10)],
