@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small
 
 Run = tuple[tuple[int, ...], int]  # the lengths in one sequence, and how many sequences are filled so
 
@@ -69,56 +69,78 @@ def best_fit(counts: np.ndarray, cap: int) -> list[Run]:
     return [(tuple(lengths), n) for runs in open_.values() for lengths, n in runs]
 
 
-def fillings(left: np.ndarray, largest: int, room: int, waste: int, keep: int, steps: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` beside the largest piece, fullest first.
+def dominates(a: tuple[int, ...], b: tuple[int, ...], tries: int = 2000) -> bool:
+    """Whether the pieces of ``b`` fit into those of ``a``, each of which may take several or none; then what ``b`` leaves over can do whatever ``a``'s can.
 
-    Depth-first over lengths in decreasing order, so a filling of fewer and larger pieces
-    comes before the ones it dominates (whose pieces fit inside its own); of fillings with one total only
-    the first is kept.  A branch ends when even its full room can't beat what is kept, and
-    the search ends at a perfect filling or after ``steps`` nodes.
+    Gives up, and says no, after ``tries`` placements, so a filling is only ever dropped for a proof.
     """
-    sizes = [int(s) for s in np.flatnonzero(left[: room + 1])[::-1]]
-    if not sizes:
-        return [()]
-    found: dict[int, tuple[int, ...]] = {}
-    used: dict[int, int] = {}
-    budget = steps
-    place = np.searchsorted(-np.asarray(sizes), -np.arange(room + 1))  # the first size at or under each room
-
-    def go(room_: int, start: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal budget
-        budget -= 1
-        if room_ not in found:
-            found[room_] = chosen
-        if room_ == 0:
+    if sum(b) > sum(a):
+        return False
+    rooms = list(a)
+
+    def place(i: int) -> bool:
+        nonlocal tries
+        if i == len(b):
             return True
-        i = max(start, int(place[room_]))
-        tried = 0
-        while i < len(sizes) and budget > 0 and tried < 12:
-            s = sizes[i]
-            if used.get(s, 0) < left[s]:
-                tried += 1
-                used[s] = used.get(s, 0) + 1
-                done = go(room_ - s, i, (*chosen, s))
-                used[s] -= 1
-                if done:
-                    return True
-            i += 1
-        return budget <= 0
+        for room in sorted({r for r in rooms if r >= b[i]}):
+            tries -= 1
+            if tries < 0:
+                return False
+            j = rooms.index(room)
+            rooms[j] -= b[i]
+            if place(i + 1):
+                return True
+            rooms[j] += b[i]
+        return False
+
+    return place(0)
+
+
+def fillings(left: np.ndarray, room: int, waste: int, steps: int) -> list[tuple[int, ...]]:
+    """The undominated ways to fill ``room`` beside the largest piece that waste at most ``waste``, fullest first, larger pieces first.
+
+    Depth-first over the lengths in falling order.  A branch ends where even all smaller pieces can't use up enough of the room.  All
+    fillings are looked at, or as many as ``steps`` additions of a piece lead to; those that another one dominates are left out.
+    """
+    sizes = [int(s) for s in np.flatnonzero(left[: room + 1])[::-1]]
+    have = [int(left[s]) for s in sizes]
+    under = np.concatenate([np.cumsum([s * n for s, n in zip(sizes[::-1], have[::-1], strict=True)])[::-1], [0]])  # all pieces from here on
+    place = np.searchsorted(-np.asarray(sizes, dtype=np.int64), -np.arange(room + 1))  # the first size at or under each room
+    found: list[tuple[int, ...]] = []
+
+    def go(room_: int, start: int, chosen: tuple[int, ...]) -> None:
+        nonlocal steps
+        i, whole = max(start, int(place[room_])), True
+        while i < len(sizes) and steps > 0:
+            if room_ - int(under[i]) > waste:
+                return
+            if have[i]:
+                whole = False
+                steps -= 1
+                have[i] -= 1
+                go(room_ - sizes[i], i, (*chosen, sizes[i]))
+                have[i] += 1
+            i = max(i + 1, int(place[room_]))
+        if whole and room_ <= waste:
+            found.append(chosen)
 
     go(room, 0, ())
-    ways = [c for r, c in sorted(found.items()) if r <= waste or r == min(found)]
-    return ways[:keep] or [()]
+    found.sort(key=lambda f: (-sum(f), len(f)))
+    kept: list[tuple[int, ...]] = []
+    for f in found:
+        if not any(dominates(k, f) for k in kept):
+            kept.append(f)
+    return kept
 
 
-def plan(counts: np.ndarray, cap: int, *, nodes: int = 4000, branch: int = 3, steps: int = 400) -> list[Run]:
+def plan(counts: np.ndarray, cap: int, *, nodes: int = 4000, steps: int = 400) -> list[Run]:
     """Fill sequences of ``cap`` from ``counts[length]`` pieces by bin completion.
 
     Branch and bound: the largest piece left is completed with each undominated filling in
-    turn; what a filling can take of all its lengths is taken at once.  A branch is cut
-    when the waste so far leaves no better total than the incumbent, which is best-fit
-    decreasing at first.  Ends at the lower bound, or after ``nodes`` nodes with the best
-    packing so far.  Works on at most ``cap`` distinct lengths, whatever the number of pieces.
+    turn, as many times as the lengths allow, then once less, and so on.  A branch is cut where its waste so far leaves no better total
+    than the incumbent, which is best-fit decreasing at first.  Ends at the lower bound, when all branches are done (the packing is then
+    the best there is, if no enumeration ran out of ``steps``), or after ``nodes`` nodes with the best packing so far; ``pack_pieces`` tells
+    the bound beside the result.  Works on at most ``cap`` distinct lengths, whatever the number of pieces.
     """
     counts = np.asarray(counts, dtype=np.int64)
     total = int((counts * np.arange(cap + 1)).sum())
@@ -127,33 +149,38 @@ def plan(counts: np.ndarray, cap: int, *, nodes: int = 4000, branch: int = 3, st
     bound = lower_bound(counts, cap)
     best = best_fit(counts, cap)
     score = sum(n for _, n in best)
-    # a stack of (counts left, runs so far, waste so far); the fullest filling is looked at first
-    stack: list[tuple[np.ndarray, tuple | None, int, int]] = [(counts, None, 0, 0)]
-    while stack and nodes > 0 and score > bound:
-        left, runs, waste, bins = stack.pop()
-        nodes -= 1
-        allowed = (score - 1) * cap - total - waste
-        if allowed < 0:
-            continue
-        live = np.flatnonzero(left)
-        if not len(live):
-            if bins < score:
-                score, best = bins, []
-                while runs is not None:
-                    runs, run = runs
-                    best.append(run)
-            continue
-        big = int(live[-1])
-        left_ = left.copy()
-        left_[big] -= 1
-        for filling in reversed(fillings(left_, big, cap - big, allowed, branch, steps)):
+
+    def choices(left: np.ndarray, allowed: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        big = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[big] -= 1
+        for filling in fillings(rest, cap - big, allowed, steps):
             pattern = (big, *filling)
             need = np.bincount(pattern, minlength=cap + 1)
-            n = int((left[need > 0] // need[need > 0]).min())
-            lost = cap - sum(pattern)
-            if lost * n > allowed and n > 1:
-                n = max(1, allowed // lost)
-            stack.append((left - need * n, (runs, (pattern, n)), waste + lost * n, bins + n))
+            for n in range(int((left[need > 0] // need[need > 0]).min()), 0, -1):
+                yield pattern, n
+
+    spare = lambda waste: (score - 1) * cap - total - waste
+    # frames of (counts left, runs so far, waste so far, sequences so far, what is still to try)
+    frames: list[tuple] = [(counts, None, 0, 0, choices(counts, spare(0)))]
+    while frames and nodes > 0 and score > bound:
+        left, runs, waste, bins, ways = frames[-1]
+        pattern, n = next(ways, (None, 0))
+        if pattern is None:
+            frames.pop()
+            continue
+        lost = (cap - sum(pattern)) * n
+        if lost > spare(waste):
+            continue
+        nodes -= 1
+        left, runs = left - np.bincount(pattern, minlength=cap + 1) * n, (runs, (pattern, n))
+        if left.any():
+            frames.append((left, runs, waste + lost, bins + n, choices(left, spare(waste + lost))))
+        elif bins + n < score:
+            score, best = bins + n, []
+            while runs is not None:
+                runs, run = runs
+                best.append(run)
     return best
 
 
@@ -164,7 +191,8 @@ def _encoder(vocabulary: str):
     """ids(text) by the byte-level BPE of a ``tokenizers`` file.
 
     The same merges run through tiktoken where its rank file lies beside the vocabulary (four times as
-    fast, equal ids; tests compare them); very long texts go to ``tokenizers``.
+    fast, equal ids; tests compare them).  Its regular expressions overflow on runs of about a million blanks, so texts that could hold one
+    go to ``tokenizers``, for the same ids.
     """
     import os
 
@@ -196,12 +224,15 @@ def _encoder(vocabulary: str):
 
 
 def cut(docs: DataFrame, vocabulary: str, *, cap: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut so that only the first piece is short."""
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut so that only the first piece is short.
+
+    A null or empty text is one piece with the end id alone; repeated rows are cut each; an empty table gives an empty one.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(vocabulary)
-        for batch in batches:
+        for batch in small(batches, 1):
             rows: list[list] = [[], [], [], [], []]
             for at, text in enumerate(batch.column(1).to_pylist()):
                 all_ids = np.append(ids(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
@@ -225,7 +256,8 @@ def pack_pieces(pieces: DataFrame, *, cap: int = 2048, rows_per_salt: int = 500)
     within their length, first inside (length, salt) and then by the sums of the salts before; a length has as
     many salts as its count calls for, so one that half of all pieces have is still numbered by many
     tasks, and there are at most 200,000 salts besides one for each length.  The number
-    picks the piece's place in the plan.  Null ids and repeated rows are pieces like others.
+    picks the piece's place in the plan.  Null ids and repeated rows are pieces like others; no pieces give an empty result.  Each row
+    tells how many sequences the whole plan has (``n_sequences``) and how many any plan needs (``least_sequences``).
     """
     pieces = checkpoint(pieces)
     counts = np.zeros(cap + 1, dtype=np.int64)
@@ -236,7 +268,7 @@ def pack_pieces(pieces: DataFrame, *, cap: int = 2048, rows_per_salt: int = 500)
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
     sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     places: list[tuple[int, int, int, int]] = []  # length, first number, first sequence, offset
-    given, sequence = np.zeros(cap + 1, dtype=np.int64), 0
+    given, sequence, least = np.zeros(cap + 1, dtype=np.int64), 0, lower_bound(counts, cap)
     for pattern, n in plan(counts, cap):
         offset = 0
         for length in pattern:
@@ -261,7 +293,8 @@ def pack_pieces(pieces: DataFrame, *, cap: int = 2048, rows_per_salt: int = 500)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(ids), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return numbered.mapInArrow(settle, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = numbered.mapInArrow(settle, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumns({"n_sequences": F.lit(sequence).cast("long"), "least_sequences": F.lit(least).cast("long")})
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, *, cap: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
