@@ -37,7 +37,7 @@ def urls() -> str:
     WITH term AS (SELECT unnest({list(STRICT)}) AS term, true AS strict UNION ALL SELECT unnest({list(SOFT)}), false),
          u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} ELSE '' END AS host,
                       CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) ELSE '' END AS path, {LOWER.format("coalesce(url, '')")} AS low FROM pages),
-         h AS (SELECT page_id, host, path, count(term) FILTER (strict AND {stands.format("regexp_extract(low, '^[^?#]*')")}) AS strict_hits, count(term) FILTER (NOT (strict AND {stands.format("regexp_extract(low, '^[^?#]*')")})) AS soft_hits
+         h AS (SELECT page_id, host, path, count(term) FILTER (strict) AS strict_hits, count(term) FILTER (NOT strict) AS soft_hits
                FROM u LEFT JOIN term ON {stands.format("low")} GROUP BY page_id, host, path)
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict, CAST(strict_hits AS INTEGER) AS strict_hits, CAST(soft_hits AS INTEGER) AS soft_hits FROM h"""
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, fresh
 
 # Fixed values: (verdict, host, path prefix).
 RULES = (
@@ -43,14 +43,13 @@ def _hits(strict: Sequence[str], soft: Sequence[str]):
     word = re.compile(r"[0-9a-z]").match
 
     def count(url: str) -> tuple[int, int]:
-        """Distinct strict and soft terms that stand between boundaries; in a query or fragment, all count as soft."""
+        """Distinct strict and soft terms that stand between boundaries, anywhere in the url."""
         found: dict[int, set[str]] = {1: set(), 2: set()}
-        end = min((p for p in (url.find("?"), url.find("#")) if p >= 0), default=len(url))
         for last, (term, kind) in finder.iter(url) if len(finder) else ():
             first = last - len(term) + 1
             if not (first and word(url[first - 1])) and not (last + 1 < len(url) and word(url[last + 1])):
-                found[kind if last < end else 1].add(term)
-        return len(found[2]), len(found[1] - found[2])
+                found[kind].add(term)
+        return len(found[2]), len(found[1])
 
     return count
 
@@ -66,7 +65,7 @@ def judge_urls(
     the neighbours are not ASCII letters or digits).  A null url, or one without ``://``,
     has an empty host and path, fits no rule, and is judged by its terms alone (null: allow).
     Columns of the input with one of these names are replaced.  No shuffle; rules and terms
-    are parameters, not data, and travel with the tasks.
+    are parameters, not data, and travel with the tasks.  An empty table gives an empty one; repeated rows are judged each.
     """
     url = F.col(url_col)
     inside = F.coalesce(url.contains("://"), F.lit(False))
@@ -88,9 +87,11 @@ def judge_urls(
         for urls in batches:
             yield pd.DataFrame([count(u) if u else (0, 0) for u in urls], columns=["strict", "soft"])
 
-    df = df.withColumn("_terms", terms(ascii_lower(F.coalesce(url, F.lit("")))))
-    bad = (F.col("_terms.strict") > 0) | (F.col("_terms.soft") >= soft_needed)
+    met = fresh(df, "terms")
+    df = df.withColumn(met, terms(ascii_lower(F.coalesce(url, F.lit("")))))
+    hits = F.col(met)
+    bad = (hits.strict > 0) | (hits.soft >= soft_needed)
     return df.withColumns({
-        "rule": rule, "strict_hits": F.col("_terms.strict"), "soft_hits": F.col("_terms.soft"),
+        "rule": rule, "strict_hits": hits.strict, "soft_hits": hits.soft,
         "verdict": F.coalesce(by_rule, F.when(bad, "block").otherwise("allow")),
-    }).drop("_terms")
+    }).drop(met)
