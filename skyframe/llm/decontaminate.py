@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import hash_strings, small, split_words
 
@@ -101,12 +100,16 @@ def tile(a: list[int], b: list[int], least: int) -> list[tuple[int, int, int]]:
 
 
 class _Index:
-    """The seeds of some benchmark items: every run of ``least`` words, with item and place."""
+    """The seeds of some benchmark items: every run of ``least`` words, with item and place; and items of fewer words, whole."""
 
-    def __init__(self, ids: list, texts: pa.Array, least: int):
+    def __init__(self, ids: pa.Array, texts: pa.Array, least: int):
         offsets, words = normal_words(texts)
         self.least, self.ids = least, ids
         self.items = [words[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for k, item in enumerate(self.items):
+            if 0 < len(item) < least:
+                self.short[tuple(item)].append(k)
         h = windows(words, least)
         owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
         inside = owner[: len(h)] == owner[least - 1 :] if len(h) else np.zeros(0, bool)
@@ -121,15 +124,20 @@ class _Index:
     def scan(self, texts: pa.Array, coverage: float) -> list[tuple[int, int, int, int, float]]:
         """(text, item, tiles, longest tile, coverage) of each text and item that reach ``coverage``."""
         offsets, words = normal_words(texts)
+        found = []
+        if self.short:
+            sizes = np.diff(offsets)
+            for text in np.flatnonzero((sizes > 0) & (sizes < self.least)):
+                same = self.short.get(tuple(words[offsets[text] : offsets[text + 1]].tolist()), ())
+                found += [(int(text), item, 1, int(sizes[text]), 1.0) for item in same]
         h = windows(words, self.least)
         if not len(h) or not len(self.seeds):
-            return []
+            return found
         hits = np.flatnonzero(self.sieve[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.seeds, h[hits]), len(self.seeds) - 1)
         hits, at = hits[real := self.seeds[at] == h[hits]], at[real]
         owner = np.searchsorted(offsets, hits, side="right") - 1
         hits, at, owner = hits[whole := hits + self.least <= offsets[owner + 1]], at[whole], owner[whole]
-        found = []
         for text in np.unique(owner):
             mine = owner == text if len(owner) < 4096 else slice(*np.searchsorted(owner, [text, text + 1]))
             spots: dict[int, tuple[set[int], list[int]]] = defaultdict(lambda: (set(), []))
@@ -170,7 +178,7 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str, bytes_at_once: i
 
 def _shared(docs: DataFrame, part: DataFrame, least: int):
     got = part.toArrow()
-    return docs.sparkSession.sparkContext.broadcast((got["item"].to_pylist(), got["text"].combine_chunks(), least))
+    return docs.sparkSession.sparkContext.broadcast((got["item"].combine_chunks(), got["text"].combine_chunks(), least))
 
 
 def find_leaks(
@@ -185,11 +193,11 @@ def find_leaks(
     travel to the documents, which never move: the benchmark's size is measured first, and
     one over ``bytes_at_once`` is taken in slices of that size, each in a scan of its own.
 
-    Null and empty texts hold nothing; an item under ``least`` words is never found; a repeated document row is
-    told once for each row; equal items are told each under its own id.
+    Null and empty texts hold nothing; an item under ``least`` words is found in a document that has its words and no others; a repeated document row is
+    told once for each row; equal items are told each under its own id.  Ids may be of any type; an empty table gives an empty result.
     """
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
-    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, n_tiles int, longest_tile int, coverage double"
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item_kind}, n_tiles int, longest_tile int, coverage double"
     out = None
     for part in _slices(benchmark, item_col, item_text_col, bytes_at_once):
         shared = _shared(docs, part, least)
@@ -200,19 +208,18 @@ def find_leaks(
                 rows = index.scan(batch.column(1), coverage)
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array([index.ids[k] for k in columns[1]], item_type),
+                    [batch.column(0).take(pa.array(columns[0], pa.int64())), index.ids.take(pa.array(columns[1], pa.int64())),
                      pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64())],
                     ["doc_id", "item_id", "n_tiles", "longest_tile", "coverage"],
                 )
 
-        item_type = pa.string() if isinstance(item_kind, T.StringType) else pa.int32() if isinstance(item_kind, T.IntegerType) else pa.int64()
         one = docs.select(id_col, text_col).mapInArrow(scan, schema)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.5, least: int = SEED_WORDS, bytes_at_once: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which ``find_leaks`` finds nothing, all columns as they were, without a shuffle."""
+    """The rows of ``docs`` in which ``find_leaks`` finds nothing, all columns as they were, without a shuffle; with no benchmark, all of them."""
     for part in _slices(benchmark, item_col, item_text_col, bytes_at_once):
         shared = _shared(docs, part, least)
 
