@@ -16,7 +16,7 @@ from .sample import labelled_sample
 def _shape(word: str) -> str:
     """The kinds of characters in a word, runs of one kind told once."""
     out, last = [], ""
-    for c in word[:24]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalpha() else c
         if kind != last:
             out.append(kind)
