@@ -107,6 +107,25 @@ def ring_ratio_ok(ratio: Column, low: float = 0.15, high: float = 0.95) -> Colum
     return (ratio > low) & (ratio < high)
 
 
+def in_range(v: Column, low: float, high: float) -> Column:
+    """Both ends count, as for the exposure times that are used (300 to 1300 s)."""
+    return F.coalesce(v.between(low, high), F.lit(False))
+
+
+def unsaturated(peak: Column, limit: float = 60000.0) -> Column:
+    return F.coalesce(peak < limit, F.lit(False))
+
+
+def enough_background(quiet: Column, all_: Column, share: float = 0.15) -> Column:
+    """Whether at least ``share`` of the pixels are background."""
+    return F.coalesce(quiet / F.greatest(all_, F.lit(1)) >= share, F.lit(False))
+
+
+def same_setup(width: Column, height: Column, exptime: Column, reference: Column, *, full: tuple[int, int] = (4096, 2048), tolerance: float = 1.0) -> Column:
+    """A full frame whose exposure time is less than ``tolerance`` from the reference's."""
+    return F.coalesce((width == full[0]) & (height == full[1]) & (F.abs(exptime - reference) < tolerance), F.lit(False))
+
+
 def is_gradient(ptp: Column, err: Column) -> Column:
     """A gradient is real if its range is over half a pixel and over five times an error of at most 0.15."""
     return F.coalesce((err <= 0.15) & (ptp > 0.5) & (ptp > 5 * err), F.lit(False))

@@ -43,9 +43,8 @@ def filter_second_if_clear(f1: Column, f2: Column) -> Column:
     return F.when(F.coalesce(f1, F.lit("")).startswith("CLEAR"), f2).otherwise(f1)
 
 
-def visit(path: Column, joined: bool = False) -> Column:
-    """The visit in a long file name, or proposal_visit; a question mark where the name has none."""
-    pattern = r"hst_(\d+)_(\w+?)_acs"
+def visit(path: Column, joined: bool = False, pattern: str = r"hst_(\d+)_(\w+?)_acs") -> Column:
+    """The visit in a long file name, or proposal_visit; a question mark where the name has none.  The pattern's two groups are proposal and visit."""
     prop, vis = F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
     found = F.concat_ws("_", prop, vis) if joined else vis
     return F.when(path.rlike(pattern), found).otherwise(F.lit("?"))

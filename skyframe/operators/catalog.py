@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import pairs_of
+from ..session import checkpoint
 
 
 # ------------------------------------------------------------------ one row of each key
@@ -153,19 +154,32 @@ def tightest_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], da
     return out.where(inside).drop("_pos", "_size", "_first", "_best")
 
 
-def budget_prefix(df: DataFrame, order: Sequence[str], amount: str, budget: float, buckets: int = 64) -> DataFrame:
-    """Rows, in order, until the running total would go over the budget.
+def numbered(df: DataFrame, order: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """Rows with the running total of ``amount`` in the given order.
 
-    The order's first column is cut into ranges; totals of the ranges are summed first, and rows are
-    numbered within their range, so no task sees all rows.
+    Rows are dealt in ranges of the order, as many as the session's shuffle partitions, and written, so that a range keeps its rows when an executor is
+    lost.  The totals of the ranges, one row each, are summed first; then each range runs from the total before it, so no task sees all rows.
     """
-    parts = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    parts = parts.persist()
-    before = parts.groupBy("_part").agg(F.sum(amount).alias("_sum"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = parts.withColumn("_run", F.sum(amount).over(w)).join(F.broadcast(before.drop("_sum")), "_part")
-    return run.withColumn("running", F.col("_run") + F.col("_before")).where(F.col("running") <= budget).drop("_part", "_run", "_before")
+    dealt = checkpoint(df.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_amount": amount}))
+    sums = dealt.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    run = F.sum("_amount").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_run", run).join(F.broadcast(before), "_part").withColumn(name, F.col("_run") + F.col("_before")).drop("_part", "_amount", "_run", "_before")
+
+
+def budget_prefix(df: DataFrame, order: Sequence[str], amount: str, budget: float) -> DataFrame:
+    """Rows, in order, until the running total would go over the budget."""
+    return numbered(df, order, F.col(amount), "running").where(F.col("running") <= budget)
+
+
+def take_targets(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """The first ``most`` rows in order: a top-k that each partition cuts before the rows meet."""
+    return df.orderBy(*order).limit(most)
+
+
+def first_occurrences(df: DataFrame, key: str, position: str) -> DataFrame:
+    """Each key once, with the first place it has; sorted by it, that is the order of first appearance."""
+    return df.groupBy(key).agg(F.min(position).alias(position))
 
 
 def unroll(df: DataFrame, keys: Sequence[str], array: str, name: str) -> DataFrame:
@@ -196,6 +210,13 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def lowest_share(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int) -> DataFrame:
+    """The first 1 / ``parts`` of each group in the given order, at least one row."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / parts)).alias("_most"))
+    return ranked.join(sizes, list(keys)).where("_rank <= _most").drop("_rank", "_most")
+
+
 def split_slots(df: DataFrame, slot: str, share: float = 0.8, per_slot: int = 1) -> DataFrame:
     """Slots in hash order, of which the first share trains; each slot then gives ``per_slot`` samples of its own side."""
     slots = df.select(slot).distinct()

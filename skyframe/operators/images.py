@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_SCALE, ring_ratio_ok
-from ..session import checkpoint
+from ..session import Scratch, checkpoint
 from .graph import connected_components
-from .stats import clipped_median
+from .stats import clipped_median, scan_significance
 
 
 def to_pixels(df: DataFrame, keys: Sequence[str], array: str, width: int) -> DataFrame:
@@ -209,7 +209,7 @@ def angle_profile(pixels: DataFrame, keys: Sequence[str], angles: Sequence[float
 
 def angle_scan(pixels: DataFrame, keys: Sequence[str], angles: Sequence[float], least: int, detrend: float) -> DataFrame:
     """Power of each angle's profile after its trend and its noise are taken away."""
-    profile = angle_profile(pixels, keys, angles, least).cache()
+    profile = angle_profile(pixels, keys, angles, least)
     flat = smooth(profile, [*keys, "angle"], "bin", "mean", detrend)
     sigma = pixels.groupBy(*keys).agg(F.var_pop("v").alias("_var"))
     off = profile.join(flat, [*keys, "angle", "bin"]).join(sigma, list(keys)).withColumn("_d", F.pow(F.col("mean") - F.col("mean_smooth"), 2) - F.col("_var") / F.col("n"))
@@ -236,6 +236,42 @@ def destripe(pixels: DataFrame, keys: Sequence[str], *, detrend: float, least: i
     return pixels.join(kept.select(*keys, "y", "off"), [*keys, "y"], "left").withColumn("v", F.col("v") - F.coalesce("off", F.lit(0.0))).drop("off")
 
 
+def destripe_along(pixels: DataFrame, keys: Sequence[str], *, least: int, detrend: float, mask: Column | None = None, amount: Column | None = None) -> DataFrame:
+    """Take the median of each strip of unit width across the image's ``angle`` (a column, in degrees), less the strips' own trend, away from its pixels.
+
+    Pixels without an angle (null), and strips with under ``least`` pixels, stay as they are; ``amount`` (a column over n) scales what is taken.
+    """
+    turn = F.radians("angle")
+    placed = pixels.withColumn("_bin", F.floor(F.round(F.col("y") * F.cos(turn) - F.col("x") * F.sin(turn), 9)))
+    good = placed.where(F.col("_bin").isNotNull() if mask is None else F.col("_bin").isNotNull() & mask)
+    strips = good.groupBy(*keys, "_bin").agg(F.count("v").alias("n"), F.when(F.count("v") >= least, F.median("v")).alias("med"))
+    trend = smooth(strips, keys, "_bin", "med", detrend)
+    off = (F.col("med") - F.col("med_smooth")) * (F.lit(1.0) if amount is None else amount)
+    kept = strips.join(trend, [*keys, "_bin"]).select(*keys, "_bin", off.alias("_off"))
+    return placed.join(kept, [*keys, "_bin"], "left").withColumn("v", F.col("v") - F.coalesce("_off", F.lit(0.0))).drop("_bin", "_off")
+
+
+def destripe_greedy(pixels: DataFrame, keys: Sequence[str], *, angles: Sequence[float], least: int, detrend: float, significance: float = 5.0, rounds: int = 4, few: int = 2, share: float = 0.8) -> DataFrame:
+    """Destripe along the strongest angle of a scan, then the strongest of what is left, for at most ``rounds`` rounds.
+
+    An image leaves the loop when no angle stands ``significance`` MAD sigmas over the others, or when ``few`` strips of the best one hold ``share`` of
+    its power: that is a trail or an edge, no stripes.  Each round's images are written to the shared folder and those of the round before go.
+    """
+    with Scratch(pixels.sparkSession) as scratch:
+        current = scratch.keep(pixels.select(*keys, "y", "x", "v"))
+        for _ in range(rounds):
+            scan = angle_scan(current, keys, angles, least, detrend)
+            best = scan_significance(scan, keys, "angle", "power").where(F.col("significance") >= significance).select(*keys, F.col("best").alias("angle"))
+            profile = angle_profile(current, keys, angles, least).join(best, [*keys, "angle"])
+            lines = linear_rows(profile.withColumn("_p", F.col("mean") * F.col("mean")), keys, "_p", "bin", share, few).select(*keys).distinct()
+            best = scratch.keep(best.join(lines, list(keys), "left_anti"))
+            if best.isEmpty():
+                break
+            last, current = current, scratch.keep(destripe_along(current.join(best, list(keys), "left"), keys, least=least, detrend=detrend).select(*keys, "y", "x", "v"))
+            scratch.drop(last, best)
+        return checkpoint(current)
+
+
 def linear_rows(profile: DataFrame, keys: Sequence[str], power: str, position: str, share: float, few: int) -> DataFrame:
     """Rows of a profile that alone hold ``share`` of its power: a trail or an edge, no stripes."""
     w = Window.partitionBy(*keys).orderBy(F.desc(power), position)
@@ -267,22 +303,61 @@ def tile_scale(pixels: DataFrame, keys: Sequence[str], size: int, height: int, w
 # ------------------------------------------------------------------ repairs and stacks
 
 
-def median_fill(pixels: DataFrame, keys: Sequence[str], bad: str, radius: int = 2, rounds: int = 1, height: int | None = None, width: int | None = None) -> DataFrame:
+def reflected(c: Column, size: int) -> Column:
+    """A place beyond an edge, mirrored at the edge's pixel."""
+    return F.when(c < 0, -c).when(c > size - 1, 2 * (size - 1) - c).otherwise(c)
+
+
+def reflect_pad(pixels: DataFrame, height: int, width: int, multiple: int = 32) -> DataFrame:
+    """Images grown on all sides, by mirroring, to the next size that ``multiple`` divides; what is odd goes to the bottom and the right.
+
+    A pixel goes to the few places that mirror it, so no image is put together.
+    """
+
+    def places(c: Column, size: int) -> Column:
+        more = -size % multiple
+        low, high = -(more // 2), size - 1 + more - more // 2
+        mirrored = F.array(c, -c, 2 * (size - 1) - c)
+        return F.explode(F.array_distinct(F.filter(mirrored, lambda p: p.between(low, high))))
+
+    return pixels.withColumn("y", places(F.col("y"), height)).withColumn("x", places(F.col("x"), width))
+
+
+def unpad(pixels: DataFrame, height: int, width: int, multiple: int = 32) -> DataFrame:
+    """The image that reflect_pad has grown; its own places were kept."""
+    return pixels.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+
+
+def median_fill(pixels: DataFrame, keys: Sequence[str], bad: str, radius: int = 2, rounds: int | None = 1, height: int | None = None, width: int | None = None) -> DataFrame:
     """Bad pixels get the median of the good ones in the square about them, mirrored at the edges where the size is given.
 
-    Each round fills what has a good neighbour and calls it good; values under repair are never read.
+    Each round fills what has a good neighbour and calls it good; values under repair are never read.  With ``rounds`` None rounds go on until one fills
+    nothing, each written to the shared folder, so a hole of any width closes from its rim.
     """
-    def mirror(c: Column, size: int | None) -> Column:
-        return c if size is None else F.when(c < 0, -c).when(c > size - 1, 2 * (size - 1) - c).otherwise(c)
+    mirror = lambda c, size: c if size is None else reflected(c, size)
 
-    rows = pixels.select(*keys, "y", "x", "v", F.coalesce(bad, F.lit(False)).alias("_bad"))
-    for _ in range(rounds):
+    def fill(rows: DataFrame) -> DataFrame:
         holes = rows.where("_bad").select(*keys, "y", "x").withColumn("_o", F.explode(offsets(square(radius))))
         asked = holes.select(*keys, "y", "x", mirror(F.col("y") + F.col("_o.dy"), height).alias("_y"), mirror(F.col("x") + F.col("_o.dx"), width).alias("_x"))
         good = rows.where("NOT _bad AND v IS NOT NULL").select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("_n"))
-        fill = asked.join(good, [*keys, "_y", "_x"]).groupBy(*keys, "y", "x").agg(F.median("_n").alias("_fill"))
-        rows = rows.join(fill, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.when(F.col("_bad"), F.coalesce("_fill", "v")).otherwise(F.col("v")).alias("v"), (F.col("_bad") & F.col("_fill").isNull()).alias("_bad"))
-    return rows.withColumnRenamed("_bad", "unfilled")
+        found = asked.join(good, [*keys, "_y", "_x"]).groupBy(*keys, "y", "x").agg(F.median("_n").alias("_fill"))
+        return rows.join(found, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.when(F.col("_bad"), F.coalesce("_fill", "v")).otherwise(F.col("v")).alias("v"), (F.col("_bad") & F.col("_fill").isNull()).alias("_bad"))
+
+    rows = pixels.select(*keys, "y", "x", "v", F.coalesce(bad, F.lit(False)).alias("_bad"))
+    if rounds is not None:
+        for _ in range(rounds):
+            rows = fill(rows)
+        return rows.withColumnRenamed("_bad", "unfilled")
+    with Scratch(pixels.sparkSession) as scratch:
+        rows = scratch.keep(rows)
+        left = rows.where("_bad").count()
+        while left:
+            last, rows = rows, scratch.keep(fill(rows))
+            scratch.drop(last)
+            before, left = left, rows.where("_bad").count()
+            if left == before:
+                break
+        return checkpoint(rows.withColumnRenamed("_bad", "unfilled"))
 
 
 def stack_mean(stack: DataFrame, keys: Sequence[str], image: str, *, k: float = 5.0, signal: float = 0.5) -> DataFrame:
@@ -306,6 +381,20 @@ def coverage_mean(reference: DataFrame, partners: DataFrame, keys: Sequence[str]
     return out.withColumn("partner", F.coalesce("_p", "v")).withColumn("covered", F.coalesce("covered", F.lit(0))).drop("_p")
 
 
+def others_mean(pixels: DataFrame, field: Sequence[str], covers: Column) -> DataFrame:
+    """For every pixel of every exposure, the mean of the other exposures of its field that cover the place (``partner``), and how many do (``covered``).
+
+    Sums and counts of a place are one aggregate; each exposure then takes its own value out, so no exposure meets all others.  Where no other covers the place, the
+    exposure's own value stands.
+    """
+    mine = F.coalesce(covers, F.lit(False))
+    sums = pixels.groupBy(*field, "y", "x").agg(F.sum(F.when(mine, F.col("v"))).alias("_s"), F.count(F.when(mine, 1)).alias("_n"))
+    both = pixels.join(sums, [*field, "y", "x"])
+    left = F.col("_n") - mine.cast("long")
+    rest = (F.col("_s") - F.when(mine, F.col("v")).otherwise(0.0)) / F.nullif(left, F.lit(0))
+    return both.withColumns({"partner": F.coalesce(rest, "v"), "covered": left}).drop("_s", "_n")
+
+
 def drizzle(pixels: DataFrame, keys: Sequence[str], *, scale: float, dy: str, dx: str, weight: str, pixfrac: float = 0.8) -> DataFrame:
     """Drop each pixel, shrunk to ``pixfrac``, on a grid ``scale`` times as fine, by the areas it covers there; weighted mean per output pixel.
 

@@ -44,8 +44,8 @@ def veto(hits: DataFrame, pixels: DataFrame, partner: DataFrame, keys: Sequence[
     return parts.join(rays, [*keys, "label_y", "label_x"]).select(*keys, "y", "x")
 
 
-def clean(pixels: DataFrame, partner: DataFrame, keys: Sequence[str], *, threshold: float = 0.5, rounds: int = 3) -> DataFrame:
-    """Pixels with cosmic rays, less confirmed stars, filled from good neighbours."""
+def clean(pixels: DataFrame, partner: DataFrame, keys: Sequence[str], *, threshold: float = 0.5, rounds: int | None = None) -> DataFrame:
+    """Pixels with cosmic rays, less confirmed stars, filled from good neighbours, round by round until nothing can be filled."""
     bad = veto(cosmic_rays(pixels, keys, threshold=threshold), pixels, partner, keys).withColumn("bad", F.lit(True))
     marked = pixels.join(bad, [*keys, "y", "x"], "left")
     return I.median_fill(marked, keys, "bad", 2, rounds)
@@ -64,7 +64,11 @@ def denoise(reference: DataFrame, partners: DataFrame, keys: Sequence[str], *, a
     ``model`` is a column over v (the exposure) and partner (the mean of those that cover it); without one, their mean.
     The denoised image is put back on the exposure's background by the clipped median of their difference.
     """
-    both = I.coverage_mean(reference, partners, keys)
+    return denoise_with(I.coverage_mean(reference, partners, keys), keys, alpha=alpha, model=model)
+
+
+def denoise_with(both: DataFrame, keys: Sequence[str], *, alpha: float = 0.9, model: Column | None = None) -> DataFrame:
+    """``denoise`` of pixels that have their partner and how many cover them already."""
     den = both.withColumn("den", model if model is not None else (F.col("v") + F.col("partner")) / 2)
     base = S.clipped_median(den.withColumn("diff", F.col("v") - F.col("den")), keys, "diff").select(*keys, F.col("med").alias("anchor"))
     put = den.join(base, list(keys)).withColumn("den", F.col("den") + F.col("anchor"))

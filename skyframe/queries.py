@@ -274,8 +274,8 @@ def near_integer_triples(spark, sf_dir):
     SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN regexp_matches(url, '://[^/]*/(\w+)/(\d+)') THEN regexp_extract(url, '://[^/]*/(\w+)/(\d+)', 1) || '_' || regexp_extract(url, '://[^/]*/(\w+)/(\d+)', 2) ELSE '?' END AS visit,
            length(html) AS n_html FROM pages""")
 def visit_regex(spark, sf_dir):
-    url, pattern = F.col("url"), r"://[^/]*/(\w+)/(\d+)"
-    visit = F.when(url.rlike(pattern), F.concat_ws("_", F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2))).otherwise("?")
+    url = F.col("url")
+    visit = N.visit(url, joined=True, pattern=r"://[^/]*/(\w+)/(\d+)")
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, r"://([^/?#]*)", 1).alias("host"), visit.alias("visit"), F.length("html").cast("long").alias("n_html"))
 
 
@@ -559,12 +559,14 @@ def half_pixel_shift(spark, sf_dir):
     return I.shift_bilinear(chips(spark, sf_dir), ["vec_id"], 0.0, 0.5).select("vec_id", "y", "x", r(F.col("v") * 0.75).alias("v"))
 
 
-@query(f"""
-    WITH {PX}, g AS (SELECT label, y, x, avg(v) AS p, count(*) AS covered FROM px WHERE v > 0 AND vec_id % 2 = 0 GROUP BY 1, 2, 3)
-    SELECT vec_id, y, x, round(coalesce(p, v), 6) AS partner, coalesce(covered, 0) AS covered FROM px LEFT JOIN g USING (label, y, x) WHERE vec_id % 2 = 1""")
+LEAVE_ONE_OUT = """t AS (SELECT label, y, x, sum(v) AS s, count(*) AS n FROM px WHERE v > 0 GROUP BY 1, 2, 3),
+         cov AS (SELECT px.*, coalesce(n, 0) - CASE WHEN v > 0 THEN 1 ELSE 0 END AS covered, CASE WHEN coalesce(n, 0) - CASE WHEN v > 0 THEN 1 ELSE 0 END > 0 THEN (s - CASE WHEN v > 0 THEN v ELSE 0 END) / (n - CASE WHEN v > 0 THEN 1 ELSE 0 END) ELSE v END AS partner FROM px LEFT JOIN t USING (label, y, x))"""
+
+
+@query(f"WITH {PX}, {LEAVE_ONE_OUT} SELECT vec_id, y, x, round(partner, 6) AS partner, covered FROM cov")
 def coverage_mean(spark, sf_dir):
-    px = chips(spark, sf_dir)
-    return I.coverage_mean(px.where("vec_id % 2 = 1"), px.where("v > 0 AND vec_id % 2 = 0"), ["label"]).select("vec_id", "y", "x", r("partner").alias("partner"), "covered")
+    got = I.others_mean(chips(spark, sf_dir), ["label"], F.col("v") > 0)
+    return got.select("vec_id", "y", "x", r("partner").alias("partner"), "covered")
 
 
 @query(f"""
@@ -714,11 +716,20 @@ def cone_search(spark, sf_dir):
     return curation.cone(obs, 30.0, 20.0, 25 * 60.0).select("s_suppkey")
 
 
-@query()
+def _narrow_sql(key: str, source: str, value: str, rounds: int, k: float) -> str:
+    """CTEs that end in ``zm`` (g, m): the median of each key after rounds of clipping the survivors."""
+    out = [f"z0 AS (SELECT {key} AS g, {value} AS v, true AS live FROM {source})"]
+    for i in range(rounds):
+        out += [f"zm{i} AS (SELECT g, median(v) AS m FROM z{i} WHERE live GROUP BY 1)", f"zs{i} AS (SELECT z{i}.g, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS s FROM z{i} JOIN zm{i} USING (g) WHERE live GROUP BY 1)"]
+        out.append(f"z{i + 1} AS (SELECT z{i}.g, v, CASE WHEN s = 0 THEN live ELSE live AND abs(v - m) < {k} * s END AS live FROM z{i} JOIN zs{i} USING (g))")
+    return ", ".join(out) + f", zm AS (SELECT g, median(v) AS m FROM z{rounds} WHERE live GROUP BY 1)"
+
+
+@query(f"""WITH {PX}, {LEAVE_ONE_OUT}, d AS (SELECT *, (v + partner) / 2 AS den FROM cov), {_narrow_sql("vec_id", "d", "v - den", 5, 3.0)}
+    SELECT vec_id, y, x, round(CASE WHEN covered = 0 THEN v ELSE 0.9 * (den + m) + (1 - 0.9) * v END, 6) AS v, covered FROM d JOIN zm ON zm.g = d.vec_id""")
 def denoised(spark, sf_dir):
-    px = chips(spark, sf_dir)
-    out = production.denoise(px.where("vec_id % 3 = 0"), px.where("vec_id % 3 <> 0").drop("vec_id"), ["label"])
-    return out.select("label", "y", "x", r("v").alias("v"), "covered")
+    seen = I.others_mean(chips(spark, sf_dir), ["label"], F.col("v") > 0).drop("label")
+    return production.denoise_with(seen, ["vec_id"]).select("vec_id", "y", "x", r("v").alias("v"), "covered")
 
 
 @query()

@@ -144,3 +144,21 @@ def encode_image(image: np.ndarray, header: dict | None = None, extension: str =
     unit = block([_card("XTENSION", "IMAGE"), _card("BITPIX", -32), _card("NAXIS", 2), _card("NAXIS1", image.shape[1]), _card("NAXIS2", image.shape[0]), _card("PCOUNT", 0), _card("GCOUNT", 1), _card("EXTNAME", extension), _card("EXTVER", 1), *[_card(k, v) for k, v in (header or {}).items()]])
     data = np.ascontiguousarray(image, dtype=">f4").tobytes()
     return primary + unit + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")
+
+
+def encode_images(df: DataFrame, key: str, array: str, width: int, cards: dict[str, str], fixed: dict) -> DataFrame:
+    """(key, content): a FITS file of each row's image, a row-major array ``width`` wide.
+
+    ``cards`` names the columns that give header values, ``fixed`` gives those that all files share.  A row is a file, so files are made where the rows lie.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, values in enumerate(batch[array].to_pylist()):
+                own = {k: batch[c][i].as_py() for k, c in cards.items()}
+                made.append(encode_image(np.asarray(values, dtype=np.float64).reshape(-1, width), fixed | own))
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(made, pa.binary())], [key, "content"])
+
+    return df.select(key, array, *dict.fromkeys(c for c in cards.values() if c not in (key, array))).mapInArrow(run, f"{key} {kind}, content binary")
