@@ -11,6 +11,7 @@ from ..functions import exprs as E
 from ..operators import catalog as C
 from ..operators import images as I
 from ..operators import stats as S
+from ..session import Scratch, checkpoint
 
 
 def integrity(files: DataFrame, pixels: DataFrame, height: int, width: int, needed: Sequence[str]) -> DataFrame:
@@ -107,7 +108,7 @@ def closure(direct: DataFrame, stored: DataFrame, n: int = 4) -> DataFrame:
     return both.withColumn("gap", gap).groupBy("group").agg(F.median("gap").alias("med"), F.percentile("gap", 0.9).alias("p90"), F.max("gap").alias("most"))
 
 
-def plane(residuals: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def plane(residuals: DataFrame, keys: Sequence[str], value: str, *, means: bool = False) -> DataFrame:
     """Least-squares plane through residuals at (x, y): its slopes, range over the 5-95 % corners, and scatter.
 
     Normal equations from sums, so a group is never in one place.
@@ -117,24 +118,33 @@ def plane(residuals: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     mid = residuals.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.avg(value).alias("_mv"))
     sums = residuals.join(mid, list(keys)).groupBy(*keys).agg(
         s(x * x).alias("xx"), s(x * y).alias("xy"), s(y * y).alias("yy"), s(x * v).alias("xv"), s(y * v).alias("yv"), s(v * v).alias("vv"), F.count(F.lit(1)).alias("n"),
-        F.percentile("x", [0.05, 0.95]).alias("px"), F.percentile("y", [0.05, 0.95]).alias("py"),
+        F.percentile("x", [0.05, 0.95]).alias("px"), F.percentile("y", [0.05, 0.95]).alias("py"), *[F.first(c).alias(c) for c in ("_mx", "_my", "_mv")],
     )
     det = F.nullif(F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy"), F.lit(0.0))
     a, b = (F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy")) / det, (F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy")) / det
     fit = sums.withColumns({"slope_x": a, "slope_y": b, "_dx": F.col("px")[1] - F.col("px")[0], "_dy": F.col("py")[1] - F.col("py")[0], "_det": det})
     left = F.greatest(F.col("vv") - F.col("slope_x") * F.col("xv") - F.col("slope_y") * F.col("yv"), F.lit(0.0)) / F.greatest(F.col("n") - 3, F.lit(1))
     var = left * (F.col("yy") * F.pow("_dx", F.lit(2)) + F.col("xx") * F.pow("_dy", F.lit(2)) + 2 * F.abs(F.col("xy")) * F.col("_dx") * F.col("_dy")) / F.col("_det")
-    return fit.select(*keys, "n", "slope_x", "slope_y", (F.abs(F.col("slope_x")) * F.col("_dx") + F.abs(F.col("slope_y")) * F.col("_dy")).alias("ptp"), F.sqrt(var).alias("err"), F.sqrt(left).alias("scatter"))
+    return fit.select(*keys, "n", "slope_x", "slope_y", (F.abs(F.col("slope_x")) * F.col("_dx") + F.abs(F.col("slope_y")) * F.col("_dy")).alias("ptp"), F.sqrt(var).alias("err"), F.sqrt(left).alias("scatter"), *(("_mx", "_my", "_mv") if means else ()))
 
 
-def robust_plane(residuals: DataFrame, keys: Sequence[str], value: str, *, k: float = 3.0, rounds: int = 3) -> DataFrame:
-    """``plane`` after rounds in which residuals over k sigma leave."""
-    rows = residuals
-    for _ in range(rounds):
-        fit = plane(rows, keys, value).join(rows.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.avg(value).alias("_mv")), list(keys))
-        off = F.col(value) - F.col("_mv") - F.col("slope_x") * (F.col("x") - F.col("_mx")) - F.col("slope_y") * (F.col("y") - F.col("_my"))
-        rows = rows.join(fit.select(*keys, "slope_x", "slope_y", "_mx", "_my", "_mv", "scatter"), list(keys)).where(F.abs(off) <= k * F.col("scatter") + 1e-12).select(*residuals.columns)
-    return plane(rows, keys, value)
+def robust_plane(residuals: DataFrame, keys: Sequence[str], value: str, *, k: float = 3.0, rounds: int = 6) -> DataFrame:
+    """``plane`` after rounds in which residuals over k times the scatter leave; it ends early when none does.
+
+    Each round's survivors are written to the shared folder, so a round reads its rows twice, whatever came before.
+    """
+    with Scratch(residuals.sparkSession) as scratch:
+        rows = scratch.keep(residuals)
+        left = rows.count()
+        for _ in range(rounds):
+            fit = plane(rows, keys, value, means=True).select(*keys, "slope_x", "slope_y", "_mx", "_my", "_mv", "scatter")
+            off = F.col(value) - F.col("_mv") - F.col("slope_x") * (F.col("x") - F.col("_mx")) - F.col("slope_y") * (F.col("y") - F.col("_my"))
+            last, rows = rows, scratch.keep(rows.join(fit, list(keys)).where(F.abs(off) <= k * F.col("scatter") + 1e-12).select(*residuals.columns))
+            scratch.drop(last)
+            before, left = left, rows.count()
+            if left == before:
+                break
+        return checkpoint(plane(rows, keys, value))
 
 
 def detail_score(a: DataFrame, b: DataFrame, keys: Sequence[str], sigma: float = 4.0, limit: float = 1e9, keep: DataFrame | None = None) -> DataFrame:
@@ -155,3 +165,19 @@ def stamps(pixels: DataFrame, cleaned: DataFrame, centres: DataFrame, keys: Sequ
 def reference_exposure(exposures: DataFrame) -> DataFrame:
     """Of each group the exposure whose roll is nearest to the group's median."""
     return C.nearest_to_median(exposures, ["group"], "cd_angle", "file")
+
+
+def needs_new_anchor(exposures: DataFrame, limit: float) -> DataFrame:
+    """Per group: exposures, those rolled over ``limit`` from the median, and whether these are more than half, so that another reference must be taken."""
+    mid = exposures.groupBy("group").agg(F.median("cd_angle").alias("_mid"))
+    far = F.abs(F.col("cd_angle") - F.col("_mid")) > limit
+    got = exposures.join(mid, "group").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(far, 1)).alias("n_far"))
+    return got.withColumn("re_anchor", F.col("n_far") * 2 > F.col("n"))
+
+
+def control(offsets_: DataFrame, limit: float = 0.3, share: float = 0.5) -> DataFrame:
+    """Groups known to be sound, replayed: the share of pairs over ``limit`` apart, and whether it is at most ``share``.  Pairs stay inside a group of exposures."""
+    pairs = C.pair_join(offsets_, ["group"], "pos", ["off_x", "off_y"])
+    gap = F.hypot(F.col("off_x_a") - F.col("off_x_b"), F.col("off_y_a") - F.col("off_y_b"))
+    got = pairs.groupBy("group").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg((gap > limit).cast("double")).alias("over"))
+    return got.withColumn("passes", F.col("over") <= share)

@@ -345,7 +345,7 @@ def sigma_clip(spark, sf_dir):
 def percentile_scale_asinh(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     scale = S.joint_scale(events, ["event_type"], "value")
-    return events.join(F.broadcast(scale), "event_type").select("event_id", r(E.asinh_stretch(F.col("value"), F.col("scale"))).alias("stretched"))
+    return events.join(scale, "event_type").select("event_id", r(E.asinh_stretch(F.col("value"), F.col("scale"))).alias("stretched"))
 
 
 @query("""

@@ -369,3 +369,37 @@ def complete_groups(spark, sf_dir):
     order = F.dense_rank().over(C.Window.partitionBy("filter").orderBy("_first")) - 1
     firsts = runs.groupBy("filter", "run", "group_no").agg(F.min("file").alias("_first"))
     return runs.join(firsts.withColumn("_g", order), ["filter", "run", "group_no"]).select("filter", "file", F.col("_g").cast("int").alias("group_no"))
+
+
+def _plane_sql(rounds: int, k: float) -> str:
+    """CTEs p0.. of least-squares planes, each over the rows within k scatters of the one before."""
+    out = ["q0 AS (SELECT l_suppkey AS g, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) AS y, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem)"]
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS (SELECT g, avg(x) AS mx, avg(y) AS my, avg(v) AS mv FROM q{i} GROUP BY 1)")
+        out.append(f"""b{i} AS (SELECT g, any_value(mx) AS mx, any_value(my) AS my, any_value(mv) AS mv, count(*) AS n, sum((x - mx) * (x - mx)) AS xx, sum((x - mx) * (y - my)) AS xy, sum((y - my) * (y - my)) AS yy, sum((x - mx) * (v - mv)) AS xv, sum((y - my) * (v - mv)) AS yv, sum((v - mv) * (v - mv)) AS vv FROM q{i} JOIN a{i} USING (g) GROUP BY 1)""")
+        out.append(f"c{i} AS (SELECT *, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS sx, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS sy FROM b{i}), p{i} AS (SELECT *, sqrt(greatest(vv - sx * xv - sy * yv, 0) / greatest(n - 3, 1)) AS scatter FROM c{i})")
+        if i < rounds:
+            out.append(f"q{i + 1} AS (SELECT q{i}.* FROM q{i} JOIN p{i} USING (g) WHERE abs(v - mv - sx * (x - mx) - sy * (y - my)) <= {k} * scatter + 1e-12)")
+    return "WITH " + ", ".join(out)
+
+
+@query(_plane_sql(6, 1.8) + " SELECT g AS l_suppkey, n, round(sx, 4) AS slope_x, round(sy, 2) AS slope_y, round(scatter, 3) AS scatter FROM p6")
+def robust_plane(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_extendedprice").alias("dx"))
+    return qc.robust_plane(rows, ["l_suppkey"], "dx", k=1.8).select("l_suppkey", "n", r("slope_x", 4).alias("slope_x"), r("slope_y", 2).alias("slope_y"), r("scatter", 3).alias("scatter"))
+
+
+@query("""
+    WITH e AS (SELECT c_nationkey AS g, c_custkey AS f, c_acctbal AS roll FROM customer), m AS (SELECT g, median(roll) AS m FROM e GROUP BY 1)
+    SELECT g AS "group", count(*) AS n, count(*) FILTER (abs(roll - m) > 3000) AS n_far, count(*) FILTER (abs(roll - m) > 3000) * 2 > count(*) AS re_anchor FROM e JOIN m USING (g) GROUP BY 1""")
+def re_anchor(spark, sf_dir):
+    ex = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group"), F.col("c_custkey").alias("file"), F.col("c_acctbal").alias("cd_angle"))
+    return qc.needs_new_anchor(ex, 3000.0)
+
+
+@query("""
+    WITH e AS (SELECT c_nationkey AS g, c_acctbal AS x, c_custkey % 89 AS y FROM customer), p AS (SELECT a.g, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS gap FROM e a JOIN e b ON a.g = b.g AND a.x < b.x)
+    SELECT g AS "group", count(*) AS n_pairs, round(avg(CASE WHEN gap > 3000 THEN 1.0 ELSE 0.0 END), 6) AS over, avg(CASE WHEN gap > 3000 THEN 1.0 ELSE 0.0 END) <= 0.4 AS passes FROM p GROUP BY 1""")
+def qc_control(spark, sf_dir):
+    off = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group"), F.col("c_acctbal").alias("pos"), F.col("c_acctbal").alias("off_x"), (F.col("c_custkey") % 89).alias("off_y"))
+    return qc.control(off, limit=3000.0, share=0.4).withColumn("over", r("over"))
