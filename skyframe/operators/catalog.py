@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import pairs_of
-from ..session import checkpoint
+from ..session import Scratch, checkpoint
 
 
 # ------------------------------------------------------------------ one row of each key
@@ -98,27 +98,67 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value
 def anchor_clusters(df: DataFrame, keys: Sequence[str], value: str, tolerance: float, row_id: str) -> DataFrame:
     """Clusters of sorted values: one ends where a value is over ``tolerance`` from its first.
 
-    Equal values are folded first, so what one group gathers is its distinct values.  A group is
-    cut wherever neighbours are over ``tolerance`` apart; no cluster crosses such a gap, so only runs without one
-    are folded in order.
+    That is a fold in order, but what it visits is known beforehand: each distinct value points at the first one over
+    ``tolerance`` above it, and the first values are those that can be reached from the values after a gap.  Pointers are found inside buckets of
+    twice the tolerance and followed by joins that double their reach, so a key of very many values without a gap is spread over its
+    buckets and takes as many rounds as its number of clusters has binary digits.  Null values are left out; missing and infinite ones are
+    clusters of their own.  Only the numbering of a key's clusters, one row each, sorts a key in one task.
     """
-    distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
-    w = Window.partitionBy(*keys).orderBy(value)
-    gap = F.coalesce(F.col(value) - F.lag(value).over(w) > tolerance, F.lit(False)).cast("int")
-    runs = distinct.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w))
-
-    def step(state: Column, v: Column) -> Column:
-        new = v - state.anchor > tolerance
-        anchor = F.when(new, v).otherwise(state.anchor)
-        return F.struct(anchor.alias("anchor"), F.concat(state.out, F.array(F.struct(v.alias("v"), anchor.alias("a")))).alias("out"))
-
-    values = F.array_sort(F.collect_list(value))
-    kind = dict(df.dtypes)[value]
-    start = F.struct(values[0].alias("anchor"), F.array().cast(f"array<struct<v: {kind}, a: {kind}>>").alias("out"))
-    folded = runs.groupBy(*keys, "_run").agg(F.aggregate(values, start, step, lambda s: s.out).alias("_out"))
-    each = folded.select(*keys, F.explode("_out").alias("_o")).select(*keys, F.col("_o.v").alias(value), F.col("_o.a").alias("anchor"))
-    numbered = each.withColumn("cluster", F.dense_rank().over(Window.partitionBy(*keys).orderBy("anchor")))
-    return df.join(numbered, [*keys, value]).select(*keys, row_id, value, "anchor", "cluster")
+    keys = list(keys)
+    distinct = df.select(*keys, F.col(value).alias("v")).where(F.col("v").isNotNull()).distinct()
+    with Scratch(df.sparkSession) as scratch:
+        at = F.col("v").cast("double")
+        split = distinct.withColumn("_own", (F.abs(at) == float("inf")) | F.isnan(at) | F.lit(tolerance <= 0))
+        values = scratch.keep(split.withColumn("b", F.when(~F.col("_own"), F.floor(at / (2 * (tolerance or 1.0))))))
+        own, places = values.where("_own").select(*keys, "v"), values.where("NOT _own").drop("_own")
+        ends = places.groupBy(*keys, "b").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+        starts, links = _starts(places, ends, keys, tolerance, scratch)
+        reached = scratch.keep(_follow(starts, links, keys, scratch).withColumn("_anchor", F.col("v")))
+        # the anchor of a value is the last one at or below it, in its own bucket or the one before
+        w = Window.partitionBy(*keys, "b").orderBy("v")
+        tops = reached.join(places, [*keys, "v"]).groupBy(*keys, "b").agg(F.max("v").alias("_before")).withColumn("b", F.col("b") + 1)
+        inside = places.join(reached, [*keys, "v"], "left").withColumn("anchor", F.last("_anchor", ignorenulls=True).over(w))
+        given = inside.join(tops, [*keys, "b"], "left").select(*keys, "v", F.coalesce("anchor", "_before").alias("anchor")).unionByName(own.withColumn("anchor", F.col("v")))
+        given = checkpoint(given)
+    number = given.where("v = anchor").select(*keys, "anchor", F.row_number().over(Window.partitionBy(*keys).orderBy("anchor")).alias("cluster"))
+    found = given.join(number, [*keys, "anchor"]).withColumnRenamed("v", value)
+    return df.join(found, [*keys, value]).select(*keys, row_id, value, "anchor", "cluster")
+
+
+def _starts(places: DataFrame, ends: DataFrame, keys: list[str], tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(values after a gap, links from a value to the first one over ``tolerance`` above it where that is no value after a gap)."""
+    before = ends.select(*keys, (F.col("b") + 1).alias("b"), F.col("last").alias("_last"))
+    last = F.coalesce(F.lag("v").over(Window.partitionBy(*keys, "b").orderBy("v")), F.col("_last"))
+    starts = scratch.keep(places.join(before, [*keys, "b"], "left").withColumn("_p", last).where(F.col("_p").isNull() | (F.col("v") - F.col("_p") > tolerance)).select(*keys, "v"))
+    # ask from a hair below v + tolerance; where the subtraction then says no, as rounding may have it, ask again from the value found
+    at = F.col("v").cast("double")
+    ask, found = places.select(*keys, "v", (at + tolerance - (F.abs(at) + tolerance) * 2.0**-50).alias("p")), None
+    after = ends.select(*keys, (F.col("b") - 1).alias("b"), F.col("first").alias("_first"))
+    w = Window.partitionBy(*keys, "b").orderBy(F.col("p").desc(), F.col("v").isNull().cast("int"))
+    while True:
+        both = ask.withColumn("b", F.floor(F.col("p") / (2 * tolerance))).withColumn("_next", F.lit(None).cast(places.schema["v"].dataType))
+        both = both.unionByName(places.select(*keys, F.lit(None).cast(places.schema["v"].dataType).alias("v"), at.alias("p"), "b", F.col("v").alias("_next")))
+        met = both.withColumn("_next", F.last("_next", ignorenulls=True).over(w)).where("v IS NOT NULL").join(after, [*keys, "b"], "left")
+        met = scratch.keep(met.select(*keys, "v", F.coalesce("_next", "_first").alias("next")).where("next IS NOT NULL"))
+        far = F.col("next") - F.col("v") > tolerance
+        good = met.where(far)
+        found = good if found is None else found.unionByName(good)
+        ask = met.where(~far).select(*keys, "v", F.col("next").cast("double").alias("p"))
+        if ask.isEmpty():
+            return starts, found.join(starts.select(*keys, F.col("v").alias("next")), [*keys, "next"], "left_anti").select(*keys, "v", "next")
+
+
+def _follow(starts: DataFrame, links: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """All values that can be reached from ``starts``: each round follows links of twice the length from all that has been reached."""
+    reached, links = starts, scratch.keep(links)
+    while True:
+        new = scratch.keep(reached.join(links, [*keys, "v"]).select(*keys, F.col("next").alias("v")))
+        if new.isEmpty():
+            return reached
+        reached = reached.unionByName(new)
+        then = links.select(*keys, F.col("v").alias("next"), F.col("next").alias("_then"))
+        last, links = links, scratch.keep(links.join(then, [*keys, "next"]).select(*keys, "v", F.col("_then").alias("next")))
+        scratch.drop(last)
 
 
 def anchor_groups(df: DataFrame, keys: Sequence[str], row_id: str, value: str, tolerance: float) -> DataFrame:

@@ -44,11 +44,18 @@ def shared_exposures(exposures: DataFrame) -> DataFrame:
 
 
 def pair_misalignment(offsets: DataFrame) -> DataFrame:
-    """Per group and in total: pairs by the distance between their exposures' offsets, and the median distance."""
+    """Per group and in total: pairs by the distance between their exposures' offsets, and the median distance.
+
+    A group is the exposures of one field and filter, so its own pairs meet; the median of all pairs is selected by
+    a sketch's bracket, and the other totals are sums of the groups' rows.
+    """
     pairs = C.pair_join(offsets, ["group"], "pos", ["off_x", "off_y"])
-    pairs = pairs.withColumn("gap", F.hypot(F.col("off_x_a") - F.col("off_x_b"), F.col("off_y_a") - F.col("off_y_b")))
-    bins = {f"bin{k}": F.count(F.when(E.mixed_edge_bin(F.col("gap")) == k, 1)) for k in range(5)}
-    return C.total_line(pairs, "group", {"n_pairs": F.count(F.lit(1)), **bins, "med_gap": F.median("gap"), "max_gap": F.max("gap")})
+    pairs = pairs.select(F.col("group").cast("string").alias("group"), F.hypot(F.col("off_x_a") - F.col("off_x_b"), F.col("off_y_a") - F.col("off_y_b")).alias("gap"))
+    bins = [f"bin{k}" for k in range(5)]
+    each = pairs.groupBy("group").agg(F.count(F.lit(1)).alias("n_pairs"), *[F.count(F.when(E.mixed_edge_bin(F.col("gap")) == k, 1)).alias(b) for k, b in enumerate(bins)], F.median("gap").alias("med_gap"), F.max("gap").alias("max_gap"))
+    mid = S.selected_percentile(pairs.withColumn("group", F.lit("TOTAL")), ["group"], F.col("gap"), 0.5).select("group", F.col("p").alias("med_gap"))
+    total = each.agg(*[F.sum(c).alias(c) for c in ("n_pairs", *bins)], F.max("max_gap").alias("max_gap")).withColumn("group", F.lit("TOTAL"))
+    return each.unionByName(total.join(mid, "group"))
 
 
 def offsets(matches: DataFrame, *, k: float = 3.0, rounds: int = 4, least: int = 5) -> DataFrame:

@@ -614,13 +614,12 @@ def source_mask(spark, sf_dir):
 
 
 @query("""
-    WITH o AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS ox, CAST(embedding[2] AS DOUBLE) AS oy FROM embeddings),
-         p AS (SELECT a.label, sqrt((a.ox - b.ox) * (a.ox - b.ox) + (a.oy - b.oy) * (a.oy - b.oy)) AS gap FROM o a JOIN o b ON a.label = b.label AND a.vec_id < b.vec_id)
-    SELECT coalesce(CAST(label AS VARCHAR), 'TOTAL') AS "group", count(*) AS n_pairs, count(*) FILTER (gap <= 0.1) AS bin0, count(*) FILTER (gap > 0.1 AND gap <= 0.3) AS bin1, count(*) FILTER (gap > 0.3 AND gap <= 0.5) AS bin2,
-           count(*) FILTER (gap > 0.5 AND gap <= 1) AS bin3, count(*) FILTER (gap > 1) AS bin4, round(median(gap), 6) AS med_gap, round(max(gap), 6) AS max_gap FROM p GROUP BY ROLLUP (label)""")
+    WITH o AS (SELECT l_orderkey AS g, l_linenumber AS pos, l_extendedprice / 50000.0 AS ox, l_discount * 3 AS oy FROM lineitem),
+         p AS (SELECT a.g, sqrt((a.ox - b.ox) * (a.ox - b.ox) + (a.oy - b.oy) * (a.oy - b.oy)) AS gap FROM o a JOIN o b ON a.g = b.g AND a.pos < b.pos)
+    SELECT coalesce(CAST(g AS VARCHAR), 'TOTAL') AS "group", count(*) AS n_pairs, count(*) FILTER (gap <= 0.1) AS bin0, count(*) FILTER (gap > 0.1 AND gap <= 0.3) AS bin1, count(*) FILTER (gap > 0.3 AND gap <= 0.5) AS bin2,
+           count(*) FILTER (gap > 0.5 AND gap <= 1) AS bin3, count(*) FILTER (gap > 1) AS bin4, round(median(gap), 6) AS med_gap, round(max(gap), 6) AS max_gap FROM p GROUP BY ROLLUP (g)""")
 def qc_misalignment(spark, sf_dir):
-    v = F.col("embedding")
-    off = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("pos"), v[0].cast("double").alias("off_x"), v[1].cast("double").alias("off_y"))
+    off = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").alias("pos"), (F.col("l_extendedprice") / 50000.0).alias("off_x"), (F.col("l_discount") * 3).alias("off_y"))
     got = qc.pair_misalignment(off)
     return got.withColumns({"med_gap": r("med_gap"), "max_gap": r("max_gap")})
 

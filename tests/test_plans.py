@@ -107,6 +107,26 @@ def test_units_and_pair_rules(spark):
     assert rules.where("valid").count() == sum(abs(a[3] - b[3]) <= 0.1 for i, a in enumerate(rows) for b in rows[i + 1 :])
 
 
+def test_clusters_of_one_long_run_are_a_fold(spark):
+    rng = np.random.default_rng(1)
+    # key 1 has no gap at all, key 2 has steps at which rounding decides, key 3 has gaps, key 4 odd values, and a null value is left out
+    sets = {1: np.round(np.arange(4000) * 0.3, 1), 2: np.round(np.arange(-60, 60) * 0.1, 1), 3: rng.uniform(-300, 300, 200), 4: np.array([-np.inf, 0.0, 0.5, np.inf, np.nan])}
+    rows = [(k, i, float(v)) for k, x in sets.items() for i, v in enumerate(np.concatenate([x, x[:3]]))]
+    df = spark.createDataFrame([*rows, (3, -1, None)], "k int, i int, v double")
+    for tolerance in (0.6, 0.3, 5.0, 0.0):
+        want = []
+        for k in sets:
+            anchor, cluster, of = None, 0, {}
+            for v in sorted({r[2] for r in rows if r[0] == k and r[2] == r[2]}):
+                if anchor is None or v - anchor > tolerance:
+                    anchor, cluster = v, cluster + 1
+                of[v] = (anchor, cluster)
+            want += [(k, i, *(of[v] if v == v else ("nan", cluster + 1))) for g, i, v in rows if g == k]
+        got = [(r.k, r.i, r.anchor if r.anchor == r.anchor else "nan", r.cluster) for r in C.anchor_clusters(df, ["k"], "v", tolerance, "i").collect()]
+        assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    assert C.anchor_clusters(df.limit(0), ["k"], "v", 1.0, "i").count() == 0
+
+
 def test_misalignment_has_a_total(spark):
     df = spark.createDataFrame([("a", i, float(x), 0.0) for i, x in enumerate([0, 0.05, 0.6])] + [("b", 0, 0.0, 0.0), ("b", 1, 2.0, 0.0)], "group string, pos int, off_x double, off_y double")
     rows = {r.group: r for r in qc.pair_misalignment(df).collect()}
