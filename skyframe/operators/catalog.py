@@ -95,36 +95,61 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value
 # ------------------------------------------------------------------ ordered folds
 
 
-def anchor_clusters(df: DataFrame, keys: Sequence[str], value: str, tolerance: float, row_id: str) -> DataFrame:
+def anchor_clusters(df: DataFrame, keys: Sequence[str], value: str, tolerance: float, row_id: str, *, at_once: int = 1000) -> DataFrame:
     """Clusters of sorted values: one ends where a value is over ``tolerance`` from its first.
 
-    That is a fold in order, but what it visits is known beforehand: each distinct value points at the first one over
-    ``tolerance`` above it, and the first values are those that can be reached from the values after a gap.  Pointers are found inside buckets of
-    twice the tolerance and followed by joins that double their reach, so a key of very many values without a gap is spread over its
-    buckets and takes as many rounds as its number of clusters has binary digits.  Null values are left out; missing and infinite ones are
-    clusters of their own.  Only the numbering of a key's clusters, one row each, sorts a key in one task.
+    Keys of at most ``at_once`` distinct values are folded in order, each on its own; those of more by ``_by_links``, for the same rows.
+    Null values are left out; missing and infinite ones are clusters of their own.  Only the numbering of a key's clusters, one row each,
+    sorts a key in one task.
     """
     keys = list(keys)
     distinct = df.select(*keys, F.col(value).alias("v")).where(F.col("v").isNotNull()).distinct()
     with Scratch(df.sparkSession) as scratch:
-        at = F.col("v").cast("double")
-        split = distinct.withColumn("_own", (F.abs(at) == float("inf")) | F.isnan(at) | F.lit(tolerance <= 0))
-        values = scratch.keep(split.withColumn("b", F.when(~F.col("_own"), F.floor(at / (2 * (tolerance or 1.0))))))
-        own, places = values.where("_own").select(*keys, "v"), values.where("NOT _own").drop("_own")
-        ends = places.groupBy(*keys, "b").agg(F.min("v").alias("first"), F.max("v").alias("last"))
-        starts, links = _starts(places, ends, keys, tolerance, scratch)
-        reached = scratch.keep(_follow(starts, links, keys, scratch).withColumn("_anchor", F.col("v")))
-        # the anchor of a value is the last one at or below it, in its own bucket or the one before
-        w = Window.partitionBy(*keys, "b").orderBy("v")
-        tops = reached.join(places, [*keys, "v"]).groupBy(*keys, "b").agg(F.max("v").alias("_before")).withColumn("b", F.col("b") + 1)
-        inside = places.join(reached, [*keys, "v"], "left").withColumn("anchor", F.last("_anchor", ignorenulls=True).over(w))
-        given = inside.join(tops, [*keys, "b"], "left").select(*keys, "v", F.coalesce("anchor", "_before").alias("anchor")).unionByName(own.withColumn("anchor", F.col("v")))
-        given = checkpoint(given)
+        values = scratch.keep(distinct.join(distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys))
+        few, many = (values.where(c).drop("_n") for c in (F.col("_n") <= at_once, F.col("_n") > at_once))
+        given = _by_fold(few, keys, tolerance)
+        given = checkpoint(given if many.isEmpty() else given.unionByName(_by_links(many, keys, tolerance, scratch)))
     number = given.where("v = anchor").select(*keys, "anchor", F.row_number().over(Window.partitionBy(*keys).orderBy("anchor")).alias("cluster"))
     found = given.join(number, [*keys, "anchor"]).withColumnRenamed("v", value)
     return df.join(found, [*keys, value]).select(*keys, row_id, value, "anchor", "cluster")
 
 
+def _by_fold(values: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """(keys, v, anchor) of keys whose distinct values fit one array."""
+    kind = values.schema["v"].dataType.simpleString()
+
+    def step(state: Column, v: Column) -> Column:
+        anchor = F.when(v - state.anchor > tolerance, v).otherwise(state.anchor)
+        return F.struct(anchor.alias("anchor"), F.concat(state.out, F.array(F.struct(v.alias("v"), anchor.alias("a")))).alias("out"))
+
+    ordered = F.array_sort(F.collect_list("v"))
+    start = F.struct(ordered[0].alias("anchor"), F.array().cast(f"array<struct<v: {kind}, a: {kind}>>").alias("out"))
+    folded = values.groupBy(*keys).agg(F.aggregate(ordered, start, step, lambda s: s.out).alias("_out"))
+    return folded.select(*keys, F.explode("_out").alias("_o")).select(*keys, F.col("_o.v").alias("v"), F.col("_o.a").alias("anchor"))
+
+
+def _by_links(values: DataFrame, keys: list[str], tolerance: float, scratch: Scratch) -> DataFrame:
+    """(keys, v, anchor) of keys of any number of distinct values.
+
+    What the fold visits is known beforehand: each value points at the first one over ``tolerance`` above it, and the anchors are
+    what can be reached from the values after a gap.  Pointers are found inside buckets of twice the tolerance and followed by joins that double
+    their reach, so a key of very many values without a gap is spread over its buckets and takes as many rounds as
+    its number of clusters has binary digits.
+    """
+    at = F.col("v").cast("double")
+    split = values.withColumn("_own", (F.abs(at) == float("inf")) | F.isnan(at) | F.lit(tolerance <= 0))
+    split = scratch.keep(split.withColumn("b", F.when(~F.col("_own"), F.floor(at / (2 * (tolerance or 1.0))))))
+    own, places = split.where("_own").select(*keys, "v"), split.where("NOT _own").drop("_own")
+    ends = places.groupBy(*keys, "b").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+    starts, links = _starts(places, ends, keys, tolerance, scratch)
+    reached = scratch.keep(_follow(starts, links, keys, scratch).withColumn("_anchor", F.col("v")))
+    # the anchor of a value is the last one at or below it, in its own bucket or the one before
+    w = Window.partitionBy(*keys, "b").orderBy("v")
+    tops = reached.join(places, [*keys, "v"]).groupBy(*keys, "b").agg(F.max("v").alias("_before")).withColumn("b", F.col("b") + 1)
+    inside = places.join(reached, [*keys, "v"], "left").withColumn("anchor", F.last("_anchor", ignorenulls=True).over(w))
+    return inside.join(tops, [*keys, "b"], "left").select(*keys, "v", F.coalesce("anchor", "_before").alias("anchor")).unionByName(own.withColumn("anchor", F.col("v")))
+
+
 def _starts(places: DataFrame, ends: DataFrame, keys: list[str], tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(values after a gap, links from a value to the first one over ``tolerance`` above it where that is no value after a gap)."""
     before = ends.select(*keys, (F.col("b") + 1).alias("b"), F.col("last").alias("_last"))

@@ -113,7 +113,7 @@ def test_clusters_of_one_long_run_are_a_fold(spark):
     sets = {1: np.round(np.arange(4000) * 0.3, 1), 2: np.round(np.arange(-60, 60) * 0.1, 1), 3: rng.uniform(-300, 300, 200), 4: np.array([-np.inf, 0.0, 0.5, np.inf, np.nan])}
     rows = [(k, i, float(v)) for k, x in sets.items() for i, v in enumerate(np.concatenate([x, x[:3]]))]
     df = spark.createDataFrame([*rows, (3, -1, None)], "k int, i int, v double")
-    for tolerance in (0.6, 0.3, 5.0, 0.0):
+    for tolerance, at_once in ((0.6, 1000), (0.3, 0), (5.0, 0), (5.0, 10_000), (0.0, 0)):
         want = []
         for k in sets:
             anchor, cluster, of = None, 0, {}
@@ -122,7 +122,7 @@ def test_clusters_of_one_long_run_are_a_fold(spark):
                     anchor, cluster = v, cluster + 1
                 of[v] = (anchor, cluster)
             want += [(k, i, *(of[v] if v == v else ("nan", cluster + 1))) for g, i, v in rows if g == k]
-        got = [(r.k, r.i, r.anchor if r.anchor == r.anchor else "nan", r.cluster) for r in C.anchor_clusters(df, ["k"], "v", tolerance, "i").collect()]
+        got = [(r.k, r.i, r.anchor if r.anchor == r.anchor else "nan", r.cluster) for r in C.anchor_clusters(df, ["k"], "v", tolerance, "i", at_once=at_once).collect()]
         assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
     assert C.anchor_clusters(df.limit(0), ["k"], "v", 1.0, "i").count() == 0
 
