@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,26 +187,69 @@ def _follow(starts: DataFrame, links: DataFrame, keys: list[str], scratch: Scrat
         scratch.drop(last)
 
 
-def anchor_groups(df: DataFrame, keys: Sequence[str], row_id: str, value: str, tolerance: float) -> DataFrame:
+def anchor_groups(df: DataFrame, keys: Sequence[str], row_id: str, value: str, tolerance: float, *, at_once: int = 1000) -> DataFrame:
     """Greedy groups in order of ``row_id``: a row joins the first group whose first row is less than ``tolerance`` away, else starts one.
 
-    Which rows start groups depends on the order, so that is a fold; it sees only the first row of each distinct value, and only the run of
-    values that no gap of ``tolerance`` cuts.  Rows are then matched to the anchors by a band join.
+    Which rows start groups depends on the order, and only the first row of each distinct value can.  Keys of at most ``at_once`` distinct values are
+    folded, run by run between gaps; those of more by ``_by_rounds``, for the same rows.  Rows are then matched to the
+    anchors by a band join.  Null, missing and infinite values are in no group.
     """
-    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(row_id).alias(row_id))
-    w = Window.partitionBy(*keys).orderBy(value)
-    gap = F.coalesce(F.col(value) - F.lag(value).over(w) >= tolerance, F.lit(False)).cast("int")
+    keys = list(keys)
+    first = df.where(F.abs(F.col(value).cast("double")) < float("inf")).groupBy(*keys, F.col(value).alias("v")).agg(F.min(row_id).alias("i"))
+    with Scratch(df.sparkSession) as scratch:
+        first = scratch.keep(first)
+        sized = first.join(first.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+        few, many = (sized.where(c).drop("_n") for c in (F.col("_n") <= at_once, F.col("_n") > at_once))
+        anchors = _first_by_fold(few, keys, tolerance)
+        anchors = checkpoint(anchors if many.isEmpty() else anchors.unionByName(_by_rounds(many, keys, tolerance, scratch)))
+    each = anchors.select(*keys, F.col("i").alias("anchor_id"), F.col("v").alias("anchor_value"))
+    near = band_join(df, each, keys, value, "anchor_value", tolerance).where(F.col("anchor_id") <= F.col(row_id))
+    return near.groupBy(*keys, row_id).agg(F.min("anchor_id").alias("anchor_id"))
+
+
+def _first_by_fold(first: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """(keys, i, v) of the rows that start groups, of keys whose distinct values fit one array."""
+    w = Window.partitionBy(*keys).orderBy("v")
+    gap = F.coalesce(F.col("v") - F.lag("v").over(w) >= tolerance, F.lit(False)).cast("int")
     runs = first.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("i"), F.col(value).alias("v"))))
-    kind, id_kind = dict(df.dtypes)[value], dict(df.dtypes)[row_id]
+    rows = F.array_sort(F.collect_list(F.struct("i", "v")))
+    kind = {c: first.schema[c].dataType.simpleString() for c in ("i", "v")}
 
     def step(state: Column, x: Column) -> Column:
         return F.when(F.exists(state, lambda a: F.abs(a.v - x.v) < tolerance), state).otherwise(F.concat(state, F.array(x)))
 
-    anchors = runs.groupBy(*keys, "_run").agg(F.aggregate(rows, F.array().cast(f"array<struct<i: {id_kind}, v: {kind}>>"), step).alias("_a"))
-    each = anchors.select(*keys, F.explode("_a").alias("_a")).select(*keys, F.col("_a.i").alias("anchor_id"), F.col("_a.v").alias("anchor_value"))
-    near = band_join(df, each, keys, value, "anchor_value", tolerance).where(F.col("anchor_id") <= F.col(row_id))
-    return near.groupBy(*keys, row_id).agg(F.min("anchor_id").alias("anchor_id"))
+    folded = runs.groupBy(*keys, "_run").agg(F.aggregate(rows, F.array().cast(f"array<struct<i: {kind['i']}, v: {kind['v']}>>"), step).alias("_a"))
+    return folded.select(*keys, F.explode("_a").alias("_a")).select(*keys, F.col("_a.i").alias("i"), F.col("_a.v").alias("v"))
+
+
+def _by_rounds(first: DataFrame, keys: list[str], tolerance: float, scratch: Scratch) -> DataFrame:
+    """(keys, i, v) of the rows that start groups, of keys of any number of distinct values.
+
+    A row starts a group as soon as no earlier one that is still open is near; it closes those near it.  Only the earliest open row of a bucket
+    can be next, so a round asks one row of each bucket of half the tolerance, and the rows meet them in equi-joins on keys and bucket.  Where
+    ids don't follow values a few rounds settle nearly all; where they do, each takes one group of a run.
+    """
+    bucket = F.floor(F.col("v").cast("double") / (tolerance / 2))
+    reach = F.explode(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda d: F.col("_own") + d))  # two buckets, and one for rounding
+    earlier = (F.col("i") < F.col("_i")) | ((F.col("i") == F.col("_i")) & (F.col("v") < F.col("_v")))
+    near = F.abs(F.col("v") - F.col("_v")) < tolerance
+
+    def filed(anchors: DataFrame) -> DataFrame:
+        return anchors.withColumn("_b", reach).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+
+    met = F.col("b") == F.col("_b")
+    for k in keys:
+        met = met & (F.col(k) == F.col(f"_k_{k}"))
+    started, left = [], scratch.keep(first.withColumn("b", bucket))
+    while not left.isEmpty():
+        least = left.groupBy(*keys, F.col("b").alias("_own")).agg(F.min(F.struct("i", "v")).alias("_l"))
+        least = scratch.keep(least.select(*keys, "_own", F.col("_l.i").alias("_i"), F.col("_l.v").alias("_v")))
+        late = left.join(filed(least), met & near & earlier).select(*keys, "_own").distinct()
+        new = scratch.keep(least.join(late, [*keys, "_own"], "left_anti"))
+        last, left = left, scratch.keep(left.join(filed(new), met & near, "left_anti"))
+        scratch.drop(last, least)
+        started.append(new)
+    return reduce(DataFrame.unionByName, started).select(*keys, F.col("_i").alias("i"), F.col("_v").alias("v"))
 
 
 def tightest_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str, n: int) -> DataFrame:

@@ -26,6 +26,39 @@ def files(spark: SparkSession, path: str, pattern: str = "*_flc.fits", excluded:
     return found.where(~F.array_contains(F.split("path", "/"), excluded)).select("path", "length", "content")
 
 
+def heads(spark: SparkSession, path: str, pattern: str = "*_flc.fits", excluded: str = "_excluded", most: int = HEADER_BYTES) -> DataFrame:
+    """Like ``files``, but content is only the first ``most`` bytes of each file, which is all that is read of it.
+
+    The listing is Spark's, without contents; each task then reads one range of each of its files, through Arrow's file systems (local folders, HDFS,
+    and object stores it knows).  For other stores there is ``files``.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    found = found.where(~F.array_contains(F.split("path", "/"), excluded)).select("path", "length")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):  # so that a batch holds at most 64 ranges
+                part = batch.slice(start, 64)
+                yield pa.RecordBatch.from_arrays([part["path"], part["length"], pa.array([_range(p, most) for p in part["path"].to_pylist()], pa.binary())], ["path", "length", "content"])
+
+    return found.mapInArrow(read, "path string, length long, content binary")
+
+
+def _range(path: str, most: int) -> bytes:
+    """The first ``most`` bytes of a file that Spark names ``path``."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        system, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        host, _, inner = rest.removeprefix("//").partition("/")
+        system, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
+        place = f"{base.rstrip('/')}/{inner}"
+    with system.open_input_file(place) as file:
+        return file.read_at(min(most, file.size()), 0)
+
+
 def cards(content: Column, most: int = HEADER_BYTES) -> Column:
     """Cards of the first ``most`` bytes, as strings of 80 characters.  The image that follows reads as Latin-1 noise, which END cuts off."""
     head = F.decode(F.substring(content, 1, most), "ISO-8859-1")

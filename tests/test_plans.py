@@ -127,6 +127,26 @@ def test_clusters_of_one_long_run_are_a_fold(spark):
     assert C.anchor_clusters(df.limit(0), ["k"], "v", 1.0, "i").count() == 0
 
 
+def test_greedy_groups_by_rounds_are_those_of_the_fold(spark):
+    rng = np.random.default_rng(2)
+    # key 1 has ids without order, key 2 ids that follow the values, key 3 steps of the tolerance itself, key 4 odd values
+    sets = {1: rng.uniform(-40, 40, 1500).round(2), 2: np.arange(0, 6, 0.25), 3: rng.permutation(np.arange(-20, 20) * 0.1), 4: np.array([0.0, -0.0, 0.3, np.inf, -np.inf, np.nan, 0.3])}
+    rows = [(k, 100_000 * k + i, float(v)) for k, x in sets.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (4, -1, None)], "k int, id int, x double")
+    for tolerance, choices in ((1.0, (1000, 10_000)), (0.1, (0,))):
+        want = []
+        for k in sets:
+            starts: list[tuple[int, float]] = []
+            for _, i, v in (r for r in rows if r[0] == k and np.isfinite(r[2])):
+                at = next((j for j, s in starts if abs(s - v) < tolerance), i)
+                starts += [(i, v)] if at == i else []
+                want.append((k, i, at))
+        for at_once in choices:
+            got = [(r.k, r.id, r.anchor_id) for r in C.anchor_groups(df, ["k"], "id", "x", tolerance, at_once=at_once).collect()]
+            assert sorted(got) == sorted(want)
+    assert C.anchor_groups(df.limit(0), ["k"], "id", "x", 1.0).count() == 0
+
+
 def test_misalignment_has_a_total(spark):
     df = spark.createDataFrame([("a", i, float(x), 0.0) for i, x in enumerate([0, 0.05, 0.6])] + [("b", 0, 0.0, 0.0), ("b", 1, 2.0, 0.0)], "group string, pos int, off_x double, off_y double")
     rows = {r.group: r for r in qc.pair_misalignment(df).collect()}

@@ -29,6 +29,10 @@ def test_fits_headers_and_pixels(spark, tmp_path):
     assert len(rows) == 1
     r = rows[0]
     assert (r.root, r.filter, r.proposid, r.naxis1, r.naxis2, r.date_obs) == ("j8r001s0", "F814W", 9810, 9, 7, "2003-12-05")
+    for most in (fits.HEADER_BYTES, 2 * fits.BLOCK):  # only the ranges asked for, and the same headers
+        ranges = fits.heads(spark, f"file://{tmp_path / 'ok'}", most=most)
+        assert {x.path: (x.length, bytes(x.content)) for x in ranges.collect()} == {x.path: (x.length, bytes(x.content)[:most]) for x in files.collect()}
+        assert fits.typed(ranges.join(fits.headers(ranges), "path", "left")).collect() == rows
     px = fits.image_pixels(fits.image_rows(files.where("path like '%j8r001s0%'"))).collect()
     got = np.full((7, 9), np.nan)
     for p in px:
