@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lattice_lm, near_dedup, packing, pii, quality, toxicity, url_filter, vector_dedup
+from . import alignment, decontaminate, html_text, lattice_lm, near_dedup, packing, pii, quality, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -50,4 +51,9 @@ def op10_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_probminhash, op3_benchmark_tiling, op4_subword_lattice, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op8_weak_supervision, op9_bin_completion, op10_vector_cells)}
+def op11_pair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.digests(aligned).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_probminhash, op3_benchmark_tiling, op4_subword_lattice, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op8_weak_supervision, op9_bin_completion, op10_vector_cells, op11_pair_shards)}
