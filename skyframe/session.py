@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,12 +69,17 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self._delete(self.folder)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def until_exit(self) -> Scratch:
+        """For results that read the tables when they are run: the folder goes when the driver's Python ends."""
+        atexit.register(self._last)
+        return self
+
+    def keep(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         """The rows of ``df``, written once and read from there."""
         self.made += 1
         path = f"{self.folder}/{self.made}"
         with freed_shuffles(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.places.append((kept, path))
         return kept
@@ -83,6 +89,11 @@ class Scratch:
             if any(kept is t for t in tables):
                 self._delete(path)
 
+    def _last(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # else Spark has stopped, and the folder's owner clears it
+            with suppress(Exception):
+                self._delete(self.folder)
+
     def _delete(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
