@@ -52,4 +52,36 @@ def vectors() -> str:
     FROM embeddings LEFT JOIN n ON n.src = vec_id LEFT JOIN part ON part.id = vec_id"""
 
 
-SQL = {"op2_probminhash": near_duplicates(), "op7_url_vocabulary": urls(), "op10_vector_cells": vectors()}
+def merkle() -> str:
+    framed = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    # CRC-32 by half bytes: the fixed remainders of its polynomial for the values 0 to 15
+    nibbles = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3497069736, 3305413836, 2607071920, 2262029012, 2678067672, 3176608252]"
+    half = lambda c, b: f"xor(({c}) >> 4, {nibbles}[xor(({c}) & 15, {b}) + 1])"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, d: {half(half('c', 'd & 15'), 'd >> 4')}), 4294967295)"
+    # the levels of all trees, the trees' roots with their proofs, then the same over the roots
+    levels = lambda name, start: f"""{name} AS (SELECT tree, 0 AS level, place, size, digest FROM {start} UNION ALL
+              SELECT tree, level + 1, place // 3, (min(size) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM {name} WHERE size > 1 GROUP BY tree, level, place // 3)"""
+    steps = lambda name, start, tree: f"""SELECT l.{tree}, l.place, u.level, coalesce(string_agg(u.digest, '' ORDER BY u.place) FILTER (u.place < l.place // pow3), '') AS before,
+              coalesce(string_agg(u.digest, '' ORDER BY u.place) FILTER (u.place > l.place // pow3), '') AS after
+              FROM (SELECT *, CAST(pow(3, k) AS BIGINT) AS pow3 FROM {start}, range(0, 39) AS r(k)) l
+              JOIN {name} u ON u.tree = l.tree AND u.level = l.k AND u.size > 1 AND u.place // 3 = l.place // (3 * pow3) GROUP BY ALL"""
+    return f"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {leaf("text")} AS digest, {leaf(f"CASE WHEN {crc} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS tampered,
+              dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, source FROM documents),
+         leaves AS MATERIALIZED (SELECT doc_id, tampered, digest, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM d),
+         {levels("low", "leaves")},
+         subroots AS MATERIALIZED (SELECT 0 AS tree, tree AS place, digest, count(*) OVER () AS size FROM low WHERE size = 1),
+         {levels("high", "subroots")},
+         step AS (SELECT l.tree, l.place, 0 AS part, level, before, after FROM ({steps("low", "leaves", "tree")}) l UNION ALL
+                  SELECT v.tree, v.place, 1, s.level, s.before, s.after FROM ({steps("high", "subroots", "tree")}) s JOIN leaves v ON v.tree = s.place),
+         proof AS MATERIALIZED (SELECT tree, place, list(struct_pack(b := before, a := after) ORDER BY part, level) AS steps FROM step GROUP BY 1, 2),
+         fold AS (SELECT tree, place, tampered AS digest, 0 AS done FROM leaves UNION ALL
+                  SELECT f.tree, f.place, sha256(p.steps[done + 1].b || f.digest || p.steps[done + 1].a), done + 1 FROM fold f JOIN proof p USING (tree, place) WHERE done < len(p.steps))
+    SELECT v.doc_id, v.digest AS leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(list_aggregate(list_transform(p.steps, lambda x: x.b || x.a), 'string_agg', ''), '')) AS proof_sha256,
+           f.digest AS folded_root, f.digest = r.digest AS verified
+    FROM leaves v JOIN subroots s ON s.place = v.tree CROSS JOIN (SELECT digest FROM high WHERE size = 1) r LEFT JOIN proof p ON p.tree = v.tree AND p.place = v.place
+    JOIN fold f ON f.tree = v.tree AND f.place = v.place AND f.done = coalesce(len(p.steps), 0)"""
+
+
+SQL = {"op2_probminhash": near_duplicates(), "op7_url_vocabulary": urls(), "op10_vector_cells": vectors(), "op12_merkle_manifest": merkle()}
