@@ -55,8 +55,9 @@ def vectors() -> str:
 def merkle() -> str:
     framed = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
     leaf = lambda text: "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
-    # CRC-32 by half bytes: the fixed remainders of its polynomial for the values 0 to 15
-    nibbles = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3497069736, 3305413836, 2607071920, 2262029012, 2678067672, 3176608252]"
+    nibbles = list(range(16))  # CRC-32 by half bytes: what remains of each under the reversed polynomial
+    for _ in range(4):
+        nibbles = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in nibbles]
     half = lambda c, b: f"xor(({c}) >> 4, {nibbles}[xor(({c}) & 15, {b}) + 1])"
     crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, d: {half(half('c', 'd & 15'), 'd >> 4')}), 4294967295)"
     # the levels of all trees, the trees' roots with their proofs, then the same over the roots
