@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_text, lattice_lm, merkle, near_dedup, packing, pii, quality, toxicity, url_filter, vector_dedup
+from . import alignment, decontaminate, html_text, language, lattice_lm, merkle, near_dedup, packing, pii, quality, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -60,4 +60,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_probminhash, op3_benchmark_tiling, op4_subword_lattice, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op8_weak_supervision, op9_bin_completion, op10_vector_cells, op11_pair_shards, op12_merkle_manifest)}
+def op13_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_probminhash, op3_benchmark_tiling, op4_subword_lattice, op5_html_blocks, op6_levenshtein_trie, op7_url_vocabulary, op8_weak_supervision, op9_bin_completion, op10_vector_cells, op11_pair_shards, op12_merkle_manifest, op13_family_svm)}

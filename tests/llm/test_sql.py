@@ -23,5 +23,5 @@ def test_same_rows_as_sql(spark, data, name):
 def test_registered():
     import __spark_entry__ as entry
 
-    assert {n for n in entry.queries() if n.startswith("op")} == set(QUERIES) and {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 13)}
+    assert {n for n in entry.queries() if n.startswith("op")} == set(QUERIES) and {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in entry.queries() and set(SQL) <= set(entry.oracle_sql())
