@@ -44,17 +44,23 @@ def heads(spark: SparkSession, path: str, pattern: str = "*_flc.fits", excluded:
     return found.mapInArrow(read, "path string, length long, content binary")
 
 
-def _range(path: str, most: int) -> bytes:
-    """The first ``most`` bytes of a file that Spark names ``path``."""
+def store_of(path: str):
+    """(Arrow's file system, the place in it) of a path that Spark names, with or without a scheme."""
     from pyarrow import fs
 
-    scheme, _, rest = path.partition(":")
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
     if scheme == "file":
-        system, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    else:
-        host, _, inner = rest.removeprefix("//").partition("/")
-        system, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
-        place = f"{base.rstrip('/')}/{inner}"
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    host, _, inner = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
+def _range(path: str, most: int) -> bytes:
+    """The first ``most`` bytes of a file that Spark names ``path``."""
+    system, place = store_of(path)
     with system.open_input_file(place) as file:
         return file.read_at(min(most, file.size()), 0)
 
