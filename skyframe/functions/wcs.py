@@ -1,14 +1,17 @@
 """Tangent-plane coordinates as column expressions.
 
 A WCS is a struct of crval1, crval2, crpix1, crpix2, cd11, cd12, cd21, cd22 (degrees, FITS pixels that count from 1).
-Polynomial and tabulated distortions are not part of it.
+Polynomial distortion (SIP) is a struct of two arrays of coefficients; tabulated distortions are not part of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SIP_ORDER = 5
 FIELDS = ("crval1", "crval2", "crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22")
 
 
@@ -22,9 +25,62 @@ def from_header(header: Column, hdu: int = 1) -> Column:
     return F.when(whole, F.struct(*[v.alias(n) for v, n in zip(values, FIELDS, strict=True)]))
 
 
-def pixel_to_sky(wcs: Column, x: Column, y: Column) -> Column:
+def no_terms() -> Column:
+    return F.array(*[F.lit(0.0)] * len(terms()))
+
+
+def terms(order: int = SIP_ORDER) -> list[tuple[int, int]]:
+    """Powers (p, q) of the coefficients, in the order they have in the arrays."""
+    return [(p, q) for p in range(order + 1) for q in range(order + 1 - p)]
+
+
+def sip_from_header(header: Column, hdu: int = 1) -> Column:
+    """The distortion from a header map: a struct of a and b, each the coefficients of ``terms()``, 0 where a key is missing; null without A_ORDER and
+    B_ORDER, and where either is over ``SIP_ORDER``."""
+    at = lambda k: F.try_element_at(header, F.lit(f"h{hdu}_{k}")).try_cast("double")
+    side = lambda name: F.array(*[F.coalesce(at(f"{name}_{p}_{q}"), F.lit(0.0)) for p, q in terms()])
+    return F.when(F.greatest(at("A_ORDER"), at("B_ORDER")) <= SIP_ORDER, F.when(at("A_ORDER").isNotNull() & at("B_ORDER").isNotNull(), F.struct(side("A").alias("a"), side("B").alias("b"))))
+
+
+def _polynomial(c: Column, u: Column, v: Column) -> Column:
+    """Sum of c_pq u^p v^q, nested so that each coefficient costs one product."""
+    place = {pq: k for k, pq in enumerate(terms())}
+    total = None
+    for p in range(SIP_ORDER, -1, -1):
+        inner = None
+        for q in range(SIP_ORDER - p, -1, -1):
+            term = c[place[p, q]]
+            inner = term if inner is None else inner * v + term
+        total = inner if total is None else total * u + inner
+    return total
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once, however often it stands in the body."""
+    return F.transform(F.array(value), body)[0]
+
+
+def distorted(sip: Column, u: Column, v: Column) -> Column:
+    """(u, v) moved by the polynomials; as they are where there is no distortion."""
+    a, b = F.coalesce(sip.a, no_terms()), F.coalesce(sip.b, no_terms())
+    return F.struct((u + _polynomial(a, u, v)).alias("u"), (v + _polynomial(b, u, v)).alias("v"))
+
+
+def undistorted(sip: Column, u: Column, v: Column, rounds: int = 12) -> Column:
+    """The place that ``distorted`` moves to (u, v), by fixed-point rounds: each takes the distortion at the last place off the target."""
+    a, b = F.coalesce(sip.a, no_terms()), F.coalesce(sip.b, no_terms())
+    target = F.struct(u.alias("u"), v.alias("v"))
+    step = lambda s, _: F.struct((u - _polynomial(a, s.u, s.v)).alias("u"), (v - _polynomial(b, s.u, s.v)).alias("v"))
+    return F.when(sip.isNull(), target).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), target, step))
+
+
+def pixel_to_sky(wcs: Column, x: Column, y: Column, sip: Column | None = None) -> Column:
     """(ra, dec) in degrees of a pixel counted from 0."""
     u, v = x + 1 - wcs.crpix1, y + 1 - wcs.crpix2
+    return _sky(wcs, u, v) if sip is None else let(distorted(sip, u, v), lambda moved: _sky(wcs, moved.u, moved.v))
+
+
+def _sky(wcs: Column, u: Column, v: Column) -> Column:
     xi, eta = F.radians(wcs.cd11 * u + wcs.cd12 * v), F.radians(wcs.cd21 * u + wcs.cd22 * v)
     d0 = F.radians(wcs.crval2)
     den = F.cos(d0) - eta * F.sin(d0)
@@ -33,7 +89,7 @@ def pixel_to_sky(wcs: Column, x: Column, y: Column) -> Column:
     return F.struct(F.pmod(ra, F.lit(360.0)).alias("ra"), dec.alias("dec"))
 
 
-def sky_to_pixel(wcs: Column, ra: Column, dec: Column) -> Column:
+def sky_to_pixel(wcs: Column, ra: Column, dec: Column, sip: Column | None = None) -> Column:
     """(x, y) counted from 0, null on the far half of the sky."""
     d, d0, da = F.radians(dec), F.radians(wcs.crval2), F.radians(ra - wcs.crval1)
     den = F.sin(d) * F.sin(d0) + F.cos(d) * F.cos(d0) * F.cos(da)
@@ -41,13 +97,15 @@ def sky_to_pixel(wcs: Column, ra: Column, dec: Column) -> Column:
     eta = F.degrees((F.sin(d) * F.cos(d0) - F.cos(d) * F.sin(d0) * F.cos(da)) / F.nullif(den, F.lit(0.0)))
     det = wcs.cd11 * wcs.cd22 - wcs.cd12 * wcs.cd21
     u, v = (wcs.cd22 * xi - wcs.cd12 * eta) / det, (wcs.cd11 * eta - wcs.cd21 * xi) / det
-    return F.when(den > 0, F.struct((u + wcs.crpix1 - 1).alias("x"), (v + wcs.crpix2 - 1).alias("y")))
+    place = lambda p: F.struct((p.u + wcs.crpix1 - 1).alias("x"), (p.v + wcs.crpix2 - 1).alias("y"))
+    plain = F.struct(u.alias("u"), v.alias("v"))
+    return F.when(den > 0, place(plain) if sip is None else let(let(plain, lambda t: undistorted(sip, t.u, t.v)), place))
 
 
-def project(a: Column, b: Column, x: Column, y: Column) -> Column:
+def project(a: Column, b: Column, x: Column, y: Column, sip_a: Column | None = None, sip_b: Column | None = None) -> Column:
     """Where a pixel of ``a`` falls in ``b``."""
-    sky = pixel_to_sky(a, x, y)
-    return sky_to_pixel(b, sky.ra, sky.dec)
+    sky = pixel_to_sky(a, x, y, sip_a)
+    return sky_to_pixel(b, sky.ra, sky.dec) if sip_a is None and sip_b is None else let(sky, lambda s: sky_to_pixel(b, s.ra, s.dec, sip_b))
 
 
 def translation(a: Column, b: Column, x: Column, y: Column) -> Column:

@@ -170,7 +170,7 @@ class FitsReader(DataSourceReader):
         paths = [prefix + p for p in found]
         if self.rows and self.versions:
             return [Part([p], v) for p in paths for v in self.versions]
-        each = 1 if self.rows else int(self.options.get("filesperpartition", 64))
+        each = int(self.options.get("filesperpartition", 1 if self.rows else 64))
         return [Part(paths[k : k + each], None) for k in range(0, len(paths), each)]
 
     def _wanted(self, file: Ranged, ver: int | None) -> Iterator[Unit]:
@@ -308,7 +308,8 @@ class FitsWriter(DataSourceArrowWriter):
 
 class FitsSource(DataSource):
     """Options of reads: ``table`` (units or rows), ``pattern`` of file names, ``excluded`` folder, ``names`` and ``versions`` of extensions (comma-separated),
-    ``firstWithData`` (only the first unit of each file that has data), ``headBytes`` (nothing beyond so many bytes is fetched), ``filesPerPartition``.
+    ``firstWithData`` (only the first unit of each file that has data), ``headBytes`` (nothing beyond so many bytes is fetched), ``filesPerPartition``
+    (64 for units, 1 for rows).
 
     A schema given to the reader is what is made: without ``data`` no pixel is fetched.  Files that are no FITS have no units, nor have those of no bytes.
     """

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from skyframe import queries_images, queries_records  # noqa: F401
+from skyframe import queries_files, queries_images, queries_records  # noqa: F401
 from skyframe.operators import stats as S
 from skyframe.queries import QUERIES, SQL
 
