@@ -15,7 +15,7 @@ from .plans import curation, production, qc, samples
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-PX = """px AS (SELECT vec_id, label, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v
+PX = """px AS MATERIALIZED (SELECT vec_id, label, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v
         FROM embeddings, range(1, 65) t(i))"""
 
 

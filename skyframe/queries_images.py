@@ -9,8 +9,10 @@ from .functions import wcs as W
 from .operators import align
 from .operators import catalog as C
 from .operators import images as I
+from .operators import stripes
 from .plans import production, qc
 from .queries import PEAKS, PX, SQL, chips, peaks, query, r, table
+from .session import Scratch, checkpoint
 
 GAUSS = "g AS (SELECT d, exp(-0.5 * pow(d / {sigma}, 2)) AS w FROM range(-{reach}, {reach} + 1) t(d))"
 
@@ -124,8 +126,33 @@ def destripe_at_angle(spark, sf_dir):
 
 @query()
 def destripe_greedy(spark, sf_dir):
-    got = I.destripe_greedy(chips(spark, sf_dir).drop("label"), ["vec_id"], angles=[0.0, 30.0, 60.0, 90.0, 120.0, 150.0], least=3, detrend=2.0, significance=2.0, rounds=2)
-    return got.select("vec_id", "y", "x", r("v").alias("v"))
+    """The search until no angle of any image stands out, on images of 8 by 8; held against whole-image computations in the tests."""
+    with Scratch(spark) as scratch:
+        px = chips(spark, sf_dir).select("vec_id", "y", "x", "v")
+        options = dict(low=4.0, detrend=2.0, window=4.0, smooth=1.0, coarse=10.0, fine=2.5, reach=10.0, least_scan=3, least_field=3, least_strips=5, significance=10.0)
+        pixels, _ = stripes.destripe_search(px, ["vec_id"], scratch, **options)
+        return checkpoint(pixels.select("vec_id", "y", "x", r("v").alias("v")))
+
+
+STRIP = "CAST(floor(round((y - 3.5) * cos(radians(angle)) - (x - 3.5) * sin(radians(angle)) + 3.5 * abs(cos(radians(angle))) + 3.5 * abs(sin(radians(angle))), 9)) AS INTEGER)"
+
+
+@query(f"""
+    WITH {PX}, ca AS (SELECT vec_id, CAST(a AS DOUBLE) AS angle FROM (SELECT vec_id, unnest([vec_id % 90, vec_id % 90 - 45, -(vec_id % 37) - 0.5, 17.375]) AS a FROM embeddings)),
+         st AS (SELECT vec_id, angle, {STRIP} AS i, count(*) AS n, sum(greatest(least(v, 0.4), -0.4)) AS s FROM px JOIN ca USING (vec_id) WHERE v < 0.2 GROUP BY 1, 2, 3),
+         mx AS (SELECT vec_id, angle, max(i) AS last FROM st GROUP BY 1, 2), g AS (SELECT d, exp(-0.5 * pow(d / 2.0, 2)) AS w FROM range(-8, 9) t(d)), nw AS (SELECT sum(w) AS whole FROM g),
+         pr AS (SELECT vec_id, angle, i, n, CASE WHEN n >= 3 THEN s / n END AS p FROM st),
+         al AS (SELECT vec_id, angle, k AS i, last FROM mx, range(0, 12) t(k) WHERE k <= last),
+         sm AS (SELECT al.vec_id, al.angle, al.i, sum(w * p) AS a, sum(w) FILTER (p IS NOT NULL) AS b FROM al, g JOIN pr ON pr.vec_id = al.vec_id AND pr.angle = al.angle AND pr.i = greatest(0, least(last, al.i + d)) GROUP BY 1, 2, 3),
+         re AS (SELECT pr.vec_id, pr.angle, n, p - a / b AS hf FROM pr JOIN sm USING (vec_id, angle, i), nw WHERE p IS NOT NULL AND b / whole > 1e-3)
+    SELECT vec_id, angle, CASE WHEN count(hf) >= 5 THEN round(avg(hf * hf / 0.01 - 1.0 / n), 6) END AS score FROM ca LEFT JOIN re USING (vec_id, angle) GROUP BY 1, 2 HAVING count(hf) >= 0""")
+def angle_scan_background(spark, sf_dir):
+    """A scan whose angles are each image's own, over background pixels with clipped values."""
+    px = chips(spark, sf_dir).select("vec_id", "y", "x", F.when(F.col("v") < 0.2, F.col("v")).alias("hp"))
+    k = F.col("vec_id")
+    own = F.array_distinct(F.array((k % 90).cast("double"), (k % 90 - 45).cast("double"), -(k % 37) - 0.5, F.lit(17.375)))
+    candidates = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(0.1).alias("sigma"), own.alias("angles"))
+    return stripes.scan(px, candidates, ["vec_id"], least=3, least_strips=5, detrend=2.0).select("vec_id", "angle", r("score").alias("score"))
 
 
 @query(f"""

@@ -179,19 +179,3 @@ def test_tiles(spark, image):
     got = I.to_tiles(frame(spark, image[:8, :8]), ["chip"], 4).orderBy("ty", "tx").collect()
     assert len(got) == 4 and np.allclose(got[1]["data"], image[:4, 4:8].ravel(), atol=1e-6)
     assert I.tile_scale(frame(spark, image[:3, :3]), ["chip"], 4, 3, 3).count() == 0
-
-
-def test_greedy_destriping_takes_stripes_at_an_angle_and_leaves_the_rest(spark):
-    rng = np.random.default_rng(0)
-    y, x = np.mgrid[0:24, 0:24]
-    bins = np.floor(np.round(y * np.cos(np.radians(30)) - x * np.sin(np.radians(30)), 9)).astype(int)
-    noise = rng.normal(0, 0.05, (2, 24, 24))
-    striped = noise[0] + rng.normal(0, 1, 60)[bins - bins.min()]
-    rows = [(k, int(a), int(b), float(v[a, b])) for k, v in ((0, striped), (1, noise[1])) for a in range(24) for b in range(24)]
-    df = spark.createDataFrame(rows, "k int, y int, x int, v double")
-    angles = [float(a) for a in range(0, 180, 10)]
-    out = {(r.k, r.y, r.x): r.v for r in I.destripe_greedy(df, ["k"], angles=angles, least=4, detrend=8.0, significance=12.0).collect()}
-    assert len(out) == len(rows)
-    left = np.array([[out[0, a, b] for b in range(24)] for a in range(24)])
-    assert left.std() < 0.5 * striped.std()
-    assert all(out[1, a, b] == noise[1][a, b] for a in range(24) for b in range(24))
