@@ -33,7 +33,7 @@ def rootname(path: Column) -> Column:
 
 def filter_first_clear(f1: Column, f2: Column) -> Column:
     """The first filter that isn't empty or clear, else either, else UNKNOWN."""
-    real = lambda c: F.when((F.trim(c) != "") & ~F.upper(F.trim(c)).startswith("CLEAR"), F.trim(c))
+    real = lambda c: F.when((F.trim(c) != "") & ~F.trim(c).startswith("CLEAR"), F.trim(c))
     any_ = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.coalesce(real(f1), real(f2), any_(f1), any_(f2), F.lit("UNKNOWN"))
 

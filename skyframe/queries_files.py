@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import exposures
+from .plans import exposures, offsets
 from .queries import PX, chips, query, r, table
 from .session import Scratch, checkpoint
 from .sources import fits_source as FS
@@ -145,3 +145,31 @@ def gap_band(spark, sf_dir):
     px = chips(spark, sf_dir).select("vec_id", "y", "x", "v").withColumn("covered", F.expr(GAP))
     w = F.col("weight")
     return exposures.gap_weight(px, ["vec_id"], 8, 8).select("vec_id", "y", "x", r(w).alias("weight"), r(w * F.col("v") + (1 - w) * 0.5 * F.col("v")).alias("v"))
+
+
+def planted(key: Column, step: int) -> Column:
+    """The offset of a customer's second exposure, up to 1.3 pixels either way."""
+    return ((key * step) % 81 - 40) / 40.0 * 1.3
+
+
+@query()
+def two_pass_offsets(spark, sf_dir):
+    """Each customer is a field, with a star for each order, seen twice; the second exposure's offset is measured.  Held against what is planted, and the
+    operator against a plain computation, in the tests."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), "o_orderkey", (100 + F.col("o_totalprice").cast("double") / 1000).alias("flux"))
+    at = lambda salt: 8 + F.pmod(F.xxhash64("o_orderkey", F.lit(salt)), F.lit(11200)) / 100.0
+    stars = orders.withColumns({"ty": at(1), "tx": at(2)})
+    seen = stars.withColumn("_e", F.explode(F.array(F.struct(F.lit("a").alias("file"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("ox")), F.struct(F.lit("b").alias("file"), planted(F.col("group"), 53).alias("oy"), planted(F.col("group"), 37).alias("ox")))))
+    seen = seen.select("group", "_e.file", "flux", (F.col("ty") + F.col("_e.oy")).alias("ty"), (F.col("tx") + F.col("_e.ox")).alias("tx"))
+    near = seen.withColumn("dy", F.explode(F.sequence(F.lit(-6), F.lit(6)))).withColumn("dx", F.explode(F.sequence(F.lit(-6), F.lit(6))))
+    near = near.withColumns({"y": (F.round("ty") + F.col("dy")).cast("int"), "x": (F.round("tx") + F.col("dx")).cast("int")})
+    light = F.col("flux") * F.exp(-0.5 * ((F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx"))) / 1.44)
+    with Scratch(spark) as scratch:
+        pixels = scratch.keep(near.groupBy("group", "file", "y", "x").agg(F.sum(light).alias("v")))
+        first, second = pixels.where("file = 'a'"), pixels.where("file = 'b'")
+        spots = stars.select("group", F.lit("a").alias("file"), F.round("ty").cast("int").alias("y"), F.round("tx").cast("int").alias("x")).distinct()
+        centres = offsets.I.centroid(spots, offsets.PAIR, first).where("cy IS NOT NULL").withColumn("file", F.lit("b"))
+        levels = second.select("group", "file").distinct().withColumns({"sky": F.lit(0.0), "sigma": F.lit(1.0)})
+        got = offsets.two_pass_offsets(centres, second, levels, lambda x, y: F.struct(x.alias("x"), y.alias("y")), height=128, width=128, margin=4, least_matches=4)
+        figures = [r(c).alias(c) for c in ("off_x", "off_y", "off_r", "scat_x", "scat_y", "med_abs_r", "med_scatter")]
+        return checkpoint(got.select("group", "n_cand", "n_match", "n_used", *figures, "passes"))

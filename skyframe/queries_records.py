@@ -44,7 +44,7 @@ def path_names(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PATHS} SELECT p_partkey, CASE WHEN trim(f1) <> '' AND NOT starts_with(upper(trim(f1)), 'CLEAR') THEN trim(f1) WHEN trim(f2) <> '' AND NOT starts_with(upper(trim(f2)), 'CLEAR') THEN trim(f2) ELSE coalesce(nullif(trim(f1), ''), nullif(trim(f2), ''), 'UNKNOWN') END AS first_real,
+    WITH {PATHS} SELECT p_partkey, CASE WHEN trim(f1) <> '' AND NOT starts_with(trim(f1), 'CLEAR') THEN trim(f1) WHEN trim(f2) <> '' AND NOT starts_with(trim(f2), 'CLEAR') THEN trim(f2) ELSE coalesce(nullif(trim(f1), ''), nullif(trim(f2), ''), 'UNKNOWN') END AS first_real,
            CASE WHEN starts_with(f1, 'CLEAR') THEN f2 ELSE f1 END AS second_if_clear, f1 || ' → ' || f2 AS both FROM paths""")
 def filter_names(spark, sf_dir):
     f1, f2 = F.col("f1"), F.col("f2")
@@ -54,6 +54,15 @@ def filter_names(spark, sf_dir):
 # ------------------------------------------------------------------ expressions
 
 
+@query("""
+    SELECT l_orderkey, l_linenumber, CAST(format('{:.5f}', l_quantity * 5e-6) AS DOUBLE) AS on_halves, CAST(format('{:.5f}', l_extendedprice / (l_linenumber + 2e0)) AS DOUBLE) AS centre, CAST(format('{:.0f}', l_quantity / 2e0) AS DOUBLE) AS whole FROM lineitem""")
+def python_round(spark, sf_dir):
+    """Binary values rounded as Python rounds them, many of them on a half in decimals."""
+    price, lines, quantity = F.col("l_extendedprice").cast("double"), F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    parts = {"on_halves": E.python_round(quantity * 5e-6), "centre": E.python_round(price / (lines + 2.0)), "whole": E.python_round(quantity / 2.0, 0)}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in parts.items()])
+
+
 @query("""
     WITH e AS (SELECT event_id, value AS v, user_id AS u, CASE WHEN user_id % 10 = 0 THEN NULL WHEN user_id % 10 = 1 THEN 'NaN'::DOUBLE WHEN user_id % 10 = 2 THEN 'Infinity'::DOUBLE ELSE value END AS w FROM events)
     SELECT event_id, round(sinh(asinh(v / 7.0)) * 7.0, 6) AS restored, round(2290.0 * abs(radians(v / 100)), 6) AS corner, round(v * v / (v * v + pow(1.2533 * 3.0, 2) / greatest(u * 0.8, 1.0)), 6) AS wiener,
