@@ -175,6 +175,18 @@ def confirmed(matches: DataFrame, keys: Sequence[str], partner: str, least: int
     return matches.groupBy(*keys, "y", "x").agg(F.countDistinct(partner).alias("votes")).where(F.col("votes") >= least)
 
 
+def votes_of_others(sources: DataFrame, hits: DataFrame, group: Sequence[str], keys: Sequence[str], partner: str, least: int = 2) -> DataFrame:
+    """``confirmed`` where all images of a group share one grid: the images of the group with a hit at the source's pixel, less the source's own.
+
+    Hits are counted once for each pixel of the group, so nothing meets pair by pair.  ``sources``: group, keys, y, x; ``hits``: group, partner, y, x, one row each.
+    """
+    at = [*group, "y", "x"]
+    counts = hits.groupBy(*at).agg(F.count(F.lit(1)).alias("_all"))
+    own = hits.select(*at, F.col(partner).alias(keys[-1]), F.lit(1).alias("_own"))
+    both = sources.join(counts, at).join(own, [*at, keys[-1]], "left").withColumn("votes", F.col("_all") - F.coalesce("_own", F.lit(0)))
+    return both.where(F.col("votes") >= least).select(*keys, "y", "x", "votes")
+
+
 def partner_ratio(sources: DataFrame, pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The partner's value at the source's rounded place over the source's own; null out of bounds."""
     other = pixels.select(*keys, F.col("y").alias("py"), F.col("x").alias("px"), F.col("v").alias("_n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from ..functions import exprs as E
 from ..functions import wcs as W
 from ..operators import align
 from ..operators import images as I
+from ..operators import stats as S
 from ..session import checkpoint
 from ..sources import fits_source as FS
 
@@ -119,3 +120,36 @@ def gap_weight(pixels: DataFrame, keys: Sequence[str], height: int | str, width:
     gaps = pixels.where("covered = 0").select(*keys, "y", "x", *[s for s in sizes if isinstance(s, str)], F.lit(1.0).alias("_g"))
     blurred = spread(spread(gaps, "x", sizes[width]), "y", sizes[height]).select(*keys, "y", "x", "_g")
     return pixels.join(blurred, [*keys, "y", "x"], "left").withColumn("weight", 1 - F.coalesce("_g", F.lit(0.0))).drop("_g")
+
+
+def write_changed(spark: SparkSession, source: str, out: str, pixels: DataFrame, change: Callable[[Column, Column], Column], extra: DataFrame | None = None, **options) -> None:
+    """Write the files of ``pixels`` (file, ver, y, x, v) anew under ``out``: their science images have the new values, all other units their old bytes.
+
+    ``change(name, cards)`` gives each unit's cards, which are the source's own otherwise; ``extra`` (file, ver, and columns that ``change`` reads) is joined to the
+    science units.  Files appear under their names when all are written, see ``write_files``.
+    """
+    files = pixels.select("file").distinct()
+    units = FS.read_units(spark, source, **options).join(files, "file", "left_semi")
+    science = F.col("name") == "SCI"
+    places = units.where(science).select(*CHIP, "hdu")
+    told = units if extra is None else units.join(extra.withColumn("name", F.lit("SCI")), ["file", "name", "ver"], "left")
+    lines = pixels.groupBy(*CHIP, "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("_r")).select(*CHIP, "y", F.col("_r.v").alias("data"))
+    others = FS.read_rows(spark, source, **options).where(~science).join(files, "file", "left_semi").select("file", "hdu", "y", "data")
+    FS.write_files(told.select("file", "hdu", change(F.col("name"), F.col("cards")).alias("cards")), lines.join(places, CHIP).select("file", "hdu", "y", "data").unionByName(others), out)
+
+
+def one_channel(spark: SparkSession, source: str, out: str, *, alpha: float = 0.9, model: Column | None = None, note: str = "denoised by one channel", **options) -> DataFrame:
+    """The one-channel chain from files to files: flags repaired, denoised, put back on the exposure's own level, blended, written; (file, ver, y, x, v) as written.
+
+    ``model`` is a column over v (the repaired value) and near (the median of the pixels around); without one, their mean.  The denoised image is shifted by
+    the clipped median of its difference from the exposure.  Science units get a HISTORY card, error units ERRSTALE, and all else stays as it was.
+    """
+    _, loaded = load(spark, source, **options)
+    own = loaded.select(*CHIP, "y", "x", F.col("elec").alias("v"))
+    ring = I.at_neighbours(own.select(*CHIP, "y", "x"), CHIP, own, I.ring(1), {"v": "_n"}).groupBy(*CHIP, "y", "x").agg(F.median("_n").alias("near"))
+    den = own.join(ring, [*CHIP, "y", "x"]).withColumn("den", model if model is not None else (F.col("v") + F.col("near")) / 2)
+    shift = S.clipped_median(den.withColumn("diff", F.col("v") - F.col("den")), CHIP, "diff").select(*CHIP, F.col("med").alias("shift"))
+    done = checkpoint(den.join(shift, CHIP).select(*CHIP, "y", "x", E.blend(F.col("den") + F.col("shift"), F.col("v"), alpha).alias("v")))
+    change = lambda name, cards: F.when(name == "SCI", FS.with_history(cards, F.lit(note))).when(name == "ERR", FS.with_card(cards, "ERRSTALE", F.lit(True), "logical")).otherwise(cards)
+    write_changed(spark, source, out, done, change, **options)
+    return done

@@ -256,7 +256,7 @@ def partner_votes(spark, sf_dir):
     px = chips(spark, sf_dir)
     sources = peaks(px.drop("label")).select("vec_id", "y", "x").join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
     seen = px.where("v > 0.1").select("label", "y", "x", F.col("vec_id").alias("partner"))
-    return I.confirmed(sources.join(seen, ["label", "y", "x"]).where("partner <> vec_id"), ["vec_id"], "partner")
+    return I.votes_of_others(sources, seen, ["label"], ["vec_id"], "partner")
 
 
 @query(f"""WITH {PX}, {PEAKS} SELECT p.vec_id, p.y, p.x, n.y - p.y AS dy, n.x - p.x AS dx, n.v AS raw, n.v * 0.5 AS clean FROM pk p JOIN px n ON n.vec_id = p.vec_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1""")

@@ -407,8 +407,8 @@ def re_anchor(spark, sf_dir):
 
 
 @query("""
-    WITH e AS (SELECT c_nationkey AS g, c_acctbal AS x, c_custkey % 89 AS y FROM customer), p AS (SELECT a.g, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS gap FROM e a JOIN e b ON a.g = b.g AND a.x < b.x)
-    SELECT g AS "group", count(*) AS n_pairs, round(avg(CASE WHEN gap > 3000 THEN 1.0 ELSE 0.0 END), 6) AS over, avg(CASE WHEN gap > 3000 THEN 1.0 ELSE 0.0 END) <= 0.4 AS passes FROM p GROUP BY 1""")
+    WITH e AS (SELECT l_orderkey AS g, l_linenumber AS pos, CAST(l_quantity AS DOUBLE) AS x, l_partkey % 17 AS y FROM lineitem), p AS (SELECT a.g, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS gap FROM e a JOIN e b ON a.g = b.g AND a.pos < b.pos)
+    SELECT g AS "group", count(*) AS n_pairs, round(avg(CASE WHEN gap > 15 THEN 1.0 ELSE 0.0 END), 6) AS over, avg(CASE WHEN gap > 15 THEN 1.0 ELSE 0.0 END) <= 0.4 AS passes FROM p GROUP BY 1""")
 def qc_control(spark, sf_dir):
-    off = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group"), F.col("c_acctbal").alias("pos"), F.col("c_acctbal").alias("off_x"), (F.col("c_custkey") % 89).alias("off_y"))
-    return qc.control(off, limit=3000.0, share=0.4).withColumn("over", r("over"))
+    off = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("double").alias("off_x"), (F.col("l_partkey") % 17).alias("off_y"))
+    return qc.control(off, limit=15.0, share=0.4).withColumn("over", r("over"))

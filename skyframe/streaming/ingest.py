@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans import exposures
+from ..session import Scratch
+from ..sources import catalogs, fits_source
+
 
 def arrivals(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
     """Rows of Parquet files that land in a folder; the query's checkpoint remembers which files it has had."""
@@ -68,3 +72,48 @@ def running_anchor(stream: DataFrame, key: str, value: str, time: str, tolerance
 def write_each(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """A query that takes what there is, commits it exactly once, and ends."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def clean_arrivals(arrivals: DataFrame, source: str, out: str, report: str, checkpoint: str, clean: Callable[[DataFrame], DataFrame], *, catalog: DataFrame | None = None, rerooted: str | None = None, threshold: float = 0.5, **options):
+    """A query that cleans the files that ``arrivals`` (file) name, batch by batch, takes what there is and ends.
+
+    ``clean`` gets a batch's files that the report does not have yet and gives (file, ver, y, x, v, ray).  Their science images are written anew under ``out``, with
+    cards that tell so, the threshold and how many pixels were rays; then the batch's part of the report (file, ver, n_rays, n_pixels), named by the batch's
+    id, is put in place whole.  A batch that is run again after a failure thus leaves the same files and the same part.  With ``catalog`` (its files as an
+    array) a catalog of the same groups with their files under ``out`` is written to ``rerooted`` after each batch.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        part = f"{report}/batch={number}"
+        done = read_report(spark, report)
+        files = batch.select("file").distinct() if done is None else batch.select("file").distinct().join(done.where(F.col("batch") != number).select("file").distinct(), "file", "left_anti")
+        with Scratch(spark) as scratch:
+            files = scratch.keep(files)
+            if files.isEmpty():
+                return
+            pixels = scratch.keep(clean(files))
+            counts = scratch.keep(pixels.groupBy("file", "ver").agg(F.count(F.when(F.col("ray"), 1)).alias("n_rays"), F.count(F.lit(1)).alias("n_pixels")))
+            marks = {"CRCLEAN": (F.lit(True), "logical"), "CRTHRESH": (F.lit(threshold), "number"), "NCRPIX": (F.col("n_rays"), "number")}
+
+            def change(name: Column, cards: Column) -> Column:
+                marked = cards
+                for key, (value, kind) in marks.items():
+                    marked = fits_source.with_card(marked, key, value, kind)
+                return F.when(name == "SCI", marked).otherwise(cards)
+
+            exposures.write_changed(spark, source, out, pixels, change, counts, **options)
+            counts.write.mode("overwrite").parquet(part)
+            if catalog is not None and rerooted is not None:
+                catalogs.write_catalog(catalog.withColumn("files", F.transform("files", lambda f: F.concat(F.lit(out.rstrip("/") + "/"), f))), rerooted)
+
+    return arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_report(spark: SparkSession, report: str) -> DataFrame | None:
+    """The parts of all batches with their number, or None before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(report)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place) or not store.listStatus(place):
+        return None
+    return spark.read.option("basePath", report).schema("file string, ver int, n_rays long, n_pixels long, batch long").parquet(report)
