@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import exposures, offsets
+from .plans import exposures, noise, offsets
 from .queries import PX, chips, query, r, table
 from .session import Scratch, checkpoint
 from .sources import fits_source as FS
@@ -173,3 +173,25 @@ def two_pass_offsets(spark, sf_dir):
         got = offsets.two_pass_offsets(centres, second, levels, lambda x, y: F.struct(x.alias("x"), y.alias("y")), height=128, width=128, margin=4, least_matches=4)
         figures = [r(c).alias(c) for c in ("off_x", "off_y", "off_r", "scat_x", "scat_y", "med_abs_r", "med_scatter")]
         return checkpoint(got.select("group", "n_cand", "n_match", "n_used", *figures, "passes"))
+
+
+def _noise_patches(spark, sf_dir):
+    """Fields of five images of 8 by 8 each, all on one grid but for the third, which lies half a pixel off."""
+    px = chips(spark, sf_dir).select(F.floor(F.col("vec_id") / 5).cast("string").alias("group"), F.col("vec_id").cast("string").alias("file"), "y", "x", "v")
+    files = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).cast("string").alias("group"), F.col("vec_id"))
+    other = files.select("group", F.col("vec_id").alias("ref"))
+    half = lambda c: F.when(F.col(c) % 5 == 2, 0.5).otherwise(0.0)
+    shifts = files.join(other, "group").select("group", F.col("ref").cast("string").alias("ref"), F.col("vec_id").cast("string").alias("file"), (half("vec_id") - half("ref")).alias("ty"), ((F.col("vec_id") - F.col("ref")) % 2).cast("double").alias("tx"))
+    return noise.patches(noise.quads(shifts), px, size=5, height=8, width=8, margin=0, clip=3.0, grow=0, least=0.5)
+
+
+@query()
+def noise_patches(spark, sf_dir):
+    """The first attempt of each quad whose background passes; held against a plain computation in the tests."""
+    return noise.summary(_noise_patches(spark, sf_dir)).select("group", "n", *[r(c).alias(c) for c in ("frac", "acf1", "rho", "naive", "vtest", "rho_white", "acf1_white")])
+
+
+@query()
+def noise_at_zero_whiteness(spark, sf_dir):
+    line, _ = noise.at_zero_whiteness(_noise_patches(spark, sf_dir))
+    return line.select("n", *[r(c).alias(c) for c in ("slope", "rho_at_zero", "corr")])
