@@ -335,9 +335,9 @@ def split_slots(df: DataFrame, slot: str, share: float = 0.8, per_slot: int = 1)
 
 
 def nearest_to_median(df: DataFrame, keys: Sequence[str], value: str, row_id: str) -> DataFrame:
-    """The row whose value is nearest to its group's median; the least row_id of equals."""
+    """The row whose value is nearest to its group's median; the least row_id of equals, to six digits, as an even group's median lies between two."""
     mid = df.groupBy(*keys).agg(F.median(value).alias("_mid"))
-    near = df.join(mid, list(keys)).withColumn("_off", F.abs(F.col(value) - F.col("_mid")))
+    near = df.join(mid, list(keys)).withColumn("_off", F.round(F.abs(F.col(value) - F.col("_mid")), 6))
     return near.groupBy(*keys).agg(F.min(F.struct("_off", row_id, value)).alias("_b")).select(*keys, F.col(f"_b.{row_id}").alias(row_id), F.col(f"_b.{value}").alias(value))
 
 

@@ -212,7 +212,7 @@ def split_slots(spark, sf_dir):
 @query("""
     WITH m AS (SELECT l_partkey, median(l_extendedprice) AS mid FROM lineitem GROUP BY 1)
     SELECT l_partkey, id AS line_id, l_extendedprice FROM (
-        SELECT l.l_partkey, l.l_orderkey * 10 + l.l_linenumber AS id, l.l_extendedprice, row_number() OVER (PARTITION BY l.l_partkey ORDER BY abs(l.l_extendedprice - m.mid), l.l_orderkey * 10 + l.l_linenumber) AS k
+        SELECT l.l_partkey, l.l_orderkey * 10 + l.l_linenumber AS id, l.l_extendedprice, row_number() OVER (PARTITION BY l.l_partkey ORDER BY round(abs(l.l_extendedprice - m.mid), 6), l.l_orderkey * 10 + l.l_linenumber) AS k
         FROM lineitem l JOIN m USING (l_partkey)) WHERE k = 1""")
 def nearest_to_median(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_extendedprice")

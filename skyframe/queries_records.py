@@ -154,22 +154,22 @@ def download_plan(spark, sf_dir):
 
 
 @query("""
-    WITH o AS (SELECT 'g' || o_custkey % 40 AS galaxy, o_orderpriority AS filter, CAST(o_custkey % 2 AS INTEGER) + 1 AS chip, 'f' || o_orderkey AS file, o_orderstatus AS st FROM orders),
-         new AS (SELECT galaxy, filter, chip, list(file) AS files FROM o WHERE st = 'O' GROUP BY 1, 2, 3), base AS (SELECT galaxy, filter, chip, list(file) AS files FROM o WHERE st = 'P' GROUP BY 1, 2, 3),
-         judged AS (SELECT *, galaxy <> 'g7' AND len(files) >= 2 AS keep, CASE WHEN galaxy = 'g7' THEN 'gradient of the field' ELSE 'too few' END AS reason FROM new),
+    WITH o AS (SELECT 'g' || o_custkey AS galaxy, o_orderpriority AS filter, CAST(o_custkey % 2 AS INTEGER) + 1 AS chip, 'f' || o_orderkey AS file, o_orderstatus AS st FROM orders),
+         new AS (SELECT galaxy, filter, chip, list(file) AS files FROM o WHERE st <> 'P' GROUP BY 1, 2, 3), base AS (SELECT galaxy, filter, chip, list(file) AS files FROM o WHERE st = 'P' GROUP BY 1, 2, 3),
+         judged AS (SELECT *, NOT ends_with(galaxy, '7') AND len(files) >= 2 AS keep, CASE WHEN ends_with(galaxy, '7') THEN 'gradient of the field' ELSE 'too few' END AS reason FROM new),
          kept AS (SELECT unnest(files) AS file FROM judged WHERE keep UNION SELECT unnest(files) FROM base),
          lost AS (SELECT unnest(files) AS file, CASE WHEN contains(reason, 'gradient') THEN 'gradient_wcs' ELSE 'groupe_trop_petit' END AS slug FROM judged WHERE NOT keep)
     SELECT 'catalog' AS part, file, '' AS note FROM kept UNION ALL SELECT 'excluded', file, slug FROM lost WHERE file NOT IN (SELECT file FROM kept)
     UNION ALL SELECT 'missing', file, '' FROM kept WHERE file NOT IN (SELECT 'f' || l_orderkey FROM lineitem WHERE l_linenumber = 4) UNION ALL SELECT 'offsets', 'f' || l_orderkey, '' FROM lineitem WHERE l_linenumber = 3 AND 'f' || l_orderkey IN (SELECT file FROM kept)""")
 def merged_catalog(spark, sf_dir):
     cust = F.col("o_custkey")
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("g"), (cust % 40).cast("string")).alias("galaxy"), F.col("o_orderpriority").alias("filter"), (cust % 2 + 1).cast("int").alias("chip"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file"), "o_orderstatus")
-    groups = lambda status: rows.where(F.col("o_orderstatus") == status).groupBy("galaxy", "filter", "chip").agg(F.collect_list("file").alias("files"))
-    new = groups("O")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("g"), cust.cast("string")).alias("galaxy"), F.col("o_orderpriority").alias("filter"), (cust % 2 + 1).cast("int").alias("chip"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file"), "o_orderstatus")
+    groups = lambda which: rows.where(which).groupBy("galaxy", "filter", "chip").agg(F.collect_list("file").alias("files"))
+    new = groups(F.col("o_orderstatus") != "P")
     label = N.group_label(F.col("galaxy"), F.col("filter"), F.col("chip"))
-    verdicts = new.select(label.alias("label"), ((F.col("galaxy") != "g7") & (F.size("files") >= 2)).alias("keep"), F.when(F.col("galaxy") == "g7", "gradient of the field").otherwise("too few").alias("reason"))
+    verdicts = new.select(label.alias("label"), (~F.col("galaxy").endswith("7") & (F.size("files") >= 2)).alias("keep"), F.when(F.col("galaxy").endswith("7"), "gradient of the field").otherwise("too few").alias("reason"))
     lines = lambda n: table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == n).select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("file"))
-    out = curation.merge(groups("P"), new, verdicts, lines(4), lines(3))
+    out = curation.merge(groups(F.col("o_orderstatus") == "P"), new, verdicts, lines(4), lines(3))
     told = lambda name, df, note=None: df.select(F.lit(name).alias("part"), "file", (note if note is not None else F.lit("")).alias("note"))
     catalog = told("catalog", out["catalog"].select(F.explode("files").alias("file")).distinct())
     return catalog.unionByName(told("excluded", out["excluded"], F.col("reason"))).unionByName(told("missing", out["missing"])).unionByName(told("offsets", out["offsets"]))
@@ -303,12 +303,11 @@ def clip_from_original(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT o_custkey, o_orderpriority AS a, sum(o_totalprice) AS pw FROM orders GROUP BY 1, 2), m AS (SELECT o_custkey, median(pw) AS m FROM p GROUP BY 1), s AS (SELECT o_custkey, any_value(m) AS m, 1.4826 * median(abs(pw - m)) AS s FROM p JOIN m USING (o_custkey) GROUP BY 1)
-    SELECT o_custkey, arg_max(a, pw) AS best, round((max(pw) - any_value(m)) / greatest(any_value(s), 1e-12), 3) AS significance FROM p JOIN s USING (o_custkey) GROUP BY 1 HAVING any_value(s) > 1e-6""")
+    WITH p AS (SELECT o_custkey, o_orderpriority AS a, round(sum(o_totalprice), 2) AS pw FROM orders GROUP BY 1, 2), m AS (SELECT o_custkey, median(pw) AS m FROM p GROUP BY 1), s AS (SELECT o_custkey, any_value(m) AS m, 1.4826 * median(abs(pw - m)) AS s FROM p JOIN m USING (o_custkey) GROUP BY 1)
+    SELECT o_custkey, arg_max(a, pw) AS best, round((max(pw) - any_value(m)) / greatest(any_value(s), 1e-12), 3) AS significance FROM p JOIN s USING (o_custkey) GROUP BY 1""")
 def scan_significance(spark, sf_dir):
-    power = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.sum("o_totalprice").alias("power"))
-    base = S.mad_sigma(power, ["o_custkey"], "power").where("sigma > 1e-6")
-    return S.scan_significance(power, ["o_custkey"], "o_orderpriority", "power").join(base, "o_custkey", "left_semi").select("o_custkey", "best", r("significance", 3).alias("significance"))
+    power = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(r(F.sum("o_totalprice"), 2).alias("power"))
+    return S.scan_significance(power, ["o_custkey"], "o_orderpriority", "power").select("o_custkey", "best", r("significance", 3).alias("significance"))
 
 
 @query("""
@@ -326,11 +325,10 @@ def closure(spark, sf_dir):
 
 @query("""
     WITH d AS (SELECT o_custkey AS g, o_orderkey AS f, o_totalprice AS v FROM orders), m AS (SELECT g, median(v) AS m FROM d GROUP BY 1)
-    SELECT g AS "group", arg_min(f, abs(v - m) * 1e10 + f) AS file FROM d JOIN m USING (g) GROUP BY 1 HAVING count(*) % 2 = 1""")
+    SELECT g AS "group", f AS file FROM (SELECT d.g, f, row_number() OVER (PARTITION BY d.g ORDER BY round(abs(v - m), 6), f) AS k FROM d JOIN m ON m.g = d.g) WHERE k = 1""")
 def reference_exposure(spark, sf_dir):
     ex = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("file"), F.col("o_totalprice").alias("cd_angle"))
-    odd = ex.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
-    return qc.reference_exposure(ex).join(odd, "group", "left_semi").select("group", "file")
+    return qc.reference_exposure(ex).select("group", "file")
 
 
 @query(_clip_all_sql("(SELECT c_nationkey || '/' || c_custkey % 2 AS g, c_acctbal AS v FROM customer)", "g", "v", 1.0, 4, 1e-6, 5) + ", t AS (SELECT * FROM s4) SELECT split_part(g, '/', 1) AS \"group\", split_part(g, '/', 2) AS file, c AS n_dx, round(m, 4) AS off_x, round(s, 4) AS scat_x, round(2 * m, 4) AS off_y FROM t")
@@ -341,39 +339,39 @@ def exposure_offsets(spark, sf_dir):
 
 
 @query("""
-    WITH e AS (SELECT o_custkey AS g, o_orderstatus AS f, CAST(o_custkey % 2 AS INTEGER) AS c, CAST(o_orderkey % 100 AS VARCHAR) AS r FROM orders)
+    WITH e AS (SELECT o_custkey AS g, o_orderstatus AS f, CAST(o_custkey % 2 AS INTEGER) AS c, CAST(o_orderkey // 8 AS VARCHAR) AS r FROM orders)
     SELECT f AS filter, c AS chip, r AS root, count(*) AS n, array_to_string(list_sort(list(DISTINCT g)), ',') AS groups FROM e GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def shared_exposures(spark, sf_dir):
-    ex = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderstatus").alias("filter"), (F.col("o_custkey") % 2).cast("int").alias("chip"), (F.col("o_orderkey") % 100).cast("string").alias("root"))
+    ex = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderstatus").alias("filter"), (F.col("o_custkey") % 2).cast("int").alias("chip"), F.floor(F.col("o_orderkey") / 8).cast("string").alias("root"))
     return qc.shared_exposures(ex).withColumn("groups", F.array_join(F.transform("groups", lambda g: g.cast("string")), ","))
 
 
 @query("""
-    WITH e AS (SELECT event_type AS run, CAST(user_id % 20 AS INTEGER) AS epoch, value AS loss, user_id % 5 AS n FROM events), l AS (SELECT run, epoch, sum(loss * n) / greatest(sum(n), 1) AS loss FROM e GROUP BY 1, 2)
-    SELECT run, arg_min(epoch, loss) AS epoch, round(min(loss), 6) AS loss, CASE WHEN min(loss) = 0 THEN 'Infinity'::DOUBLE ELSE round(10 * log10(1 / min(loss)), 6) END AS psnr FROM l WHERE epoch % 5 <> 0 GROUP BY 1""")
+    WITH e AS (SELECT event_type AS run, CAST(user_id % 20 AS INTEGER) AS epoch, value AS loss, user_id % 5 + 1 AS n FROM events), l AS (SELECT run, epoch, sum(loss * n) / greatest(sum(n), 1) AS loss FROM e GROUP BY 1, 2)
+    SELECT run, arg_min(epoch, loss) AS epoch, round(min(loss), 6) AS loss, CASE WHEN min(loss) = 0 THEN 'Infinity'::DOUBLE ELSE round(10 * log10(1 / min(loss)), 6) END AS psnr FROM l GROUP BY 1""")
 def best_epoch(spark, sf_dir):
-    metrics = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 20).cast("int").alias("epoch"), F.col("value").alias("loss"), (F.col("user_id") % 5).alias("n")).where("epoch % 5 <> 0")
+    metrics = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 20).cast("int").alias("epoch"), F.col("value").alias("loss"), (F.col("user_id") % 5 + 1).alias("n"))
     return samples.best_epoch(metrics).select("run", "epoch", r("loss").alias("loss"), r("psnr").alias("psnr"))
 
 
 @query("""
-    WITH b AS (SELECT c_nationkey AS g, max(c_custkey % 10) AS y0, max(c_custkey % 7) AS x0, min(c_custkey % 30 + 10) AS y1, min(c_custkey % 50 + 5) AS x1 FROM customer WHERE c_custkey % 10 < 8 GROUP BY 1)
+    WITH b AS (SELECT c_nationkey AS g, max(c_custkey % 10) AS y0, max(c_custkey % 7) AS x0, min(c_custkey % 30 + 10) AS y1, min(c_custkey % 50 + 10) AS x1 FROM customer GROUP BY 1)
     SELECT g AS unit, y0, x0, y1, x1 FROM b WHERE y1 > y0 AND x1 > x0""")
 def common_boxes(spark, sf_dir):
     k = F.col("c_custkey")
-    boxes = table(spark, sf_dir, "customer").where(k % 10 < 8).select(F.col("c_nationkey").alias("unit"), (k % 10).alias("y0"), (k % 7).alias("x0"), (k % 30 + 10).alias("y1"), (k % 50 + 5).alias("x1"))
+    boxes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("unit"), (k % 10).alias("y0"), (k % 7).alias("x0"), (k % 30 + 10).alias("y1"), (k % 50 + 10).alias("x1"))
     return samples.overlap(boxes, ["unit"])
 
 
 @query("""
-    WITH RECURSIVE c AS (SELECT c_nationkey AS k, c_custkey AS id, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n <= 30)),
+    WITH RECURSIVE c AS (SELECT c_nationkey || c_mktsegment AS k, c_custkey AS id, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS pos FROM customer),
          f AS (SELECT k, 1::BIGINT AS pos, [[v]] AS groups, 0::BIGINT AS g FROM c WHERE pos = 1
                UNION ALL SELECT c.k, c.pos, CASE WHEN spot > 0 THEN list_transform(groups, lambda x, i: CASE WHEN i = spot THEN list_append(x, c.v) ELSE x END) ELSE list_append(groups, [c.v]) END, CASE WHEN spot > 0 THEN spot - 1 ELSE len(groups) END
                FROM (SELECT f.k, f.pos, f.groups, coalesce(list_position(list_transform(f.groups, lambda x: list_bool_and(list_transform(x, lambda m: abs(m - n.v) < 1500 AND abs(m - n.v) <= 900))), true), 0) AS spot FROM f JOIN c n ON n.k = f.k AND n.pos = f.pos + 1) s JOIN c ON c.k = s.k AND c.pos = s.pos + 1)
     SELECT c.k AS filter, c.id AS file, CAST(f.g AS INTEGER) AS group_no FROM f JOIN c ON c.k = f.k AND c.pos = f.pos""")
 def complete_groups(spark, sf_dir):
-    first = C.top_per_group(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.col("c_custkey")], 30)
-    rec = first.select(F.col("c_nationkey").alias("filter"), F.col("c_custkey").alias("file"), F.col("c_custkey").alias("root"), F.lit("d").alias("date_obs"), F.lit(0.0).alias("ra_targ"), (F.col("c_acctbal") / 3600.0).alias("dec_targ"), F.col("c_acctbal").alias("cd_angle"))
+    key = F.concat(F.col("c_nationkey").cast("string"), "c_mktsegment")
+    rec = table(spark, sf_dir, "customer").select(key.alias("filter"), F.col("c_custkey").alias("file"), F.col("c_custkey").alias("root"), F.lit("d").alias("date_obs"), F.lit(0.0).alias("ra_targ"), (F.col("c_acctbal") / 3600.0).alias("dec_targ"), F.col("c_acctbal").alias("cd_angle"))
     runs = curation.group_complete(rec, tolerance=1500.0, roll=900.0)
     order = F.dense_rank().over(C.Window.partitionBy("filter").orderBy("_first")) - 1
     firsts = runs.groupBy("filter", "run", "group_no").agg(F.min("file").alias("_first"))
