@@ -116,10 +116,19 @@ def translation(a: Column, b: Column, x: Column, y: Column) -> Column:
 
 def overlap(a: Column, b: Column, width: int, height: int, margin: int = 10) -> Column:
     """Box of ``a``'s pixels that ``b`` covers, from b's corners drawn in by ``margin``; null where they don't meet."""
-    corners = [project(b, a, F.lit(float(x)), F.lit(float(y))) for x in (margin, width - 1 - margin) for y in (margin, height - 1 - margin)]
-    xs, ys = F.array(*[c.x for c in corners]), F.array(*[c.y for c in corners])
+    corner = lambda x, y: let(pixel_to_sky(b, F.lit(float(x)), F.lit(float(y))), lambda s: sky_to_pixel(a, s.ra, s.dec))
+    corners = F.array(*[corner(x, y) for x in (margin, width - 1 - margin) for y in (margin, height - 1 - margin)])
     # the inner two of four corners bound what lies inside on both sides
-    low = lambda v, size: F.greatest(F.ceil(F.round(F.array_sort(v)[1], 6)), F.lit(0)).cast("int")
-    high = lambda v, size: F.least(F.floor(F.round(F.array_sort(v)[2], 6)), F.lit(size - 1)).cast("int") + 1
-    box = F.struct(low(ys, height).alias("y0"), low(xs, width).alias("x0"), high(ys, height).alias("y1"), high(xs, width).alias("x1"))
-    return F.when((high(ys, height) > low(ys, height)) & (high(xs, width) > low(xs, width)), box)
+    low = lambda v: F.greatest(F.ceil(F.round(v[1], 6)), F.lit(0)).cast("int")
+    high = lambda v, size: F.least(F.floor(F.round(v[2], 6)), F.lit(size - 1)).cast("int") + 1
+
+    def box(c: Column) -> Column:
+        return F.struct(low(c.ys).alias("y0"), low(c.xs).alias("x0"), high(c.ys, height).alias("y1"), high(c.xs, width).alias("x1"))
+
+    placed = let(corners, lambda c: F.struct(F.array_sort(F.transform(c, lambda p: p.x)).alias("xs"), F.array_sort(F.transform(c, lambda p: p.y)).alias("ys")))
+    return let(let(placed, box), lambda b: F.when((b.y1 > b.y0) & (b.x1 > b.x0), b))
+
+
+def overlap_fraction(a: Column, b: Column, width: int, height: int, margin: int = 10) -> Column:
+    """The share of ``a``'s pixels in the box that ``b`` covers; 0 where they don't meet."""
+    return let(overlap(a, b, width, height, margin), lambda box: F.coalesce((box.y1 - box.y0) * (box.x1 - box.x0) / float(width * height), F.lit(0.0)))

@@ -195,3 +195,38 @@ def noise_patches(spark, sf_dir):
 def noise_at_zero_whiteness(spark, sf_dir):
     line, _ = noise.at_zero_whiteness(_noise_patches(spark, sf_dir))
     return line.select("n", *[r(c).alias(c) for c in ("slope", "rho_at_zero", "corr")])
+
+
+@query("""
+    WITH e AS (SELECT o_custkey AS g, o_orderkey AS f, CAST(o_totalprice AS DOUBLE) / 1000 AS a FROM orders), m AS (SELECT g, median(a) AS m, count(*) - 1 AS n FROM e GROUP BY 1),
+         r AS (SELECT g, f AS ref FROM (SELECT e.g, f, row_number() OVER (PARTITION BY e.g ORDER BY round(abs(a - m), 6), f) AS k FROM e JOIN m ON m.g = e.g) WHERE k = 1),
+         o AS (SELECT e.g, e.f, ref, CASE WHEN e.f % 13 = 0 THEN NULL ELSE e.a - x.a END AS d FROM e JOIN r ON r.g = e.g AND e.f <> ref JOIN e x ON x.g = e.g AND x.f = ref),
+         b AS (SELECT *, d IS NULL OR abs(d) > 100 AS bad FROM o), s AS (SELECT b.g FROM b JOIN m ON m.g = b.g GROUP BY 1 HAVING count(*) FILTER (bad) > 0.5 * count(*) AND count(*) >= 2),
+         t AS (SELECT e.g, min(e.f) AS ref FROM e JOIN s ON s.g = e.g JOIN r ON r.g = e.g AND e.f <> r.ref GROUP BY 1),
+         w AS (SELECT e.g, e.f, ref, CASE WHEN e.f % 13 = 0 THEN NULL ELSE e.a - x.a END AS d FROM e JOIN t ON t.g = e.g AND e.f <> ref JOIN e x ON x.g = e.g AND x.f = ref)
+    SELECT g AS "group", f AS file, ref AS reference, 1 AS anchored, bad, round(d, 6) AS off FROM b WHERE g NOT IN (SELECT g FROM s) UNION ALL SELECT g, f, ref, 2, d IS NULL OR abs(d) > 100, round(d, 6) FROM w""")
+def rigid_units(spark, sf_dir):
+    """Each customer's orders as a unit of exposures: measured against the one of median roll, and suspect units once more against another."""
+    ex = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("file"), F.col("o_orderkey").alias("pos"), (F.col("o_totalprice").cast("double") / 1000).alias("cd_angle"))
+
+    def measure(asked):
+        held = asked.where("file = reference").select("group", F.col("cd_angle").alias("_a"))
+        return asked.where("file <> reference AND file % 13 <> 0").join(held, "group").select("group", "file", (F.col("cd_angle") - F.col("_a")).alias("off"))
+
+    return offsets.measured_units(ex, measure, F.abs("off") > 100).select("group", "file", "reference", "anchored", "bad", r("off").alias("off"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id AS id, 4.5e0 + 3e-1 * (vec_id % 11) AS p1, 4.5e0 - 45e-2 * (vec_id % 7) AS p2 FROM embeddings),
+         s AS (SELECT a.id, b.p1 - a.p1 AS dx, b.p2 - a.p2 AS dy FROM e a JOIN e b ON b.id = a.id + 1),
+         o AS (SELECT id, greatest(CAST(ceil(round(1 - dy, 6)) AS INTEGER), 0) AS y0, greatest(CAST(ceil(round(1 - dx, 6)) AS INTEGER), 0) AS x0, least(CAST(floor(round(6 - dy, 6)) AS INTEGER), 7) + 1 AS y1, least(CAST(floor(round(6 - dx, 6)) AS INTEGER), 7) + 1 AS x1, dx, dy FROM s)
+    SELECT id, round(CASE WHEN y1 > y0 AND x1 > x0 THEN (y1 - y0) * (x1 - x0) / 64.0 ELSE 0 END, 6) AS fraction, round(dx, 4) AS tx, round(dy, 4) AS ty FROM o""")
+def footprint_overlap(spark, sf_dir):
+    """The share of an image that its neighbour covers, and the neighbour's shift at the image's centre."""
+    k = F.col("vec_id")
+    wcs = F.struct(F.lit(10.0).alias("crval1"), F.lit(5.0).alias("crval2"), (4.5 + 0.3 * (k % 11)).alias("crpix1"), (4.5 - 0.45 * (k % 7)).alias("crpix2"), F.lit(1e-6).alias("cd11"), F.lit(0.0).alias("cd12"), F.lit(0.0).alias("cd21"), F.lit(1e-6).alias("cd22"))
+    images = table(spark, sf_dir, "embeddings").select(k.alias("id"), wcs.alias("a"))
+    both = images.join(images.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    both = both.withColumn("_shift", exposures.W.let(exposures.W.pixel_to_sky(F.col("a"), F.lit(3.5), F.lit(3.5)), lambda s: exposures.W.sky_to_pixel(F.col("b"), s.ra, s.dec)))
+    shift = F.struct((F.col("_shift.x") - 3.5).alias("tx"), (F.col("_shift.y") - 3.5).alias("ty"))
+    return both.select("id", r(exposures.W.overlap_fraction(F.col("a"), F.col("b"), 8, 8, 1)).alias("fraction"), r(shift.tx, 4).alias("tx"), r(shift.ty, 4).alias("ty"))
