@@ -77,3 +77,8 @@ def reject_slug(reason: Column, slugs=REJECT_SLUGS, default: str = REJECT_DEFAUL
 
 def date_range(low: Column, high: Column) -> Column:
     return F.concat_ws(" → ", low, high)
+
+
+def size_estimate(files: Column, megabytes: float = 170.0) -> Column:
+    """How much so many files will take, as text: the count, and gigabytes with one decimal."""
+    return F.format_string("%d files, about %.1f GB", files.cast("long"), F.bround(files * megabytes / 1024, 1))

@@ -301,6 +301,17 @@ def total_line(df: DataFrame, key: str, aggregates: dict[str, Column], total: st
     return df.rollup(key).agg(*[c.alias(n) for n, c in aggregates.items()], F.grouping(key).alias("_all")).withColumn(key, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(key).cast("string"))).drop("_all")
 
 
+def fixed_width(columns: dict[str, str], gap: str = "  ") -> Column:
+    """A row as one line of a report: each column in its own printf form, such as %-12s, %6d or %10.2f, with nulls as dashes of the same width."""
+    parts = [F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(form, F.col(c))), F.rpad(F.lit("-"), int("".join(x for x in form.split(".")[0] if x.isdigit())), " ")) for c, form in columns.items()]
+    return F.rtrim(F.concat_ws(gap, *parts))
+
+
+def placed(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Rows with their place, from 0, in a stable order: the last of ``order`` is the input's own position, so ties keep it.  No task sees all rows."""
+    return numbered(df, order, F.lit(1), name).withColumn(name, F.col(name) - 1)
+
+
 # ------------------------------------------------------------------ order, choice, splits
 
 

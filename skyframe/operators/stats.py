@@ -133,9 +133,9 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -
 
 
 def two_stage_median(df: DataFrame, outer: Sequence[str], inner: Sequence[str], value: str) -> DataFrame:
-    """Median over a field of the medians of its parts."""
+    """Median over a field of the medians of its parts; fields may have any number of parts."""
     parts = df.groupBy(*outer, *inner).agg(F.median(value).alias("_m"))
-    return parts.groupBy(*outer).agg(F.median("_m").alias("med"), F.count(F.lit(1)).alias("parts"))
+    return selected_percentile(parts, outer, F.col("_m"), 0.5).select(*outer, F.col("p").alias("med"), F.col("n").alias("parts"))
 
 
 def scan_significance(df: DataFrame, keys: Sequence[str], angle: str, power: str) -> DataFrame:

@@ -77,8 +77,8 @@ def denoise_with(both: DataFrame, keys: Sequence[str], *, alpha: float = 0.9, mo
 
 
 def pooled_sky(chips: DataFrame, exposure: Sequence[str]) -> DataFrame:
-    """One clipped sky for all chips of an exposure."""
-    return S.clipped_median(chips, exposure, "v").select(*exposure, F.col("med").alias("sky"))
+    """One clipped sky for all chips of an exposure; medians are bracketed first, as an exposure has tens of millions of pixels."""
+    return S.clipped_median(chips, exposure, "v", few_groups=True).select(*exposure, F.col("med").alias("sky"))
 
 
 def mosaic(chips: DataFrame, target: Sequence[str], exposure: Sequence[str], *, good_bits: int = 16 | 64 | 256 | 2048, pixfrac: float = 0.8, scale: float = 1.0) -> DataFrame:

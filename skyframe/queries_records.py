@@ -410,3 +410,23 @@ def re_anchor(spark, sf_dir):
 def qc_control(spark, sf_dir):
     off = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("double").alias("off_x"), (F.col("l_partkey") % 17).alias("off_y"))
     return qc.control(off, limit=15.0, share=0.4).withColumn("over", r("over"))
+
+
+@query("""
+    WITH g AS (SELECT o_custkey AS g, count(*) AS n, max(CAST(o_totalprice AS DOUBLE)) AS most, CASE WHEN count(*) > 3 THEN count(*) * (count(*) - 1) // 2 END AS pairs FROM orders GROUP BY 1)
+    SELECT g AS "group", rtrim(printf('%-8s', 'g' || g) || '  ' || printf('%5d', n) || '  ' || coalesce(printf('%6d', pairs), '-     ') || '  ' || printf('%12.2f', most)) AS line,
+           printf('%d files, about %.1f GB', n, round_even(n * 170e0 / 1024, 1)) AS size FROM g""")
+def report_lines(spark, sf_dir):
+    """A report of fixed width, a line for each group, and what its files will take."""
+    n = F.count(F.lit(1))
+    groups = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("group")).agg(n.alias("n"), F.max(F.col("o_totalprice").cast("double")).alias("most"))
+    told = groups.withColumns({"label": F.concat(F.lit("g"), F.col("group").cast("string")), "pairs": F.when(F.col("n") > 3, E.pairs_of(F.col("n")))})
+    return told.select("group", C.fixed_width({"label": "%-8s", "n": "%5d", "pairs": "%6d", "most": "%12.2f"}).alias("line"), N.size_estimate(F.col("n")).alias("size"))
+
+
+@query("""
+    WITH g AS (SELECT o_custkey AS g, count(*) * (count(*) - 1) // 2 AS n_pairs FROM orders GROUP BY 1) SELECT g AS "group", n_pairs, row_number() OVER (ORDER BY n_pairs DESC, g) - 1 AS place FROM g""")
+def groups_by_size(spark, sf_dir):
+    """Groups in order of their pairs, those of equal size in the order they had."""
+    groups = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("group")).agg(E.pairs_of(F.count(F.lit(1))).alias("n_pairs"))
+    return C.placed(groups.withColumn("_less", -F.col("n_pairs")), ["_less", "group"]).select("group", "n_pairs", "place")
