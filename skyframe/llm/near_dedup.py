@@ -49,26 +49,56 @@ def probminhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, text
     return winner.reshape(texts, registers)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hash) of the distinct shingles of each text, sorted by text and hash."""
+def shingle_counts(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, hash, times) of the distinct shingles of each text, sorted by text and hash."""
     offsets, codes, vocabulary = split_words(texts)
     owner, h = shingle_hashes(offsets, hash_strings(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64), k)
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return owner[new], h[new]
+    return owner[new], h[new], np.diff(np.append(np.flatnonzero(new), len(h)))
 
 
-def _sketches(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: distinct shingles, two fingerprints of the set, and the signature cut to 16 bits a register."""
+def weights(times: np.ndarray) -> np.ndarray:
+    """The weight of a shingle that stands so many times in a text."""
+    return 1 + np.log(times)
+
+
+def probability_jaccard(ha: np.ndarray, x: np.ndarray, hb: np.ndarray, y: np.ndarray) -> float:
+    """The exact probability Jaccard similarity of two weighted sets, elements ascending.
+
+    It is the sum over shared elements d of 1 / sum over e of max(x_e / x_d, y_e / y_d).  In the order of x / y
+    the first quotient is the greater one from d on and the second before d, so two running sums give all of them.
+    """
+    at = np.minimum(np.searchsorted(ha, hb), len(ha) - 1)
+    both = ha[at] == hb
+    p, q = x[at[both]], y[both]
+    only_x, only_y = x.sum() - p.sum(), y.sum() - q.sum()
+    if (p == q).all():
+        return float(p.sum() / max(only_x + only_y + p.sum(), 1e-300))
+    order = np.argsort(p / q, kind="stable")
+    p, q = p[order], q[order]
+    from_here, before = np.cumsum(p[::-1])[::-1], np.cumsum(q) - q
+    return float((1 / ((only_x + from_here) / p + (only_y + before) / q)).sum())
+
+
+def _even(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """For each set its weight in units of its heaviest element, the fewest elements of any set that has all of it."""
+    heaviest = np.zeros(n)
+    np.maximum.at(heaviest, owner, weight)
+    return np.bincount(owner, weight, minlength=n) / np.maximum(heaviest, 1)
+
+
+def _sketches(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: distinct shingles, ``_even``, two fingerprints of the weighted set, and the signature cut to 16 bits a register."""
     n = len(texts)
-    owner, h = shingle_sets(texts, k)
+    owner, h, times = shingle_counts(texts, k)
+    weight = weights(times)
     sizes = np.bincount(owner, minlength=n)
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (11, 23)]
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)) * times.astype(np.uint64), dtype=np.uint64)]) for salt in (11, 23)]
     fp1, fp2 = (s[ends[1:]] - s[ends[:-1]] for s in sums)
-    weight = np.ones(len(h))  # at equal weights probability Jaccard is the set Jaccard that links are defined by
     sketch = np.zeros((n, BANDS * ROWS), np.uint16)
     _, one = np.unique(fp1, return_index=True)  # copies have one signature; it is computed once
     one = one[np.argsort(sizes[one], kind="stable")]
@@ -90,7 +120,7 @@ def _sketches(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     _, back = np.unique(fp1, return_inverse=True)
     first = np.zeros(back.max() + 1 if n else 0, np.int64)
     first[back[one]] = one
-    return sizes, fp1, fp2, sketch[first[back]] if n else sketch
+    return sizes, _even(owner, weight, n), fp1, fp2, sketch[first[back]] if n else sketch
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -102,19 +132,20 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 512) -> DataFrame:
     """One row per document: doc_id, class_id, n_shingles, kept.
 
-    Two documents are linked if the Jaccard similarity of their sets of ``k``-word shingles
-    (lower case, split at white space) is at least ``threshold``; class_id is the least
+    Two documents are linked if the probability Jaccard similarity of their weighted ``k``-word shingles
+    (lower case, split at white space; a shingle that stands t times weighs 1 + ln t) is at least ``threshold``; where no shingle is
+    repeated that is the Jaccard similarity of the sets.  class_id is the least
     doc_id that links reach, and the document with that id is kept.
 
-    1. One pass makes each document's ProbMinHash signature (each shingle of the set weighs 1, however
-       often it is repeated, so agreement estimates the similarity that links are defined by), cut to
-       16 bits a register, and a 128-bit fingerprint of its set.  Documents with one set are copies: one of them stands for all from here on.
+    1. One pass makes each document's ProbMinHash signature, whose agreement estimates that similarity, cut to
+       16 bits a register, and a 128-bit fingerprint of its shingles and their times.  Documents with one fingerprint are copies: one of them stands for all from here on.
     2. A bucket holds the documents that agree in one band.  Every member is verified against the
        bucket's least member; then, where a bucket still has several components, against its
        member with most links.  So no bucket is ever expanded into all its pairs.
     3. Buckets that still have several components are compared signature by signature, in blocks of ``block_rows``; only pairs
-       of unlike components that the signatures put within three deviations of the threshold go on.
-    Each verification is exact: the sizes of the sets' intersection and union.
+       of unlike components that the signatures put within four deviations of the threshold go on.
+    Each verification is exact (``probability_jaccard``).  Pairs of too unlike sizes are left out before it: the similarity is at most
+    the weight that two sets share once each weighs 1 in all, which is at most the elements of one over ``_even`` of the other.
 
     A text of fewer than ``k`` words is one shingle of all its words.  Null and empty texts have
     no shingle, link with nothing and are kept.  Rows that share a doc_id count as one document.  A null doc_id is kept unless it is a copy of a
@@ -125,24 +156,39 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
-            sizes, fp1, fp2, sketch = _sketches(batch["text"], k)
+            sizes, even, fp1, fp2, sketch = _sketches(batch["text"], k)
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(sizes.astype(np.int64)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), _binary(sketch)], ["id", "n", "fp1", "fp2", "sketch"]
+                [batch["id"], pa.array(sizes.astype(np.int64)), pa.array(even), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), _binary(sketch)], ["id", "n", "even", "fp1", "fp2", "sketch"]
             )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
-            owner, h = shingle_sets(batch["text"], k)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], ["rep", "shingles"])
+            owner, h, times = shingle_counts(batch["text"], k)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(values)) for values in (h.view(np.int64), times.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(_even(owner, weights(times), batch.num_rows)), *lists], ["rep", "even", "shingles", "times"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: (np.asarray(batch[c].offsets), np.asarray(batch[c].values)) for c in ("sa", "ta", "sb", "tb")}
+
+            def at(c: str, i: int) -> np.ndarray:
+                ends, values = lists[c]
+                return values[ends[i] : ends[i + 1]]
+
+            near = [
+                probability_jaccard(at("sa", i).view(np.uint64), weights(at("ta", i)), at("sb", i).view(np.uint64), weights(at("tb", i))) >= threshold - 1e-9
+                for i in range(batch.num_rows)
+            ]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
     with Scratch(docs.sparkSession) as scratch:
-        signed = scratch.keep(source.mapInArrow(sign, f"id {kind}, n long, fp1 long, fp2 long, sketch binary"))
+        signed = scratch.keep(source.mapInArrow(sign, f"id {kind}, n long, even double, fp1 long, fp2 long, sketch binary"))
         copies = scratch.keep(signed.select("id", "n", "fp1", "fp2"))
         classes = copies.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"))
         lead = classes.select("rep", F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).where("rep IS NOT NULL")
         reps = signed.join(lead, (F.col("id") == F.col("rep")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")))
-        reps = scratch.keep(reps.select("rep", "n", "sketch", "fp1").dropDuplicates(["rep", "fp1"]))
+        reps = scratch.keep(reps.select("rep", "n", "even", "sketch", "fp1").dropDuplicates(["rep", "fp1"]))
         scratch.drop(signed)
 
         # A bucket's key is a hash of its band's registers; buckets that share one only have more to verify.
@@ -155,16 +201,15 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
         members = scratch.keep(rows.join(buckets, "bucket"))  # bucket, band, rep, least
         pairs = scratch.keep(members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
         busy = members.select("rep").distinct()
-        sets = source.join(busy.hint("shuffle_hash"), F.col("id") == F.col("rep"), "left_semi").mapInArrow(to_sets, f"rep {kind}, shingles array<long>")
+        sets = source.join(busy.hint("shuffle_hash"), F.col("id") == F.col("rep"), "left_semi").mapInArrow(to_sets, f"rep {kind}, even double, shingles array<long>, times array<int>")
         sets = scratch.keep(sets)
 
         def verified(pairs: DataFrame) -> DataFrame:
-            a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-            b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+            a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("times").alias("ta"), F.col("even").alias("ea"))
+            b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("times").alias("tb"), F.col("even").alias("eb"))
             both = pairs.join(b, "b").where(F.size("sb") > 0).join(a, "a").where(F.size("sa") > 0)
-            both = both.where((F.size("sa") >= threshold * F.size("sb")) & (F.size("sb") >= threshold * F.size("sa")))
-            shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-            return scratch.keep(shared.where(F.col("i") >= threshold * (F.col("t") - F.col("i")) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            both = both.where((F.size("sa") >= threshold * F.col("eb") - 1e-6) & (F.size("sb") >= threshold * F.col("ea") - 1e-6))
+            return scratch.keep(both.select("a", "b", "sa", "ta", "sb", "tb").mapInArrow(similar, f"src {kind}, dst {kind}"))
 
         def joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
             """The components of those known and of more edges."""
@@ -189,20 +234,20 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
         last, apart = apart, mixed(apart, parts)
         scratch.drop(pairs, edges, last)
 
-        cut = threshold - 3 * float(np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS)))
+        cut = threshold - 4 * float(np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS)))
         blocks = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
         dealt = apart.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = dealt.join(reps.select("rep", "n", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", "band", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "c", "n", "sketch")
+        dealt = dealt.join(reps.select("rep", "n", "even", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bucket", "band", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "c", "n", "even", "sketch")
 
         def compare(group: pa.Table) -> pa.Table:
             band, two = group["band"][0].as_py(), group["b1"][0].as_py() != group["b2"][0].as_py()
-            rep, c, n, own = (group[x].to_numpy() for x in ("rep", "c", "n", "own"))
+            rep, c, n, even, own = (group[x].to_numpy() for x in ("rep", "c", "n", "even", "own"))
             z = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(rep), BANDS, ROWS)
             left, right = [], []
             for i in range(len(rep) - 1):
                 j = np.arange(i + 1, len(rep))
-                j = j[(c[j] != c[i]) & ((own[j] != own[i]) | (not two)) & (n[j] >= threshold * n[i]) & (n[i] >= threshold * n[j])]
+                j = j[(c[j] != c[i]) & ((own[j] != own[i]) | (not two)) & (n[j] >= threshold * even[i] - 1e-6) & (n[i] >= threshold * even[j] - 1e-6)]
                 if not len(j):
                     continue
                 same = z[j] == z[i]

@@ -16,11 +16,16 @@ def _components(links: str, nodes: str) -> str:
 def near_duplicates() -> str:
     return f"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-         s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         u AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
-         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-         pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-         hit AS MATERIALIZED (SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+         s AS MATERIALIZED (SELECT doc_id, g, 1 + ln(count(*)) AS x FROM u GROUP BY 1, 2),
+         n AS MATERIALIZED (SELECT doc_id, count(*) AS n, sum(x) AS total FROM s GROUP BY 1),
+         shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.x, b.x AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id),
+         pair AS MATERIALIZED (SELECT a, b, na.total - sum(x) AS only_x, nb.total - sum(y) AS only_y FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+                   GROUP BY a, b, na.total, nb.total HAVING sum(least(x / na.total, y / nb.total)) >= 0.8 - 1e-6),
+         run AS (SELECT a, b, x, y, only_x + sum(x) OVER (PARTITION BY a, b ORDER BY x / y DESC ROWS UNBOUNDED PRECEDING) AS over_x,
+                        only_y, sum(y) OVER (PARTITION BY a, b ORDER BY x / y DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_y FROM shared JOIN pair USING (a, b)),
+         hit AS MATERIALIZED (SELECT a, b FROM run GROUP BY a, b HAVING sum(1 / (over_x / x + (only_y + coalesce(after_y, 0)) / y)) >= 0.8 - 1e-9),
          link AS MATERIALIZED (SELECT a AS src, b AS dst FROM hit UNION ALL SELECT b, a FROM hit),
          node AS (SELECT DISTINCT src AS id FROM link), {_components("link", "node")}
     SELECT d.doc_id, coalesce(component, d.doc_id) AS class_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) = d.doc_id AS kept
