@@ -13,6 +13,7 @@ from .common import Scratch, checkpoint, connected_components, fresh, hash_strin
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 28, 6  # a pair at similarity 0.8 shares a band with probability 0.9998
+FINE = 512  # registers of the second signature, of those documents only whose buckets stay crowded
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -129,7 +130,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1024) -> DataFrame:
     """One row per document: doc_id, class_id, n_shingles, kept.
 
     Two documents are linked if the probability Jaccard similarity of their weighted ``k``-word shingles
@@ -143,7 +144,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
        bucket's least member; then, where a bucket still has several components, against its
        member with most links.  So no bucket is ever expanded into all its pairs.
     3. Buckets that still have several components are compared signature by signature, in blocks of ``block_rows``; only pairs
-       of unlike components that the signatures put within four deviations of the threshold go on.
+       of unlike components that both the signatures and a second, finer signature of these documents put within four deviations of the threshold go on.
     Each verification is exact (``probability_jaccard``).  Pairs of too unlike sizes are left out before it: the similarity is at most
     the weight that two sets share once each weighs 1 in all, which is at most the elements of one over ``_even`` of the other.
 
@@ -168,6 +169,19 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
             lists = [pa.ListArray.from_arrays(ends, pa.array(values)) for values in (h.view(np.int64), times.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(_even(owner, weights(times), batch.num_rows)), *lists], ["rep", "even", "shingles", "times"])
 
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, weight = batch["shingles"].flatten().to_numpy().view(np.uint64), weights(batch["times"].flatten().to_numpy())
+            ends = np.asarray(batch["shingles"].offsets)
+            ends = ends - ends[0]
+            fine = np.zeros((batch.num_rows, FINE), np.uint8)
+            for a in range(0, batch.num_rows, 64):
+                b = min(a + 64, batch.num_rows)
+                part = slice(ends[a], ends[b])
+                owner = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                fine[a:b] = (mix(probminhash(owner, mix(h[part] ^ np.uint64(FINE)), weight[part], b - a, FINE)) >> np.uint64(56)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["rep"], _binary(fine)], ["rep", "fine"])
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = {c: (np.asarray(batch[c].offsets), np.asarray(batch[c].values)) for c in ("sa", "ta", "sb", "tb")}
@@ -234,16 +248,18 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
         last, apart = apart, mixed(apart, parts)
         scratch.drop(pairs, edges, last)
 
-        cut = threshold - 4 * float(np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS)))
+        cut, fine_cut = (threshold - 4 * float(np.sqrt(threshold * (1 - threshold) / registers)) for registers in (BANDS * ROWS, FINE))
+        fine = scratch.keep(sets.join(apart.select("rep").distinct(), "rep", "left_semi").mapInArrow(finer, f"rep {kind}, fine binary"))
         blocks = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
         dealt = apart.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = dealt.join(reps.select("rep", "n", "even", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", "band", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "c", "n", "even", "sketch")
+        dealt = dealt.join(reps.select("rep", "n", "even", "sketch"), "rep").join(fine, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bucket", "band", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "c", "n", "even", "sketch", "fine")
 
         def compare(group: pa.Table) -> pa.Table:
             band, two = group["band"][0].as_py(), group["b1"][0].as_py() != group["b2"][0].as_py()
             rep, c, n, even, own = (group[x].to_numpy() for x in ("rep", "c", "n", "even", "own"))
             z = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(rep), BANDS, ROWS)
+            fine = np.frombuffer(b"".join(group["fine"].to_pylist()), np.uint8).reshape(len(rep), FINE)
             left, right = [], []
             for i in range(len(rep) - 1):
                 j = np.arange(i + 1, len(rep))
@@ -252,6 +268,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
                     continue
                 same = z[j] == z[i]
                 j, same = j[(near := same.mean((1, 2)) >= cut)], same[near]
+                j, same = j[(near := (fine[j] == fine[i]).mean(1) >= fine_cut)], same[near]
                 j = j[~same[:, :band].all(2).any(1)]  # told in an earlier band
                 left += [rep[i]] * len(j)
                 right += rep[j].tolist()
