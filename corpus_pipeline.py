@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,11 +53,14 @@ ORACLE_SQL = None  # the stages are trained models and searches; tests hold each
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared checkpoint folder and read again by the next.
 
-    A stage's table goes when the next one is written; the last one stays.  Null, empty, repeated and very long rows are treated as each
+    A stage's table goes when the next one is written; the last one stays, and none if a stage fails.  Null, empty, repeated and very long rows are treated as each
     stage's docstring says; empty documents give an empty result.
     """
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
-        scratch.drop(before)
+    with ExitStack() as on_failure:
+        on_failure.push(scratch)
+        for _, stage in STAGES:
+            before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+            scratch.drop(before)
+        on_failure.pop_all()
     return docs
