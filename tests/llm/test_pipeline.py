@@ -1,5 +1,8 @@
 """The pipeline's stages, each read from what the one before has written."""
 
+import pytest
+
+from skyframe import session
 from skyframe.llm import decontaminate, near_dedup, pii, toxicity
 
 
@@ -32,3 +35,18 @@ def test_stages_and_run(spark, data, tmp_path):
     whole = P.run(spark, data)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(columns).collect())) == sorted(map(tuple, docs.select(columns).collect()))
+
+
+def test_nothing_is_left_of_a_run_that_fails(spark, data, monkeypatch):
+    import corpus_pipeline as P
+
+    def breaks(spark, docs, sf_dir):
+        raise ValueError("a stage failed")
+
+    made = []
+    monkeypatch.setattr(P, "Scratch", lambda spark: made.append(session.Scratch(spark)) or made[-1])
+    monkeypatch.setattr(P, "STAGES", [("same", lambda spark, docs, sf_dir: docs), ("breaks", breaks)])
+    with pytest.raises(ValueError, match="a stage failed"):
+        P.run(spark, data)
+    path = spark._jvm.org.apache.hadoop.fs.Path(made[0].folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
