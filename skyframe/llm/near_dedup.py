@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, k: int = SHINGLE
     the weight that two sets share once each weighs 1 in all, which is at most the elements of one over ``_even`` of the other.
 
     A text of fewer than ``k`` words is one shingle of all its words.  Null and empty texts have
-    no shingle, link with nothing and are kept.  Rows that share a doc_id count as one document.  A null doc_id is kept unless it is a copy of a
+    no shingle, link with nothing and are kept.  Very long texts are read whole; a task holds at least its longest text and the two sets of the pair it verifies.  Rows that share a doc_id count as one document.  A null doc_id is kept unless it is a copy of a
     document that has one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
