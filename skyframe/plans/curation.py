@@ -64,13 +64,16 @@ def group_complete(records: DataFrame, *, tolerance: float = 10.0, roll: float =
     return _fold(runs, [*keys, "run"], list(order), ["ra_targ", "dec_targ", "cd_angle"], near)
 
 
-def near_pairs(records: DataFrame, *, tolerance: float = 10.0, roll: float | None = None, keys: Sequence[str] = ("filter",)) -> DataFrame:
-    """All pairs of exposures closer than ``tolerance`` arcseconds, by a band join on declination."""
+def near_pairs(records: DataFrame, *, tolerance: float = 10.0, roll: float | None = None, keys: Sequence[str] = ("filter",), unit: float = 3600.0) -> DataFrame:
+    """All pairs of exposures closer than ``tolerance`` arcseconds, by a band join on declination.
+
+    ``unit``: how many arcseconds the places' unit has; places in arcseconds (1) are compared as they stand, without rounding to degrees and back.
+    """
     side = lambda s: records.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("file", "ra_targ", "dec_targ", "cd_angle")])
-    close = E.separation_arcsec(F.col("ra_targ_a"), F.col("dec_targ_a"), F.col("ra_targ_b"), F.col("dec_targ_b")) < tolerance
+    close = E.separation_arcsec(F.col("ra_targ_a"), F.col("dec_targ_a"), F.col("ra_targ_b"), F.col("dec_targ_b"), unit) < tolerance
     if roll is not None:
         close = close & (F.abs(F.col("cd_angle_a") - F.col("cd_angle_b")) <= roll)
-    return C.band_join(side("a"), side("b"), list(keys), "dec_targ_a", "dec_targ_b", tolerance / 3600, (F.col("file_a") < F.col("file_b")) & close)
+    return C.band_join(side("a"), side("b"), list(keys), "dec_targ_a", "dec_targ_b", tolerance / unit, (F.col("file_a") < F.col("file_b")) & close)
 
 
 def curate(records: DataFrame, *, most_offset: float = 10.0, least: int = 2) -> tuple[DataFrame, DataFrame]:
