@@ -26,3 +26,13 @@ def test_near_pairs_on_the_limit(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{path}/*.parquet'")
     want = {tuple(r) for r in con.execute(SQL["near_pairs"]).fetchall()}
     assert {tuple(r) for r in QUERIES["near_pairs"](spark, str(tmp_path)).collect()} == want
+
+
+def test_band_join_is_spread(spark):
+    """Few bytes, but many pairs: neither side is broadcast, and the join runs in as many tasks as the session has partitions."""
+    rows = spark.range(4000).select((F.col("id") % 2).alias("k"), F.col("id"), (F.col("id") % 100).cast("double").alias("v"))
+    side = lambda s: rows.select("k", F.col("id").alias(f"id_{s}"), F.col("v").alias(f"v_{s}"))
+    out = C.band_join(side("a"), side("b"), ["k"], "v_a", "v_b", 1.0)
+    assert out.count() == 4000 * 40
+    assert "Broadcast" not in plan_of(out)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
