@@ -36,3 +36,8 @@ def test_band_join_is_spread(spark):
     assert out.count() == 4000 * 40
     assert "Broadcast" not in plan_of(out)
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_detail_score_broadcasts_no_pixels(spark, data):
+    """Pixels come from arrays, whose files' bytes tell nothing of their number."""
+    assert "Broadcast" not in plan_of(QUERIES["detail_score"](spark, data))
