@@ -37,14 +37,14 @@ def load(spark: SparkSession, path: str, *, good_bits: int = GOOD_BITS, radius:
     ``step``-th pixel of every ``step``-th line.  A task reads one image of one file, by lines.
     """
     chips = checkpoint(chips_of(FS.read_units(spark, path, **options)))
-    lines = FS.read_rows(spark, path, names="SCI", **options).join(chips.select(*CHIP, "height", "width"), CHIP)
+    lines = FS.read_rows(spark, path, names="SCI", **options).join(chips.select(*CHIP, "height", "width").hint("merge"), CHIP)
     values = lines.select(*CHIP, "height", "width", "y", F.posexplode("data").alias("x", "v"))
     flags = FS.read_rows(spark, path, names="DQ", **options).select(*CHIP, "y", F.posexplode("data").alias("x", "dq"))
     bad = flags.where(E.bad_quality(F.col("dq").cast("int"), good_bits)).select(*CHIP, "y", "x", F.lit(True).alias("bad"))
-    filled = I.median_fill(values.join(bad, [*CHIP, "y", "x"], "left"), CHIP, "bad", radius, None, "height", "width")
-    rates = filled.join(chips.select(*CHIP, "exptime"), CHIP).select(*CHIP, "y", "x", F.col("v").alias("elec"), E.rate(F.col("v"), F.col("exptime")).alias("v"))
+    filled = I.median_fill(values.join(bad.hint("merge"), [*CHIP, "y", "x"], "left"), CHIP, "bad", radius, None, "height", "width")
+    rates = filled.join(chips.select(*CHIP, "exptime").hint("merge"), CHIP).select(*CHIP, "y", "x", F.col("v").alias("elec"), E.rate(F.col("v"), F.col("exptime")).alias("v"))
     sky = rates.where((F.col("y") % step == 0) & (F.col("x") % step == 0)).groupBy(*CHIP).agg(F.median("v").alias("sky"))
-    return chips.join(sky, CHIP, "left"), rates.join(sky, CHIP).withColumn("v", F.col("v") - F.col("sky")).drop("sky")
+    return chips.join(sky, CHIP, "left"), rates.join(sky.hint("merge"), CHIP).withColumn("v", F.col("v") - F.col("sky")).drop("sky")
 
 
 def pairs_of(chips: DataFrame, pointing: Sequence[str]) -> DataFrame:

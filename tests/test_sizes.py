@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyframe import queries_files, queries_images, queries_records  # noqa: F401
 from skyframe.operators import catalog as C
+from skyframe.operators import images as I
 from skyframe.plans import curation
 from skyframe.queries import QUERIES, SQL
 
@@ -41,3 +42,10 @@ def test_band_join_is_spread(spark):
 def test_detail_score_broadcasts_no_pixels(spark, data):
     """Pixels come from arrays, whose files' bytes tell nothing of their number."""
     assert "Broadcast" not in plan_of(QUERIES["detail_score"](spark, data))
+
+
+def test_median_fill_broadcasts_no_pixels(spark, tmp_path):
+    pixels = spark.range(64).select(F.lit("f").alias("file"), F.floor(F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), F.col("id").cast("double").alias("v"), (F.col("id") % 5 == 0).alias("bad"))
+    pixels.write.parquet(str(tmp_path / "px"))
+    filled = I.median_fill(spark.read.parquet(str(tmp_path / "px")), ["file"], "bad", 2, 1, 8, 8)
+    assert filled.where("NOT unfilled").count() == 64 and "Broadcast" not in plan_of(filled)
