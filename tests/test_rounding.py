@@ -18,3 +18,9 @@ def test_python_round(spark, digits):
     for r in df.select("x", E.python_round(F.col("x"), digits).alias("r")).collect():
         want = r.x if r.x is None or not math.isfinite(r.x) else round(r.x, digits)
         assert r.r == want or (math.isnan(want) and math.isnan(r.r)), r
+
+
+def test_python_round_is_plain_arithmetic(spark):
+    """No decimals, whose arithmetic took most of a large table's time."""
+    plan = spark.range(1).select(E.python_round(F.col("id") * 5e-6))._jdf.queryExecution().executedPlan().toString()
+    assert "decimal" not in plan.lower()
