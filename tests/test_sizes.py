@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skyframe import queries_files, queries_images, queries_records  # noqa: F401
 from skyframe.operators import catalog as C
 from skyframe.operators import images as I
-from skyframe.plans import curation
+from skyframe.operators import stats as S
 from skyframe.queries import QUERIES, SQL
 
 
@@ -49,3 +49,13 @@ def test_median_fill_broadcasts_no_pixels(spark, tmp_path):
     pixels.write.parquet(str(tmp_path / "px"))
     filled = I.median_fill(spark.read.parquet(str(tmp_path / "px")), ["file"], "bad", 2, 1, 8, 8)
     assert filled.where("NOT unfilled").count() == 64 and "Broadcast" not in plan_of(filled)
+
+
+def test_brackets_leave_rows_where_they_lie(spark):
+    """The rows of a few large groups are not dealt by group: that sends each group to one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the groups' figures were thought large, which they are on large tables
+    try:
+        got = S.selected_percentile(spark.range(1000).withColumn("k", F.col("id") % 2), ["k"], F.col("id"), 0.5)
+        assert {(r.k, r.p) for r in got.collect()} == {(0, 499.0), (1, 500.0)} and "SortMergeJoin" not in plan_of(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
