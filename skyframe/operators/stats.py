@@ -52,7 +52,7 @@ def mad_sigma(df: DataFrame, keys: Sequence[str], value: str, *, few_groups: boo
     if few_groups:
         # a row for each group, read three times below: without the cut each would scan the table twice more
         mid = checkpoint(selected_percentile(df, keys, F.col(value), 0.5).select(*keys, "n", F.col("p").alias("med")))
-        off = selected_percentile(df.join(mid, list(keys)), keys, F.abs(F.col(value) - F.col("med")), 0.5)
+        off = selected_percentile(df.join(F.broadcast(mid), list(keys)), keys, F.abs(F.col(value) - F.col("med")), 0.5)
         return mid.join(off.select(*keys, (MAD_SCALE * F.col("p")).alias("sigma")), list(keys))
     mid = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("med"))
     off = df.join(mid, list(keys)).groupBy(*keys).agg(F.first("n").alias("n"), F.first("med").alias("med"), (MAD_SCALE * F.median(F.abs(F.col(value) - F.col("med")))).alias("sigma"))
@@ -70,7 +70,7 @@ def clipped_median(df: DataFrame, keys: Sequence[str], value: str, *, k: float =
     bounds = None
 
     def figures() -> DataFrame:
-        live = rows if bounds is None else rows.join(bounds, list(keys)).where("v > lo AND v < hi").select(*keys, "v")
+        live = rows if bounds is None else rows.join(F.broadcast(bounds) if few_groups else bounds, list(keys)).where("v > lo AND v < hi").select(*keys, "v")
         if few_groups:
             return mad_sigma(live, keys, "v", few_groups=True).select(*keys, F.col("med").alias("m"), F.col("n").alias("c"), F.col("sigma").alias("s"))
         mid = live.groupBy(*keys).agg(F.median("v").alias("m"), F.count(F.lit(1)).alias("c"))
