@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +57,55 @@ def group_by_pointing(records: DataFrame, *, tolerance: float = 10.0, keys: Sequ
 
 
 def group_complete(records: DataFrame, *, tolerance: float = 10.0, roll: float = 0.1, keys: Sequence[str] = ("filter",), order: Sequence[str] = ("date_obs", "root")) -> DataFrame:
-    """Groups in which each member is near all others in position and roll."""
-    runs = dec_runs(records, keys, "dec_targ", tolerance / 3600)
-
-    def near(g: Column, x: Column) -> Column:
-        return F.forall(g, lambda m: (E.separation_arcsec(m.ra_targ, m.dec_targ, x.ra_targ, x.dec_targ) < tolerance) & (F.abs(m.cd_angle - x.cd_angle) <= roll))
+    """Groups in which each member is near all others in position and roll: rows in order, each put into the first group whose members all are near it.
 
-    return _fold(runs, [*keys, "run"], list(order), ["ra_targ", "dec_targ", "cd_angle"], near)
+    Only the first row of each distinct place is folded, a run between gaps at a time.  A group's ends in declination and roll rule out most groups at once, and
+    decide where all right ascensions are one, so a row costs as many steps as there are groups; members are looked through where these leave it open.
+    """
+    runs = dec_runs(records, keys, "dec_targ", tolerance / 3600)
+    by, place, first = [*keys, "run"], ["ra_targ", "dec_targ", "cd_angle"], [f"_o{i}" for i in range(len(order))]
+    least = F.min(F.struct(*[F.col(c).alias(o) for c, o in zip(order, first, strict=True)])).alias("_first")
+    distinct = runs.groupBy(*by, *place).agg(least).select(*by, *place, "_first.*")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*first, *place], na_position="first", kind="stable")
+        number = _complete(*[rows[c].to_numpy(dtype=np.float64) for c in place], tolerance, roll)
+        return rows[[*by, *place]].assign(group_no=number)
+
+    kinds = dict(distinct.dtypes)
+    each = distinct.groupBy(*by).applyInPandas(fold, ", ".join([*[f"`{c}` {kinds[c]}" for c in (*by, *place)], "group_no int"]))
+    return runs.join(each, [*by, *place])
+
+
+def _complete(ra: np.ndarray, dec: np.ndarray, angle: np.ndarray, tolerance: float, roll: float) -> np.ndarray:
+    """The group of each place, in order: the first whose members all are near it."""
+    number = np.zeros(len(ra), np.int32)
+    ends = np.empty((6, 16))  # of each group: least and greatest ra, dec, angle
+    members: list[list[int]] = []
+    for k, here in enumerate(zip(ra, dec, angle, strict=True)):
+        n = len(members)
+        low, high = ends[0::2, :n], ends[1::2, :n]
+        far = np.maximum(np.abs(high - np.array(here)[:, None]), np.abs(low - np.array(here)[:, None]))  # from the farthest member, along each axis
+        chosen = n
+        for g in np.flatnonzero((far[1] * 3600 < tolerance * (1 + 1e-9)) & (far[2] <= roll)):
+            if far[0, g] == 0:
+                fits = far[1, g] * 3600 < tolerance
+            else:
+                m = np.array(members[g])
+                fits = np.all(np.hypot((here[0] - ra[m]) * np.cos(np.radians(dec[m])) * 3600, (here[1] - dec[m]) * 3600) < tolerance)
+            if fits:
+                chosen = int(g)
+                break
+        if chosen == n:
+            if n == ends.shape[1]:
+                ends = np.hstack([ends, np.empty_like(ends)])
+            members.append([])
+            ends[:, n] = np.repeat(here, 2)
+        else:
+            ends[0::2, chosen], ends[1::2, chosen] = np.minimum(ends[0::2, chosen], here), np.maximum(ends[1::2, chosen], here)
+        members[chosen].append(k)
+        number[k] = chosen
+    return number
 
 
 def near_pairs(records: DataFrame, *, tolerance: float = 10.0, roll: float | None = None, keys: Sequence[str] = ("filter",), unit: float = 3600.0) -> DataFrame:
