@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components as connected_components
 from ..session import Scratch as Scratch
+from ..session import bound_batches as bound_batches
 from ..session import checkpoint as checkpoint
 from ..session import freed_shuffles as freed_shuffles
 from ..session import shared_folder as shared_folder
@@ -19,17 +20,6 @@ from ..session import shared_folder as shared_folder
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Let an Arrow batch hold at most ``rows`` rows and about ``size`` bytes, so that texts under way between the JVM and Python stay small on both sides.
-
-    This sets the session's own two settings where they are larger, and leaves them set: a plan reads them when it is run, which is after the call that made it.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(key).lower().removesuffix("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
