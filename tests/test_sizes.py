@@ -15,6 +15,7 @@ from skyframe.operators import images as I
 from skyframe.operators import stats as S
 from skyframe.plans import curation
 from skyframe.queries import QUERIES, SQL
+from skyframe.sources import fits
 
 
 def plan_of(df):
@@ -93,3 +94,12 @@ def test_complete_groups_of_many_places(spark):
         groups[g].append(i)
         want[i] = g
     assert got == want
+
+
+def test_fits_batches_are_bounded(spark):
+    """A batch of 10,000 files, as Spark makes them by itself, is over 100 MB in each Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    chips = spark.range(130).select(F.concat(F.lit("f"), F.col("id")).alias("path"), F.array_repeat(F.lit(1.0), 64).alias("data"))
+    rows = fits.image_rows(fits.encode_images(chips, "path", "data", 8, {}, {}))
+    assert rows.count() == 130 * 8
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
