@@ -1,12 +1,9 @@
 """What larger tables show: boundaries that only many rows meet, and plans that have to stay spread."""
 
-
-
 import random
 
 import duckdb
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from skyframe import queries_files, queries_images, queries_records  # noqa: F401
