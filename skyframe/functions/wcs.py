@@ -6,8 +6,9 @@ Polynomial distortion (SIP) is a struct of two arrays of coefficients; tabulated
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,6 +109,43 @@ def project(a: Column, b: Column, x: Column, y: Column, sip_a: Column | None = N
     return sky_to_pixel(b, sky.ra, sky.dec) if sip_a is None and sip_b is None else let(sky, lambda s: sky_to_pixel(b, s.ra, s.dec, sip_b))
 
 
+def _sums(c: Sequence[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``_polynomial`` over arrays; coefficients that are 0 throughout cost nothing."""
+    place = {pq: k for k, pq in enumerate(terms())}
+    total = np.zeros_like(u)
+    for p in range(SIP_ORDER, -1, -1):
+        inner = np.zeros_like(u)
+        for q in range(SIP_ORDER - p, -1, -1):
+            term = c[place[p, q]]
+            inner = inner * v + term if inner.any() else inner + term
+        total = total * u + inner if total.any() else inner
+    return total
+
+
+def project_arrays(a: Sequence[np.ndarray], b: Sequence[np.ndarray], x: np.ndarray, y: np.ndarray, sip_a: Sequence[Sequence[np.ndarray]], sip_b: Sequence[Sequence[np.ndarray]], rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """``project`` for many pixels at once: (x, y) in ``b``, NaN on the far half of the sky.
+
+    ``a`` and ``b`` are the ``FIELDS`` and ``sip_a`` and ``sip_b`` the coefficients (of a, of b), each an array with a value for each pixel.
+    """
+    ra0, dec0, p1, p2, cd11, cd12, cd21, cd22 = a
+    u, v = x + 1 - p1, y + 1 - p2
+    u, v = u + _sums(sip_a[0], u, v), v + _sums(sip_a[1], u, v)
+    xi, eta, d0 = np.radians(cd11 * u + cd12 * v), np.radians(cd21 * u + cd22 * v), np.radians(dec0)
+    den = np.cos(d0) - eta * np.sin(d0)
+    ra, d = np.mod(ra0 + np.degrees(np.arctan2(xi, den)), 360.0), np.radians(np.degrees(np.arctan2(np.sin(d0) + eta * np.cos(d0), np.hypot(den, xi))))
+    ra0, dec0, p1, p2, cd11, cd12, cd21, cd22 = b
+    d0, da = np.radians(dec0), np.radians(ra - ra0)
+    den = np.sin(d) * np.sin(d0) + np.cos(d) * np.cos(d0) * np.cos(da)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        xi, eta = np.degrees(np.cos(d) * np.sin(da) / den), np.degrees((np.sin(d) * np.cos(d0) - np.cos(d) * np.sin(d0) * np.cos(da)) / den)
+        det = cd11 * cd22 - cd12 * cd21
+        u0, v0 = (cd22 * xi - cd12 * eta) / det, (cd11 * eta - cd21 * xi) / det
+        u, v = u0, v0
+        for _ in range(rounds):
+            u, v = u0 - _sums(sip_b[0], u, v), v0 - _sums(sip_b[1], u, v)
+        return np.where(den > 0, u + p1 - 1, np.nan), np.where(den > 0, v + p2 - 1, np.nan)
+
+
 def translation(a: Column, b: Column, x: Column, y: Column) -> Column:
     """How far ``b`` is shifted against ``a`` at a pixel."""
     there = project(a, b, x, y)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,15 +56,50 @@ def pairs_of(chips: DataFrame, pointing: Sequence[str]) -> DataFrame:
     return here.join(there, [*pointing, "ver"]).where(F.col("file") != F.col("partner"))
 
 
-def _seen(pairs: DataFrame, pixels: DataFrame, cells: DataFrame, near: Column | None = None) -> DataFrame:
-    """Each pixel of a pair's first chip (where ``near``) with its place in the partner, whether that lies in it, and the partner's value there."""
-    there = W.project(F.col("wcs_a"), F.col("wcs_b"), F.col("x").cast("double"), F.col("y").cast("double"), F.col("sip_a"), F.col("sip_b"))
-    asked = pairs.join(pixels.select(*CHIP, "y", "x", "v"), CHIP)
-    asked = (asked if near is None else asked.where(near)).withColumn("_at", there)
-    asked = asked.withColumns({"py": F.col("_at.y") + F.col("sy"), "px": F.col("_at.x") + F.col("sx"), "_oy": F.col("_at.y"), "_ox": F.col("_at.x")}).where("_at IS NOT NULL")
-    inside = F.col("_oy").between(F.lit(-EDGE), F.col("height_b") - 1.0 + EDGE) & F.col("_ox").between(F.lit(-EDGE), F.col("width_b") - 1.0 + EDGE)
-    kept = asked.select(*CHIP, "partner", "y", "x", "v", "py", "px", inside.alias("inside"), "height_b", "width_b")
-    return align.sample_at(kept, cells, ["partner", "ver"], F.col("height_b"), F.col("width_b"))
+def places_of(pairs: DataFrame, crop: int | None = None, inside: bool = False, *, at_once: int = 1 << 16) -> DataFrame:
+    """(file, ver, partner, y, x, py, px, height_b, width_b): where each pixel of a pair's first chip (of its central ``crop`` squared) falls in the partner.
+
+    A row for each pixel is made from a row for each pair, ``at_once`` pixels in a run of whole lines, so a task never holds a chip.  ``py`` and ``px`` are
+    moved by the pair's (sy, sx); ``inside`` keeps those that lie in the partner before they are moved.  Pairs without coordinates have no places.
+    """
+    kinds = dict(pairs.dtypes)
+    none = F.array(*[F.lit(0.0)] * (2 * len(W.terms())))
+    both = lambda sip: F.coalesce(F.concat(f"{sip}.a", f"{sip}.b"), none)
+    flat = pairs.dropna(subset=["wcs_a", "wcs_b", "height", "width", "height_b", "width_b"]).select(*CHIP, "partner", "height", "width", "height_b", "width_b", "sy", "sx", *[F.array(*[f"{w}.{n}" for n in W.FIELDS]).alias(w) for w in ("wcs_a", "wcs_b")], both("sip_a").alias("sip_a"), both("sip_b").alias("sip_b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.empty:
+                continue
+            height, width = b["height"].to_numpy(), b["width"].to_numpy()
+            top, left = (np.zeros_like(height), np.zeros_like(width)) if crop is None else (height // 2 - crop // 2, width // 2 - crop // 2)
+            bottom, right = (height, width) if crop is None else (np.minimum(top + crop, height), np.minimum(left + crop, width))
+            top, left = np.maximum(top, 0), np.maximum(left, 0)
+            tall, wide = np.maximum(bottom - top, 0), np.maximum(right - left, 0)
+            sides = [np.array(b[c].tolist(), float).T for c in ("wcs_a", "wcs_b", "sip_a", "sip_b")]
+            pair = np.repeat(np.arange(len(b)), tall)
+            line = np.arange(len(pair)) - np.repeat(np.cumsum(tall) - tall, tall) + top[pair]
+            ends = np.cumsum(wide[pair])
+            start = 0
+            while start < len(pair):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, side="right")))
+                many = wide[pair[start:stop]]
+                k, y = np.repeat(pair[start:stop], many), np.repeat(line[start:stop], many)
+                x = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + left[k]
+                wcs_a, wcs_b, sip_a, sip_b = ([row[k] if row.any() else zero for row in side] for side in sides for zero in (np.zeros(len(k)),))
+                n = len(W.terms())
+                px, py = W.project_arrays(wcs_a, wcs_b, x.astype(float), y.astype(float), (sip_a[:n], sip_a[n:]), (sip_b[:n], sip_b[n:]))
+                kept = np.isfinite(py) & np.isfinite(px)
+                if inside:
+                    h, w = b["height_b"].to_numpy()[k], b["width_b"].to_numpy()[k]
+                    kept &= (py >= -EDGE) & (py <= h - 1.0 + EDGE) & (px >= -EDGE) & (px <= w - 1.0 + EDGE)
+                k = k[kept]
+                out = b[[*CHIP, "partner"]].iloc[k].reset_index(drop=True)
+                yield out.assign(y=y[kept], x=x[kept], py=py[kept] + b["sy"].to_numpy()[k], px=px[kept] + b["sx"].to_numpy()[k], height_b=b["height_b"].to_numpy()[k], width_b=b["width_b"].to_numpy()[k])
+                start = stop
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return flat.repartition(n, *CHIP, "partner").mapInPandas(run, f"file {kinds['file']}, ver {kinds['ver']}, partner {kinds['partner']}, y int, x int, py double, px double, height_b int, width_b int")
 
 
 def residual_shifts(pairs: DataFrame, pixels: DataFrame, cells: DataFrame, *, crop: int, least: float = 0.05, most: float = 2.0, reach: float = 3.0) -> DataFrame:
@@ -70,9 +107,8 @@ def residual_shifts(pairs: DataFrame, pixels: DataFrame, cells: DataFrame, *, cr
 
     A shift is applied where it is over ``least`` and at most ``most`` pixels: less is noise, more says that the coordinates are wrong.
     """
-    y0, x0 = F.floor(F.col("height") / 2) - crop // 2, F.floor(F.col("width") / 2) - crop // 2
-    near = F.col("y").between(y0, y0 + crop - 1) & F.col("x").between(x0, x0 + crop - 1)
-    seen = _seen(pairs.withColumns({"sy": F.lit(0.0), "sx": F.lit(0.0)}), pixels, cells, near)
+    near = places_of(pairs.withColumns({"sy": F.lit(0.0), "sx": F.lit(0.0)}), crop)
+    seen = align.sample_at(near, cells, ["partner", "ver"], F.col("height_b"), F.col("width_b")).join(pixels.select(*CHIP, "y", "x", "v").hint("merge"), [*CHIP, "y", "x"])
     tiles = seen.groupBy(*CHIP, "partner").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v", "sampled"))).alias("_r"))
     tiles = tiles.where(F.size("_r") == crop * crop).select(*CHIP, "partner", F.col("_r.v").alias("a"), F.col("_r.sampled").alias("b"))
     found = align.tile_shifts(tiles, [*CHIP, "partner"], size=crop, reach=reach)
@@ -85,6 +121,7 @@ def partner_channel(chips: DataFrame, pixels: DataFrame, pointing: Sequence[str]
 
     Places go through both chips' coordinates with their polynomials; a partner's value is bilinear.  Where no partner has looked, the pixel is its own
     partner.  With ``refine`` the pairs' residual shifts are measured on their centres and those between the limits are applied, each to its pair alone.
+    ``pixels`` are read several times, so they should be written ones; places are worked out from the chips' sizes, a run of lines at a time.
     """
     keys = [*CHIP, "partner"]
     cells = align.quads(pixels, CHIP).withColumnRenamed("file", "partner")
@@ -94,9 +131,9 @@ def partner_channel(chips: DataFrame, pixels: DataFrame, pointing: Sequence[str]
         pairs = pairs.join(shifts, keys, "left").withColumns({"sy": F.coalesce("sy", F.lit(0.0)), "sx": F.coalesce("sx", F.lit(0.0))})
     else:
         pairs = pairs.withColumns({"sy": F.lit(0.0), "sx": F.lit(0.0)})
-    seen = _seen(pairs, pixels, cells).where("inside")
+    seen = align.sample_at(places_of(pairs, inside=True), cells, ["partner", "ver"], F.col("height_b"), F.col("width_b"))
     mean = seen.groupBy(*CHIP, "y", "x").agg(F.avg("sampled").alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    joined = pixels.select(*CHIP, "y", "x", "v").join(mean, [*CHIP, "y", "x"], "left")
+    joined = pixels.select(*CHIP, "y", "x", "v").join(mean.hint("merge"), [*CHIP, "y", "x"], "left")
     return joined.select(*CHIP, "y", "x", "v", F.coalesce("_mean", "v").alias("partner"), F.coalesce("_n", F.lit(0)).alias("covered"))
 
 

@@ -128,3 +128,18 @@ def test_partner_of_a_dithered_pair_covers_part(spark):
             assert got["alone", y, x] == (0, x * x + y)
             covered = x - 5.5 >= 0
             assert got["a", y, x][0] == covered and np.isclose(got["a", y, x][1], ((x - 6) ** 2 + (x - 5) ** 2) / 2 + y if covered else x * x + y, atol=1e-6)
+
+
+def test_places_in_runs_of_lines(spark):
+    """Places of pairs by arrays, in runs of lines across chips of unlike sizes, against the plain computation; few pairs are spread over tasks."""
+    chips = spark.createDataFrame([("a", 1, 1, 6, 5, A, SIP_A), ("b", 1, 1, 7, 9, B, SIP_B), ("bare", 1, 1, 3, 4, A, None), ("none", 1, 1, 3, 4, None, None)], KINDS)
+    pairs = exposures.pairs_of(chips, ["p"]).withColumns({"sy": F.lit(0.25), "sx": F.lit(-0.5)})
+    places = exposures.places_of(pairs, at_once=20)
+    assert places.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.file, r.partner, r.y, r.x): (r.px, r.py) for r in places.collect()}
+    sides = {"a": (A, SIP_A, 6, 5), "b": (B, SIP_B, 7, 9), "bare": (A, None, 3, 4)}
+    assert len(got) == sum(h * w * 2 for _, _, h, w in sides.values())
+    for (f, p, y, x), at in got.items():
+        assert np.allclose(at, pixel(*sides[p][:2], *sky(*sides[f][:2], x, y)) + (-0.5, 0.25), atol=1e-5)
+    cut = {(r.file, r.partner, r.y, r.x) for r in exposures.places_of(pairs, 4).where("file = 'b' AND partner = 'a'").collect()}
+    assert cut == {("b", "a", y, x) for y in range(1, 5) for x in range(2, 6)}
