@@ -15,16 +15,19 @@ from ..session import Scratch, checkpoint
 PAIR = ["group", "file"]
 
 
-def _pass(places: DataFrame, pixels: DataFrame, levels: DataFrame, own: DataFrame, *, window: int, margin: int, height: int, width: int, least: float, low: float, high: float) -> DataFrame:
+def _pass(places: DataFrame, pixels: DataFrame, levels: DataFrame, own: DataFrame, scratch: Scratch, *, window: int, margin: int, height: int, width: int, least: float, low: float, high: float) -> DataFrame:
     """(group, file, y, x, rx, ry): how far each star lies from its place, matched within ``window`` of the place as shifted by (px_off, py_off)."""
     aimed = places.withColumns({"py": F.bround(F.col("fy") + F.col("off_y")).cast("int"), "px": F.bround(F.col("fx") + F.col("off_x")).cast("int")}).join(levels, PAIR)
     found = I.cross_match(aimed.select(*PAIR, "y", "x", "py", "px"), pixels, PAIR, window, F.lit(float("-inf")), margin, height, width)
-    found = found.join(levels, PAIR).where(F.col("peak") - F.col("sky") >= least * F.col("sigma"))
-    level = pixels.join(levels, PAIR).select(*PAIR, "y", "x", (F.col("v") - F.col("sky")).alias("v"))
-    spots = found.select(*PAIR, F.col("my").alias("y"), F.col("mx").alias("x"), (F.col("peak") - F.col("sky")).alias("v")).where("v > 0").distinct()
-    round_ = I.ring_ratio(spots, PAIR, level).where((F.col("ratio") > low) & (F.col("ratio") < high)).select(*PAIR, F.col("y").alias("my"), F.col("x").alias("mx"))
-    there = I.centroid(spots, PAIR, pixels).select(*PAIR, F.col("y").alias("my"), F.col("x").alias("mx"), F.col("cy").alias("by"), F.col("cx").alias("bx")).where("by IS NOT NULL")
-    both = found.join(round_, [*PAIR, "my", "mx"]).join(there, [*PAIR, "my", "mx"]).select(*PAIR, "y", "x", "by", "bx")
+    found = scratch.keep(found.join(levels, PAIR).where(F.col("peak") - F.col("sky") >= least * F.col("sigma")))
+    spots = found.select(*PAIR, F.col("my").alias("y"), F.col("mx").alias("x"), "peak", "sky").where("peak - sky > 0").distinct()
+    # the pixels about a mate are met once, for its ring and its centre
+    box = I.at_neighbours(spots, PAIR, pixels, I.square(3), {"v": "_n"})
+    beside = F.abs(F.col("_y") - F.col("y")) + F.abs(F.col("_x") - F.col("x")) == 1
+    each = box.groupBy(*PAIR, "y", "x", "peak", "sky").agg(F.avg(F.when(beside, F.col("_n") - F.col("sky"))).alias("_ring"), F.median("_n").alias("_mid"), F.collect_list(F.struct("_n", "_y", "_x")).alias("_r"))
+    ratio = F.col("_ring") / F.greatest(F.col("peak") - F.col("sky"), F.lit(1e-6))
+    there = each.where((ratio > low) & (ratio < high)).select(*PAIR, F.col("y").alias("my"), F.col("x").alias("mx"), *I.centre_of("_r", "_mid")).where("cy IS NOT NULL").withColumnsRenamed({"cy": "by", "cx": "bx"})
+    both = found.join(there, [*PAIR, "my", "mx"]).select(*PAIR, "y", "x", "by", "bx")
     return own.join(both, [*PAIR, "y", "x"]).select(*PAIR, "y", "x", (F.col("bx") - F.col("fcx")).alias("rx"), (F.col("by") - F.col("fcy")).alias("ry"))
 
 
@@ -57,9 +60,9 @@ def two_pass_offsets(
         own = places.select(*PAIR, "y", "x", "fcy", "fcx")
         how = dict(margin=margin, height=height, width=width, least=least, low=low, high=high)
         zero = places.withColumns({"off_y": F.lit(0.0), "off_x": F.lit(0.0)})
-        first = scratch.keep(_pass(zero, pixels, levels, own, window=windows[0], **how))
+        first = scratch.keep(_pass(zero, pixels, levels, own, scratch, window=windows[0], **how))
         middle = scratch.keep(_middle(first, k, rounds).where(F.col("n_match") >= least_matches))
-        again = scratch.keep(_pass(places.join(middle.select(*PAIR, "off_x", "off_y"), PAIR), pixels, levels, own, window=windows[1], **how))
+        again = scratch.keep(_pass(places.join(middle.select(*PAIR, "off_x", "off_y"), PAIR), pixels, levels, own, scratch, window=windows[1], **how))
         enough = again.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_matches).select(*PAIR)
         kept = again.join(enough, PAIR, "left_semi").withColumn("passes", F.lit(2)).unionByName(first.join(middle.select(*PAIR), PAIR, "left_semi").join(enough, PAIR, "left_anti").withColumn("passes", F.lit(1)))
         kept = scratch.keep(kept)
