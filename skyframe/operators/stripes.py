@@ -37,6 +37,15 @@ def _blurred_known(a: np.ndarray, sigma: float) -> np.ndarray:
     return np.where(weight > 1e-3, _blurred(np.where(known, a, 0.0), sigma, "edge") / np.maximum(weight, 1e-8), np.nan)
 
 
+def _alike(lengths: np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of rows of one length, so many that they have at most about ``at_once`` values: numpy works on these together."""
+    for n in np.unique(lengths):
+        places = np.flatnonzero(lengths == n)
+        many = max(1, at_once // max(int(n), 1))
+        for start in range(0, len(places), many):
+            yield int(n), places[start : start + many]
+
+
 def background(pixels: DataFrame, keys: Sequence[str], sigma: float, value: str = "v", mask: str = "bg") -> DataFrame:
     """(keys, y, x, low): Gaussian means of the pixels under ``mask``, by lines and then by columns, mirrored at the edges.
 
@@ -51,7 +60,11 @@ def background(pixels: DataFrame, keys: Sequence[str], sigma: float, value: str
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for name in ("_a", "_b"):
-                    batch[name] = [_blurred(np.asarray(v, float), sigma, "symmetric") for v in batch[name]]
+                    values = batch[name].tolist()
+                    for _, places in _alike(np.fromiter(map(len, values), int, len(values))):
+                        for k, v in zip(places, _blurred(np.array([values[k] for k in places], float).T, sigma, "symmetric").T, strict=True):
+                            values[k] = v
+                    batch[name] = values
                 yield batch
 
         done = lines.mapInPandas(run, f"{head}, {line} int, _p array<int>, _a array<double>, _b array<double>")
@@ -90,20 +103,24 @@ def scan(residue: DataFrame, candidates: DataFrame, keys: Sequence[str], *, leas
     profiles = strips.groupBy(*keys, "sigma", "angle").agg(F.array_sort(F.collect_list(F.struct("strip", "n", "s"))).alias("_r"))
     lists = profiles.select(*keys, "sigma", "angle", F.col("_r.strip").alias("strip"), F.col("_r.n").alias("n"), F.col("_r.s").alias("s"))
 
-    def score(strip: np.ndarray, n: np.ndarray, s: np.ndarray, sigma: float) -> float | None:
-        profile, counts = np.full(strip.max() + 1, np.nan), np.zeros(strip.max() + 1)
-        counts[strip] = n
-        profile[strip] = np.where(n >= least, s / n, np.nan)
-        rest = profile - _blurred_known(profile, detrend)
-        known = np.isfinite(rest)
-        if known.sum() < least_strips or not sigma:
-            return None
-        return float(np.mean(rest[known] ** 2 / sigma**2 - 1 / counts[known]))
+    def scores(strip: list[np.ndarray], n: list[np.ndarray], s: list[np.ndarray], sigma: np.ndarray) -> np.ndarray:
+        out = np.full(len(strip), np.nan)
+        for size, places in _alike(np.fromiter((x.max() + 1 for x in strip), int, len(strip))):
+            at = np.concatenate([strip[k] for k in places]), np.repeat(np.arange(len(places)), [len(strip[k]) for k in places])
+            profile, counts = np.full((size, len(places)), np.nan), np.ones((size, len(places)))
+            counts[at] = np.concatenate([n[k] for k in places])
+            profile[at] = np.where(counts[at] >= least, np.concatenate([s[k] for k in places]) / counts[at], np.nan)
+            rest = profile - _blurred_known(profile, detrend)
+            known = np.isfinite(rest)
+            enough = (known.sum(axis=0) >= least_strips) & (sigma[places] != 0)
+            over = np.where(known, rest**2 / np.where(enough, sigma[places], 1.0) ** 2 - 1 / counts, 0.0).sum(axis=0)
+            out[places] = np.where(enough, over / np.maximum(known.sum(axis=0), 1), np.nan)
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            scores = [score(np.asarray(i), np.asarray(n), np.asarray(s), sigma) for i, n, s, sigma in zip(b["strip"], b["n"], b["s"], b["sigma"], strict=True)]
-            yield b[[*keys, "angle"]].assign(score=scores)
+            found = scores(*([np.asarray(v) for v in b[c]] for c in ("strip", "n", "s")), b["sigma"].to_numpy(float))
+            yield b[[*keys, "angle"]].assign(score=[None if np.isnan(v) else v for v in found])
 
     return lists.mapInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "angle double, score double"]))
 
@@ -169,13 +186,27 @@ def _profiles(residue: DataFrame, found: DataFrame, keys: Sequence[str], *, wind
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, r in b.iterrows():
-                p, linear, rows = cells(np.asarray(r["_i"]), np.asarray(r["_j"]), np.asarray(r["n"]), np.asarray(r["med"], float), r["sigma"], r["_tall"], r["_wide"])
-                down = np.vstack([p[1:], p[-1:]])
-                right = lambda a: np.hstack([a[:, 1:], a[:, -1:]])
-                i, j = np.indices(p.shape)
-                out = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s00": p.ravel(), "s10": down.ravel(), "s01": right(p).ravel(), "s11": right(down).ravel()})
-                yield out.assign(linear=linear, rows=[rows] * len(out), **{k: r[k] for k in keys})[[*keys, "linear", "rows", "i", "j", "s00", "s10", "s01", "s11"]]
+            held, size = [], 0
+            for k, r in enumerate(zip(*(b[c] for c in ("_i", "_j", "n", "med", "sigma", "_tall", "_wide")), strict=True)):
+                p, linear, rows = cells(*map(np.asarray, r[:3]), np.asarray(r[3], float), *r[4:])
+                held.append((k, p, linear, rows))
+                size += p.size
+                if size > 1 << 16:  # images go on together, many small ones or one large one
+                    yield table(b, held)
+                    held, size = [], 0
+            if held:
+                yield table(b, held)
+
+    def table(b: pd.DataFrame, held: list) -> pd.DataFrame:
+        columns = {c: [] for c in ("i", "j", "s00", "s10", "s01", "s11")}
+        for _, p, _, _ in held:
+            down = np.vstack([p[1:], p[-1:]])
+            right = lambda a: np.hstack([a[:, 1:], a[:, -1:]])
+            for c, v in zip(columns, (*np.indices(p.shape), p, down, right(p), right(down)), strict=True):
+                columns[c].append(v.ravel())
+        sizes = [p.size for _, p, _, _ in held]
+        out = b[keys].iloc[np.repeat([k for k, *_ in held], sizes)].reset_index(drop=True).assign(**{c: np.concatenate(v) for c, v in columns.items()})
+        return out.assign(linear=np.repeat([x[2] for x in held], sizes), rows=[x[3] for x, n in zip(held, sizes, strict=True) for _ in range(n)])[[*keys, "linear", "rows", "i", "j", "s00", "s10", "s01", "s11"]]
 
     return lists.mapInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "linear boolean, rows array<int>, i int, j int, s00 double, s10 double, s01 double, s11 double"]))
 

@@ -144,3 +144,14 @@ def test_nulls_flat_and_empty_images(spark):
         assert sorted((r.k, r.y, r.x, str(r.v)) for r in pixels.collect()) == sorted((k, y, x, str(v)) for k, y, x, v in rows) and passes.count() == 0
         pixels, passes = stripes.destripe_search(df.limit(0), ["k"], scratch)
         assert pixels.count() == passes.count() == 0
+
+
+def test_profiles_are_scored_together(spark, monkeypatch):
+    """Many small images are few calls of numpy: a call for each profile of each image took hours on a million images."""
+    from skyframe.operators import stripes
+
+    lengths = np.array([3, 5, 3, 3, 5])
+    assert [(n, p.tolist()) for n, p in stripes._alike(lengths, 6)] == [(3, [0, 2]), (3, [3]), (5, [1]), (5, [4])]
+    a = np.random.default_rng(0).normal(size=(9, 40))
+    a[np.random.default_rng(1).random(a.shape) < 0.2] = np.nan
+    assert np.allclose(stripes._blurred_known(a, 2.0), np.array([stripes._blurred_known(c, 2.0) for c in a.T]).T, equal_nan=True)
