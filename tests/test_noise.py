@@ -88,3 +88,13 @@ def test_no_quads(spark):
     shifts = spark.createDataFrame([("g", "a", "b", 0.0, 0.0)], "group string, ref string, file string, ty double, tx double")
     pixels = spark.createDataFrame([], "group string, file string, y int, x int, v double")
     assert noise.patches(noise.quads(shifts), pixels, size=4, height=8, width=8, margin=0).count() == 0
+
+
+def test_attempts_are_neither_dealt_nor_sorted(spark):
+    """A quad's attempts, sixty rows of long keys, were sorted in a window; they are an array of the quad's own row, numbered from 0 without gaps."""
+    df = spark.createDataFrame([("g", "q", r, r, k, -k) for k, r in enumerate("abcd")], "group string, quad string, role string, file string, ty int, tx int")
+    got = noise.attempts(df, most=60, size=5, height=12, width=12, margin=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange ") <= 1
+    rows = got.collect()
+    assert sorted(r.turn for r in rows) == list(range(len(rows))) and all(r.top + 3 + 5 <= 12 and r.left - 3 >= 0 for r in rows)
