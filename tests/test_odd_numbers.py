@@ -53,3 +53,22 @@ def test_rounding_is_that_of_sql(spark):
     want = [con.execute("SELECT round(?::DOUBLE, 2)", [x]).fetchall()[0][0] for x in values]
     df = spark.createDataFrame(list(enumerate(values)), "k int, x double")
     assert [row.y for row in df.select("k", r(F.col("x"), 2).alias("y")).orderBy("k").collect()] == want
+
+
+def test_more_expressions_on_negative_ids_and_zeros(spark, tmp_path):
+    """Ids under zero, whose logarithm is undefined; zeros with a sign; values whose product with the power of ten is infinite.  Signs of zeros count."""
+    pairs = [(v, u) for v in [None, -0.0, 0.0, -1e-7, -4e-7, 1.7e308, -1e305, 1e303, 12.34, -12.34] for u in [None, -1, -2, -3, -4, -1501, -(2**62) - 1, 5, 2**53 + 1]]
+    value, user = zip(*pairs, strict=True)
+    columns = {"event_id": pa.array(range(len(pairs))), "user_id": pa.array(user, pa.int64()), "event_type": pa.array(["0"] * len(pairs)), "value": pa.array(value, pa.float64())}
+    pq.write_table(pa.table(columns), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(SQL["more_expressions"])
+    got = QUERIES["more_expressions"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(tuple(map(repr, row)) for row in got.collect()) == sorted(tuple(map(repr, row)) for row in want.fetchall())
+
+
+def test_rounding_of_the_largest(spark):
+    values = [1.7e308, -1e305, 1e302, -math.inf, math.nan]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, x double").select("k", r(F.col("x")).alias("y")).orderBy("k")
+    assert [repr(row.y) for row in df.collect()] == [repr(x) for x in values]
