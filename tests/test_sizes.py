@@ -1,5 +1,6 @@
 """What larger tables show: boundaries that only many rows meet, and plans that have to stay spread."""
 
+import math
 import random
 
 import duckdb
@@ -41,6 +42,28 @@ def test_band_join_is_spread(spark):
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_band_join_of_repeated_values(spark):
+    """Thousands of rows of one value, zeros of both signs, rows without a value and undefined or infinite ones, against all pairs."""
+    rng = random.Random(8)
+    odd = [0.0, -0.0, None, math.nan, math.inf, -math.inf, 0.5, -0.25, 1.0]
+    rows = {s: [("k", i, 3.0) for i in range(n)] + [(rng.choice("kl"), 5000 + i, rng.choice(odd)) for i in range(300)] + [("l", 6000 + i, rng.uniform(-3, 3)) for i in range(100)] for s, n in (("a", 2500), ("b", 7))}
+    side = lambda s: spark.createDataFrame(rows[s], f"k string, id_{s} int, v_{s} double")
+    got = C.band_join(side("a"), side("b"), ["k"], "v_a", "v_b", 1.0, F.col("id_a") != F.col("id_b"), {"gap": F.col("v_a") - F.col("v_b")})
+    assert got.columns == ["k", "id_a", "v_a", "id_b", "v_b", "gap"]
+    want = [(k, i, x, j, y, x - y) for k, i, x in rows["a"] for h, j, y in rows["b"] if k == h and i != j and x is not None and y is not None and abs(x - y) < 1]
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_band_join_leaves_in_runs(spark, tmp_path):
+    """The pairs' number is quadratic, so their bytes count: rows of one value and their distance stand in runs."""
+    rows = spark.range(3000).select(F.lit("k").alias("k"), F.col("id"), (F.hash("id") % 5 / 10.0).alias("v"))
+    side = lambda s: rows.select("k", F.col("id").alias(f"id_{s}"), F.col("v").alias(f"v_{s}"))
+    out = C.band_join(side("a"), side("b"), ["k"], "v_a", "v_b", 1.0, F.col("id_a") < F.col("id_b"))
+    out.select("id_a", "id_b", F.abs(F.col("v_a") - F.col("v_b")).alias("gap")).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3000 * 2999 // 2
+
+
 def test_detail_score_broadcasts_no_pixels(spark, data):
     """Pixels come from arrays, whose files' bytes tell nothing of their number."""
     assert "Broadcast" not in plan_of(QUERIES["detail_score"](spark, data))
